@@ -3,7 +3,7 @@
 A seed is a fixed mask over neighbouring tokens: its hash covers the tokens under a 1 and ignores those under a 0, so a
 substituted token hides only the positions where it falls under a 1. Hashes of the benchmark's positions are joined with
 those of every document's positions; around each hit the passage is compared token by token on its diagonal, substitutions
-allowed, and the best stretch (a match counts 1, a mismatch -4: 80 % must match) is the overlap.
+allowed, and the best stretch (a match counts 1, a mismatch -2: two thirds must match) is the overlap.
 
 A document is contaminated by an item if an overlap has at least `least` matching tokens, or three quarters of the item's
 if these are fewer; items under SHORTEST tokens are no passages and are not searched. Tokens are lower-cased words without
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import prepare, texts_of
 
 # Masks of one weight, chosen to share few positions under any shift.
-MASKS = ("1111011101", "110110010101001", "1100101000100101001", "11110000010011001")
+MASKS = ("11110111", "1101101011", "11100101101", "110010101011")
 LEAST, SHORTEST = 16, min(map(len, MASKS))
 #: Tokens of a block of the benchmark, and words whose hashes a task remembers.
 BLOCK_TOKENS, REMEMBERED = 2_000_000, 200_000
@@ -106,8 +106,8 @@ class Block:
 
 
 def best_stretch(match: np.ndarray) -> tuple[int, int, int]:
-    """(matches, start, end) of the stretch with the largest sum of 1 for a match and -4 for a mismatch."""
-    total = np.concatenate(([0], np.cumsum(np.where(match, 1, -4))))
+    """(matches, start, end) of the stretch with the largest sum of 1 for a match and -2 for a mismatch."""
+    total = np.concatenate(([0], np.cumsum(np.where(match, 1, -2))))
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
