@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, pieces, quality, secrets, sharding, simhash, token_counts
+from . import chat_format, decontaminate, exact_dedup, pieces, quality, repeats, secrets, sharding, simhash, token_counts
 from .shared import table
 
 
@@ -13,6 +13,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(repeats.cut_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = r"\### Assistant: </turn> ok"
@@ -57,5 +61,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat_format, op4_quality, op5_exact_dedup, op6_simhash, op7_pieces, op8_decontaminate, op9_sharding, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_chat_format, op4_quality, op5_exact_dedup, op6_simhash, op7_pieces, op8_decontaminate, op9_sharding, op10_secret_scan)}
 ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}
