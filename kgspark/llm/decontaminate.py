@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, texts_of
+from .shared import keep_rows, prepare, texts_of
 
 # Masks of one weight, chosen to share few positions under any shift.
 MASKS = ("11110111", "1101101011", "11100101101", "110010101011")
@@ -133,30 +133,42 @@ ITEMS = pa.list_(pa.struct([("item_id", pa.int64()), ("matches", pa.int64()), ("
 ITEMS_DDL = "array<struct<item_id:long,matches:long,start:long,end:long>>"
 
 
+class Search:
+    """A task's search of one block in texts."""
+
+    def __init__(self, packed, least: int) -> None:
+        self.block, self.words, self.least = Block(*packed.value), Words(), least
+        self.block.index()
+
+    def __call__(self, texts: list[str]) -> list[dict[int, tuple[int, int, int]]]:
+        docs = [self.words(t) for t in texts]
+        found: list[dict[int, tuple[int, int, int]]] = [{} for _ in docs]
+        flat = np.concatenate([*docs, np.zeros(0, np.uint64)])
+        starts = np.cumsum([0] + [len(d) for d in docs])
+        place, at = [], []
+        for k, mask in enumerate(MASKS):
+            p, q = self.block.hits(seed_hashes(flat, mask, k))
+            inside = p + len(mask) <= starts[np.searchsorted(starts, p, side="right")]
+            place.append(p[inside])
+            at.append(q[inside])
+        p, q = np.concatenate(place), np.concatenate(at)
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        own = np.searchsorted(starts, p, side="right") - 1
+        edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else []
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
+            d = own[a]
+            found[d] = overlaps(self.block, docs[d], p[a:z] - starts[d], q[a:z], self.least)
+        return found
+
+
 def _search(packed, least: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("items", ITEMS)])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words = Block(*packed.value), Words()
-        if len(block.tokens):
-            block.index()
+        search = Search(packed, least)
         for b in rows:
-            docs = [words(t) for t in b.column(1).to_pylist()]
-            found: list[dict[int, tuple[int, int, int]]] = [{} for _ in docs]
-            if len(block.tokens) and docs:
-                flat = np.concatenate(docs)
-                starts = np.cumsum([0] + [len(d) for d in docs])
-                place, at = [], []
-                for k, mask in enumerate(MASKS):
-                    p, q = block.hits(seed_hashes(flat, mask, k))
-                    inside = p + len(mask) <= starts[np.searchsorted(starts, p, side="right")]
-                    place.append(p[inside])
-                    at.append(q[inside])
-                p, q = np.concatenate(place), np.concatenate(at)
-                own = np.searchsorted(starts, p, side="right") - 1
-                for d in np.unique(own):
-                    mine = own == d
-                    found[d] = overlaps(block, docs[d], p[mine] - starts[d], q[mine], least)
+            found = search(b.column(1).to_pylist())
             items = [[*old, *({"item_id": i, "matches": n, "start": s, "end": e} for i, (n, s, e) in sorted(f.items()))] for old, f in zip(b.column(2).to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(items, ITEMS)], schema=schema)
 
@@ -192,3 +204,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, id_
     for block in blocks(benchmark):
         found = found.mapInArrow(_search(spark.sparkContext.broadcast(block), least), f"doc_id long, text string, items {ITEMS_DDL}")
     return found.select("doc_id", "items")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that no item of the benchmark contaminates."""
+    spark = docs.sparkSession
+    prepare(spark)
+    for block in blocks(benchmark):
+        packed = spark.sparkContext.broadcast(block)
+
+        def build(packed=packed):
+            search = Search(packed, least)
+            return lambda texts: [not x for x in search(texts)]
+
+        docs = keep_rows(docs, text_col, build)
+    return docs

@@ -154,11 +154,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns; of repeated rows (same id and text) one."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    groups = written(exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id"), "keep_id", F.col("text_sha256").alias("__sha")), "exact-copies")
+    again = F.col("__id").eqNullSafe(F.col("keep_id"))
+    gone = groups.where(~again).select("__id", "__sha").distinct()
     sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
-    there = docs.withColumn("__sha0", sha).withColumn("__id0", F.col(id_col))
-    kept = there.join(kept, F.col("__id0").eqNullSafe(F.col("__id")) & (F.col("__sha0") == F.col("__sha")), "left_semi")
-    return kept.dropDuplicates(["__id0", "__sha0"]).drop("__id0", "__sha0")
+    rows = docs.withColumn("__sha0", sha).withColumn("__id0", F.col(id_col))
+    kept = rows.join(gone, F.col("__id0").eqNullSafe(F.col("__id")) & (F.col("__sha0") == F.col("__sha")), "left_anti")
+    if not groups.where(again).isEmpty():  # a row that stays is itself repeated
+        kept = kept.dropDuplicates(["__id0", "__sha0"])
+    return kept.drop("__id0", "__sha0")
 
 
 ORACLE = """

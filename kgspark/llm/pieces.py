@@ -353,8 +353,8 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     return encoded.select(*CODE.names).mapInArrow(_decoded(model), f"{CODE_DDL}, text string")
 
 
-REPORT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_chunks", pa.int64()), ("ids_sha256", pa.string()), ("text_sha256", pa.string()), ("exact", pa.bool_())])
-REPORT_DDL = "doc_id long, n_tokens long, n_chunks long, ids_sha256 string, text_sha256 string, exact boolean"
+REPORT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("n_chunks", pa.int64()), ("ids_sha256", pa.string()), ("text_sha256", pa.string()), ("exact", pa.bool_())])
+REPORT_DDL = "doc_id long, ids array<int>, n_tokens long, n_chunks long, ids_sha256 string, text_sha256 string, exact boolean"
 
 
 def _summary(doc: int | None, rows: list[tuple[np.ndarray, str, bytes]]) -> dict:
@@ -362,7 +362,7 @@ def _summary(doc: int | None, rows: list[tuple[np.ndarray, str, bytes]]) -> dict
     for i, t, _ in rows:
         ids.update(np.asarray(i, "<i4").tobytes())
         text.update(t.encode())
-    return {"doc_id": doc, "n_tokens": sum(len(i) for i, _, _ in rows), "n_chunks": len(rows), "ids_sha256": ids.hexdigest(), "text_sha256": text.hexdigest(), "exact": text.digest() == rows[0][2]}
+    return {"doc_id": doc, "ids": [i for x, _, _ in rows for i in x] if len(rows) > 1 else rows[0][0], "n_tokens": sum(len(i) for i, _, _ in rows), "n_chunks": len(rows), "ids_sha256": ids.hexdigest(), "text_sha256": text.hexdigest(), "exact": text.digest() == rows[0][2]}
 
 
 def _lists(table: pa.Table | pa.RecordBatch) -> list[tuple]:
@@ -380,7 +380,7 @@ def _joined(group: pa.Table) -> pa.Table:
 
 
 def report(docs: DataFrame, chunk: int = CHUNK, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document, encoded and decoded: counts, digests of ids (32-bit, little endian) and of the decoded text, and
+    """A row per document, encoded and decoded: ids, counts, digests of ids (32-bit, little endian) and of the decoded text, and
     whether that is the text."""
     whole, giant = encode_parts(docs, chunk, model_path, id_col, text_col)
     joined = decode(giant, model_path).groupBy("rid").applyInArrow(_joined, REPORT_DDL)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, texts_of
+from .shared import keep_rows, prepare, texts_of
 
 #: Rows of a class that are learnt from, two thirds for its dictionary, and the longest text among them.
 PER_CLASS, LONGEST = 3000, 32_768
@@ -146,3 +146,23 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     packed = spark.sparkContext.broadcast(pickle.dumps(model))
     found = texts_of(docs, id_col, text_col).mapInArrow(_scored(packed), "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_rejected(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, whose score is `least` or more; without a model all."""
+    spark = docs.sparkSession
+    prepare(spark)
+    packed = spark.sparkContext.broadcast(pickle.dumps(model))
+
+    def build():
+        own = pickle.loads(packed.value)
+        sizes = Sizes(own.good, own.bad) if own else None
+
+        def keep(texts: list[str]) -> np.ndarray:
+            if sizes is None:
+                return np.ones(len(texts), bool)
+            return score(own, np.array([sizes.features(t.encode()) for t in texts]).reshape(-1, 3)) >= least
+
+        return keep
+
+    return keep_rows(docs, text_col, build)

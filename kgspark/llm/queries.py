@@ -39,7 +39,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.report(table(spark, sf_dir, "documents"))
+    return pieces.report(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,19 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def keep_rows(docs: DataFrame, text_col: str, build) -> DataFrame:
+    """The rows of docs, all columns as they are, for which the task's function says so: build() -> (texts -> mask)."""
+    names = docs.columns
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = build()
+        for b in rows:
+            texts = [t or "" for t in b.column(names.index(text_col)).to_pylist()]
+            yield b.filter(pa.array(np.asarray(keep(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column without copying, and the n + 1 offsets of its values."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import prepare, texts_of, written
 
@@ -195,3 +196,22 @@ def near_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", tex
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(placed.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that stay: of each component the row with the smallest id (of several with
+    that id the one with the smallest fingerprint)."""
+    groups = written(near_groups(docs, width, id_col, text_col), "near-groups")
+    best = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("of")).agg(F.min("fp").alias("best"))
+    same = F.col("component_id").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("fp") == F.col("best"))
+    gone = groups.join(best, same, "left_anti").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
+    names = docs.columns
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            texts = pc.ascii_lower(pc.fill_null(b.column(names.index(text_col)), "")).cast(pa.large_binary())
+            fps = np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*names, "__fp0"])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp0", T.LongType())]))
+    return marked.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp0") == F.col("__fp")), "left_anti").drop("__fp0")
