@@ -142,11 +142,11 @@ FIXTURES: dict[str, Callable[[Spark], str]] = {
     "edges": lambda d: """
         select 'c' || cast(n_regionkey as string) as case_id, 'E1_' || cast(o_orderkey as string) as id, 'P' || cast(c_custkey as string) as source_id, 'O' || cast(o_orderkey as string) as target_id, 'PLAINTIFF_IN' as relationship_type, 0.9 as confidence
             from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey
-        union all select 'c' || cast(n_regionkey as string), 'E2_' || cast(okey as string) || '_' || cast(line as string), 'S' || cast(skey as string), 'O' || cast(okey as string), 'DEFENDANT_IN', 0.8
+        union all select 'c' || cast(n_regionkey as string), 'E2_' || cast(okey as string) || '_' || cast(line as string), 'S' || cast(skey as string), 'O' || cast(okey as string), 'DEFENDANT_IN', cast(0.8 as double)
             from lines join orders on o_orderkey = okey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where line = 1
-        union all select 'c' || cast(n_regionkey as string), 'E3_' || cast(o_orderkey as string), 'O' || cast(o_orderkey as string), 'N' || cast(n_nationkey as string), 'FILED_IN', 0.7
+        union all select 'c' || cast(n_regionkey as string), 'E3_' || cast(o_orderkey as string), 'O' || cast(o_orderkey as string), 'N' || cast(n_nationkey as string), 'FILED_IN', cast(0.7 as double)
             from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey
-        union all select 'c' || cast(n_regionkey as string), 'E4_' || cast(s_suppkey as string), 'S' || cast(s_suppkey as string), 'P' || cast(s_suppkey as string), 'ASSOCIATED_WITH', 1.0 from supplier join nation on n_nationkey = s_nationkey""",
+        union all select 'c' || cast(n_regionkey as string), 'E4_' || cast(s_suppkey as string), 'S' || cast(s_suppkey as string), 'P' || cast(s_suppkey as string), 'ASSOCIATED_WITH', cast(1.0 as double) from supplier join nation on n_nationkey = s_nationkey""",
     "timeline": lambda d: f"""
         select 't_' || cast(o_orderkey as string) as event_id, 'd_' || cast(o_custkey as string) as document_id, 'e_' || cast(cast(floor(o_orderkey / 2) as bigint) as string) as canonical_entity_id,
                case when o_orderkey % 5 = 0 then 'DEADLINE' when o_orderkey % 5 < 3 then 'HEARING' else 'FILING' end as event_type, 'Event ' || cast(o_orderkey as string) as description,
@@ -154,7 +154,7 @@ FIXTURES: dict[str, Callable[[Spark], str]] = {
                case when o_orderkey % 12 = 0 then {d.text("o_orderdate", "yyyy-MM-dd")} else cast(null as string) end as start_date,
                case when o_orderkey % 6 = 0 then 'UNKNOWN_PARTIAL' when o_orderkey % 3 = 1 then 'EXACT_DAY' when o_orderkey % 3 = 2 then 'MONTH' else 'YEAR' end as date_precision,
                case when o_orderkey % 17 = 0 then 'REVIEW_REQUIRED' when o_orderkey % 19 = 0 then 'AMBIGUOUS' else 'RESOLVED' end as temporal_status,
-               case when o_orderkey % 7 = 0 then cast(null as int) else cast(o_orderkey % 40 as int) + 1 end as source_page, cast(o_orderkey % 500 as int) as span_start, o_orderkey as pos, round(0.5 + (o_orderkey % 50) / 100.0, 4) as confidence
+               case when o_orderkey % 7 = 0 then cast(null as int) else cast(o_orderkey % 40 as int) + 1 end as source_page, cast(o_orderkey % 500 as int) as span_start, o_orderkey as pos, round(cast(0.5 as double) + (o_orderkey % 50) / cast(100 as double), 4) as confidence
         from orders""",
     "timeline_edges": lambda d: """
         select 'x_' || cast(a.o_orderkey as string) as relationship_id, 't_' || cast(a.o_orderkey as string) as source_event_id,
