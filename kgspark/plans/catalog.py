@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entities, graphs, timelines  # noqa: F401
+from . import dockets, entities, graphs, timelines  # noqa: F401
 from .fixtures import sql
 from .registry import ORACLES, QUERIES
 
