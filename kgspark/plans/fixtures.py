@@ -186,7 +186,10 @@ def build(d: Spark, sql: str) -> str:
     if not order:
         return own
     front = ", ".join(f"{n} as ({FIXTURES[n](d)})" for n in order)
-    return f"with {front}, {own[5:]}" if own.lower().startswith("with ") else f"with {front} {own}"
+    for head in ("with recursive ", "with "):
+        if own.lower().startswith(head):
+            return f"{head}{front}, {own[len(head):]}"
+    return f"with {front} {own}"
 
 
 def oracle(sql: str) -> str:
