@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import key
+from ..shipping import ship
 
 
 def _within(a: str, b: str) -> bool:
@@ -44,6 +45,7 @@ def matched_pairs(predicted: DataFrame, gold: DataFrame, match: str) -> DataFram
 
     predicted and gold: document_id, category, pos, page, text, norm.
     """
+    ship(predicted.sparkSession)
     fits = MATCHES[match]
 
     def run(group: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
@@ -106,6 +108,7 @@ def temporal(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 
     predicted and gold: document_id, pos, description, date.
     """
+    ship(predicted.sparkSession)
 
     def run(group: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         free = g.sort_values("pos").to_dict("records")
