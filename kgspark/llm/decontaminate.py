@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_rows, prepare, texts_of
+from .shared import keep_rows, prepare, sliced, texts_of
 
 # Masks of one weight, chosen to share few positions under any shift.
 MASKS = ("11110111", "1101101011", "11100101101", "110010101011")
@@ -167,7 +167,7 @@ def _search(packed, least: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(packed, least)
-        for b in rows:
+        for b in sliced(rows):
             found = search(b.column(1).to_pylist())
             items = [[*old, *({"item_id": i, "matches": n, "start": s, "end": e} for i, (n, s, e) in sorted(f.items()))] for old, f in zip(b.column(2).to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(items, ITEMS)], schema=schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, texts_of, written
+from .shared import prepare, sliced, texts_of, written
 
 #: Bits of a fingerprint in the exchange; a clash costs one needless byte comparison.
 FP_BITS = 48
@@ -79,7 +79,7 @@ def _digest(owners: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, chunk, held, fps, rid = TaskContext.get().partitionId(), 0, 0, [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             norm = pc.ascii_lower(batch.column(1))
             shas = [hashlib.sha256(t).digest() for t in norm.cast(pa.large_binary()).to_pylist()]
             fp = (np.frombuffer(b"".join(s[:8] for s in shas), ">u8") >> np.uint64(64 - FP_BITS)).astype(np.uint64)
@@ -159,7 +159,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = groups.where(~again).select("__id", "__sha").distinct()
     sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
     rows = docs.withColumn("__sha0", sha).withColumn("__id0", F.col(id_col))
-    kept = rows.join(gone, F.col("__id0").eqNullSafe(F.col("__id")) & (F.col("__sha0") == F.col("__sha")), "left_anti")
+    kept = rows.join(gone.hint("merge"), F.col("__id0").eqNullSafe(F.col("__id")) & (F.col("__sha0") == F.col("__sha")), "left_anti")
     if not groups.where(again).isEmpty():  # a row that stays is itself repeated
         kept = kept.dropDuplicates(["__id0", "__sha0"])
     return kept.drop("__id0", "__sha0")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_rows, prepare, texts_of
+from .shared import keep_rows, prepare, sliced, texts_of
 
 #: Rows of a class that are learnt from, two thirds for its dictionary, and the longest text among them.
 PER_CLASS, LONGEST = 3000, 32_768
@@ -131,7 +131,7 @@ def _scored(packed):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(packed.value)
         sizes = Sizes(model.good, model.bad) if model else None
-        for b in rows:
+        for b in sliced(rows):
             texts = b.column(1).cast(pa.large_binary()).to_pylist()
             found = np.array([sizes.features(t) for t in texts]).reshape(-1, 3) if sizes else np.zeros((len(texts), 3))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(score(model, found))], schema=schema)

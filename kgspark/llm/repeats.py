@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, texts_of, written
+from .shared import prepare, sliced, texts_of, written
 from .suffix_sort import Disk, suffixes
 
 LENGTH, GRAM = 400, 100
@@ -96,7 +96,7 @@ def _runs(length: int, gram: int):
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "at", "n", "key")])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in sliced(rows, 2):
             for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 at, n, key = owned_runs(np.frombuffer(text.as_py().encode(), np.uint8), length, gram)
                 m = len(at)
@@ -112,7 +112,7 @@ def _regions(length: int):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("region", pa.binary())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in sliced(rows, 2):
             for r in b.to_pylist():
                 data = r["text"].encode()
                 own = sorted({(x["at"], x["n"], x["key"]) for x in r["runs"]})
@@ -201,7 +201,7 @@ def _sorted(length: int, at_once: int):
 
 def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", SPANS), ("kept", pa.binary())])
-    for b in rows:
+    for b in sliced(rows):
         for r in b.to_pylist():
             data = r["text"].encode()
             spans: list[list[int]] = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_views, prepare, texts_of
+from .shared import byte_views, prepare, sliced, texts_of
 
 
 @dataclass(frozen=True)
@@ -204,7 +204,7 @@ def _scan(rules: tuple[Rule, ...], base: frozenset[str]):
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, searched = Index(wanted), [r.compiled() for r in rules]
-        for block in blocks:
+        for block in sliced(blocks):
             column = block.column(1)
             posts = index.build(*byte_views(column))
             texts: list[str] = column.to_pylist()

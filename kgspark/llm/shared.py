@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Rows of an Arrow batch sent to Python; texts may be long, so far fewer than Spark's 10,000.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
+#: Bytes of a string column that are turned to Python objects at once.
+SLICE_BYTES = 1 << 21
 
 
 def prepare(spark: SparkSession) -> None:
@@ -56,14 +58,31 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def sliced(rows: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose strings have at most `most` bytes, or which are single rows; no bytes are copied."""
+    for b in rows:
+        _, off, _ = b.column(column).buffers()
+        if off is None or b.num_rows < 2:
+            yield b
+            continue
+        wide = pa.types.is_large_string(b.schema.field(column).type) or pa.types.is_large_binary(b.schema.field(column).type)
+        ends = np.frombuffer(off, np.int64 if wide else np.int32)[b.column(column).offset :][: b.num_rows + 1].astype(np.int64)
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+            yield b.slice(a, z - a)
+            a = z
+    pa.default_memory_pool().release_unused()
+
+
 def keep_rows(docs: DataFrame, text_col: str, build) -> DataFrame:
     """The rows of docs, all columns as they are, for which the task's function says so: build() -> (texts -> mask)."""
     names = docs.columns
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = build()
-        for b in rows:
-            texts = [t or "" for t in b.column(names.index(text_col)).to_pylist()]
+        keep, at = build(), names.index(text_col)
+        for b in sliced(rows, at):
+            texts = [t or "" for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(np.asarray(keep(texts), bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import prepare, texts_of, written
+from .shared import prepare, sliced, texts_of, written
 
 SEED, WIDTH = 42, 3
 #: Shingles whose bits are counted at once.
 RUN = 65_536
 #: Distinct fingerprints of an owner's own part of the space.
-OWNED = 6000
+OWNED = 2000
 
 
 def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
@@ -63,7 +63,7 @@ def _fingerprints(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in sliced(rows):
             texts = pc.ascii_lower(b.column(1)).cast(pa.large_binary())
             fps = np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps)], schema=schema)
@@ -208,10 +208,11 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     names = docs.columns
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            texts = pc.ascii_lower(pc.fill_null(b.column(names.index(text_col)), "")).cast(pa.large_binary())
+        at = names.index(text_col)
+        for b in sliced(rows, at):
+            texts = pc.ascii_lower(pc.fill_null(b.column(at), "")).cast(pa.large_binary())
             fps = np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*names, "__fp0"])
 
     marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp0", T.LongType())]))
-    return marked.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp0") == F.col("__fp")), "left_anti").drop("__fp0")
+    return marked.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp0") == F.col("__fp")), "left_anti").drop("__fp0")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import file_bytes, prepare, texts_of, tokenizer_path
+from .shared import file_bytes, prepare, sliced, texts_of, tokenizer_path
 
 #: Lengths of a block.
 BLOCK = 4096
@@ -30,7 +30,7 @@ def _lengths(ranks):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoding(ranks.value)
-        for batch in batches:
+        for batch in sliced(batches, 0):
             n, docs = np.unique(np.array(tokens.counts(enc, batch.column(0).to_pylist()), np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(docs.astype(np.int64))], schema=schema)
 
