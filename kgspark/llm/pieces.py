@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import file_bytes, prepare, texts_of, tokenizer_path, written
+from .shared import file_bytes, prepare, sliced, texts_of, tokenizer_path, written
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -221,7 +221,7 @@ def _split(chunk: int, margin: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
-        for b in rows:
+        for b in sliced(rows):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 plain = text.as_py()
                 sha, whole = hashlib.sha256(plain.encode()).digest(), marked(plain)
@@ -241,7 +241,7 @@ def _matrices(model):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model.value)
-        for b in rows:
+        for b in sliced(rows, 6):
             out = []
             for r in b.to_pylist():
                 ins, outs, sums = own.matrix(r["part"], r["left"], r["right"], r["chunk"] == r["n_chunks"] - 1)
@@ -288,13 +288,12 @@ CODE_DDL = "doc_id long, rid long, chunk long, ids array<int>, sha binary"
 def _traced(model):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model.value)
-        for b in rows:
-            out = []
+        for b in sliced(rows, 6):
+            ids = []
             for r in b.to_pylist():
                 state = (r["in_s"] + r["left"], r["in_e"] + r["left"]) if r["chunk"] else None
-                ids = own.chunk_ids(r["part"], state, (r["out_s"] + r["right"], r["out_e"] + r["right"]))
-                out.append({"doc_id": r["doc_id"], "rid": r["rid"], "chunk": r["chunk"], "ids": ids, "sha": r["sha"]})
-            yield pa.RecordBatch.from_pylist(out, schema=CODE)
+                ids.append(own.chunk_ids(r["part"], state, (r["out_s"] + r["right"], r["out_e"] + r["right"])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), b.column("chunk"), pa.array(ids, CODE.field("ids").type), b.column("sha")], schema=CODE)
 
     return run
 
@@ -303,7 +302,7 @@ def _whole(model):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model.value)
         rid = -1 - (TaskContext.get().partitionId() << 40)
-        for b in rows:
+        for b in sliced(rows):
             texts = b.column(1).to_pylist()
             ids = own.library.encode(texts, num_threads=1)
             n = len(texts)
@@ -313,8 +312,13 @@ def _whole(model):
     return run
 
 
-def encode_parts(docs: DataFrame, chunk: int = CHUNK, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows as encode() has them: those of shorter documents, and those of giant ones."""
+def _steps(*steps):
+    """Several functions on batches as one."""
+    return lambda rows: reduce(lambda r, step: step(r), steps, rows)
+
+
+def _prepared(docs: DataFrame, chunk: int, model_path: str | None, id_col: str, text_col: str) -> tuple:
+    """The model on the workers, the shorter documents, and the chunks of the others with their states."""
     spark = docs.sparkSession
     prepare(spark)
     data = file_bytes(model_path or tokenizer_path(MODEL))
@@ -323,14 +327,21 @@ def encode_parts(docs: DataFrame, chunk: int = CHUNK, model_path: str | None = N
     giant = F.char_length("text") > chunk
     parts = written(plain.where(giant).mapInArrow(_split(chunk, vocabulary(data).longest + 1), ROW_DDL).repartition("rid", "chunk"), "chunks")
     states = parts.mapInArrow(_matrices(model), "rid long, chunk long, ins array<long>, outs array<long>, sums array<float>").groupBy("rid").applyInArrow(_combine, "rid long, chunk long, in_s long, in_e long, out_s long, out_e long")
-    traced = parts.join(states, ["rid", "chunk"]).mapInArrow(_traced(model), CODE_DDL)
-    return plain.where(~giant).mapInArrow(_whole(model), CODE_DDL), traced
+    return model, plain.where(~giant), parts.join(states, ["rid", "chunk"])
 
 
 def encode(docs: DataFrame, chunk: int = CHUNK, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rid (the row), chunk, ids, sha (of the whole text): a row per document, or per chunk of a giant one."""
-    whole, traced = encode_parts(docs, chunk, model_path, id_col, text_col)
-    return whole.unionByName(traced)
+    model, short, placed = _prepared(docs, chunk, model_path, id_col, text_col)
+    return short.mapInArrow(_whole(model), CODE_DDL).unionByName(placed.mapInArrow(_traced(model), CODE_DDL))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """All values of a list column, and where each list begins and the last one ends."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    edge = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[edge[0] : edge[-1]], (edge - edge[0]).tolist()
 
 
 def _decoded(model):
@@ -339,7 +350,9 @@ def _decoded(model):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model.value)
         for b in rows:
-            texts = [own.decode(ids, chunk == 0) for ids, chunk in zip(b.column("ids").to_pylist(), b.column("chunk").to_pylist(), strict=True)]
+            flat, edge = _flat(b.column("ids"))
+            flat = flat.tolist()
+            texts = [own.decode(flat[i:j], chunk == 0) for i, j, chunk in zip(edge, edge[1:], b.column("chunk").to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], schema=schema)
 
     return run
@@ -362,16 +375,18 @@ def _summary(doc: int | None, rows: list[tuple[np.ndarray, str, bytes]]) -> dict
     for i, t, _ in rows:
         ids.update(np.asarray(i, "<i4").tobytes())
         text.update(t.encode())
-    return {"doc_id": doc, "ids": [i for x, _, _ in rows for i in x] if len(rows) > 1 else rows[0][0], "n_tokens": sum(len(i) for i, _, _ in rows), "n_chunks": len(rows), "ids_sha256": ids.hexdigest(), "text_sha256": text.hexdigest(), "exact": text.digest() == rows[0][2]}
+    return {"doc_id": doc, "ids": np.concatenate([i for i, _, _ in rows]), "n_tokens": sum(len(i) for i, _, _ in rows), "n_chunks": len(rows), "ids_sha256": ids.hexdigest(), "text_sha256": text.hexdigest(), "exact": text.digest() == rows[0][2]}
 
 
 def _lists(table: pa.Table | pa.RecordBatch) -> list[tuple]:
-    return list(zip(table.column("ids").to_pylist(), table.column("text").to_pylist(), table.column("sha").to_pylist(), strict=True))
+    flat, edge = _flat(table.column("ids"))
+    return list(zip([flat[i:j] for i, j in zip(edge, edge[1:], strict=False)], table.column("text").to_pylist(), table.column("sha").to_pylist(), strict=True))
 
 
 def _each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows:
-        yield pa.RecordBatch.from_pylist([_summary(d, [x]) for d, x in zip(b.column("doc_id").to_pylist(), _lists(b), strict=True)], schema=REPORT)
+        rows = [_summary(d, [x]) for d, x in zip(b.column("doc_id").to_pylist(), _lists(b), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("ids") if f.name == "ids" else pa.array([r[f.name] for r in rows], f.type) for f in REPORT], schema=REPORT)
 
 
 def _joined(group: pa.Table) -> pa.Table:
@@ -381,7 +396,7 @@ def _joined(group: pa.Table) -> pa.Table:
 
 def report(docs: DataFrame, chunk: int = CHUNK, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document, encoded and decoded: ids, counts, digests of ids (32-bit, little endian) and of the decoded text, and
-    whether that is the text."""
-    whole, giant = encode_parts(docs, chunk, model_path, id_col, text_col)
-    joined = decode(giant, model_path).groupBy("rid").applyInArrow(_joined, REPORT_DDL)
-    return decode(whole, model_path).mapInArrow(_each, REPORT_DDL).union(joined)
+    whether that is the text. The steps of a row run one after another in one worker."""
+    model, short, placed = _prepared(docs, chunk, model_path, id_col, text_col)
+    joined = placed.mapInArrow(_steps(_traced(model), _decoded(model)), f"{CODE_DDL}, text string").groupBy("rid").applyInArrow(_joined, REPORT_DDL)
+    return short.mapInArrow(_steps(_whole(model), _decoded(model), _each), REPORT_DDL).union(joined)
