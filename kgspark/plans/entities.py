@@ -32,11 +32,11 @@ TYPED = f"""{BASE}, typed as (select r.*, s.entity_type as source_type, t.entity
 ENTITY_RECORDS = """entity_records as (
   select document_id, canonical_id, 'INVALID_ENTITY_TYPE' as validation_rule, 'INVALID' as status, 'CRITICAL' as severity from canon where entity_type not in (select entity_type from dim_type)
   union all select document_id, canonical_id, 'MISSING_NAME', 'INVALID', 'HIGH' from canon where trim(canonical_name) = ''
-  union all select document_id, canonical_id, 'LOW_CONFIDENCE', 'REVIEW_REQUIRED', 'MEDIUM' from canon where avg_confidence < 0.6)"""
+  union all select document_id, canonical_id, 'LOW_CONFIDENCE', 'REVIEW_REQUIRED', 'MEDIUM' from canon where round(avg_confidence, 9) < 0.6)"""
 RELATION_RECORDS = """relation_records as (
   select document_id, relation_id, 'PREVIOUSLY_INVALIDATED' as validation_rule, 'INVALID' as status, 'HIGH' as severity from typed where not is_valid
   union all select document_id, relation_id, 'INVALID_TRIPLET', 'INVALID', 'HIGH' from typed where is_valid and not triplet_ok
-  union all select document_id, relation_id, 'LOW_CONFIDENCE', 'REVIEW_REQUIRED', 'MEDIUM' from typed where is_valid and avg_confidence < 0.6)"""
+  union all select document_id, relation_id, 'LOW_CONFIDENCE', 'REVIEW_REQUIRED', 'MEDIUM' from typed where is_valid and round(avg_confidence, 9) < 0.6)"""
 WORST = """entity_worst as (select c.document_id, c.canonical_id, c.entity_type, max(case status when 'INVALID' then 3 when 'REVIEW_REQUIRED' then 2 else 0 end) as rank from canon c left join entity_records r using (canonical_id) group by all),
  relation_worst as (select t.document_id, t.relation_id, max(case status when 'INVALID' then 3 when 'REVIEW_REQUIRED' then 2 else 0 end) as rank from typed t left join relation_records r using (relation_id) group by all)"""
 VALIDATED = f"{TYPED}, {ENTITY_RECORDS}, {RELATION_RECORDS}, {WORST}"
@@ -165,7 +165,7 @@ def v_entity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.entity_records(canonical(spark, sf_dir)).drop("message", "confidence")
 
 
-@query(f"with {CANON} select canonical_id, round(avg_confidence, 4) as confidence from canon where avg_confidence < 0.6")
+@query(f"with {CANON} select canonical_id, round(avg_confidence, 4) as confidence from canon where round(avg_confidence, 9) < 0.6")
 def v_low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.entity_records(canonical(spark, sf_dir)).where("validation_rule = 'LOW_CONFIDENCE'").select("canonical_id", F.round("confidence", 4).alias("confidence"))
 

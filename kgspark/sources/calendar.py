@@ -24,7 +24,7 @@ def ics_events(events: DataFrame, redact: bool = False) -> DataFrame:
     else:
         location = F.when(hearing & F.col("court_name").isNotNull(), F.concat("court_name", F.coalesce(F.concat(F.lit(", Room "), "courtroom"), F.lit(""))))
         parts += [F.when(hearing & F.col("judge").isNotNull(), text("Judge", F.col("judge"))), F.when(F.col("notes").isNotNull(), text("Notes", F.col("notes")))]
-    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\,")), F.lit(";"), F.lit("\;"))
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\,")), F.lit(";"), F.lit("\\;"))
     lines = [
         F.lit("BEGIN:VEVENT"),
         F.concat(F.lit("UID:docket-event-"), F.col("event_id").cast("string"), F.lit(f"@{UID_HOST}")),
