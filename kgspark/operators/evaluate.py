@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.groups import fold_groups
 from ..functions.text import key
-from ..shipping import ship
 
 
 def _within(a: str, b: str) -> bool:
@@ -45,21 +44,26 @@ def matched_pairs(predicted: DataFrame, gold: DataFrame, match: str) -> DataFram
 
     predicted and gold: document_id, category, pos, page, text, norm.
     """
-    ship(predicted.sparkSession)
     fits = MATCHES[match]
 
-    def run(group: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        free = g.sort_values("pos").to_dict("records")
-        tp = 0
-        for row in p.sort_values("pos").to_dict("records"):
+    def fold(group: tuple, rows: list[dict]) -> list[tuple]:
+        free = [r for r in rows if r["is_gold"]]
+        tp = n = 0
+        for row in rows:
+            if row["is_gold"]:
+                continue
+            n += 1
             k = next((i for i, x in enumerate(free) if fits(row, x)), None)
             if k is not None:
                 del free[k]
                 tp += 1
-        return pd.DataFrame([(group[0], group[1], tp, len(p) - tp, len(free))], columns=["document_id", "category", "tp", "fp", "fn"])
+        return [(*group, tp, n - tp, len(free))]
+
+    return fold_groups(_both(predicted, gold, "document_id", "category", "pos", "page", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "norm")]), ["document_id", "category"], ["is_gold", "pos"], fold, COUNTS)
 
-    ready = lambda df: df.select("document_id", "category", "pos", "page", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("norm", F.lit("")).alias("norm"))
-    return ready(predicted).groupBy("document_id", "category").cogroup(ready(gold).groupBy("document_id", "category")).applyInPandas(run, COUNTS)
+
+def _both(predicted: DataFrame, gold: DataFrame, *columns: str | Column) -> DataFrame:
+    return predicted.select(F.lit(False).alias("is_gold"), *columns).union(gold.select(F.lit(True).alias("is_gold"), *columns))
 
 
 def scores(counts: DataFrame, empty: str = "null") -> DataFrame:
@@ -108,12 +112,14 @@ def temporal(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 
     predicted and gold: document_id, pos, description, date.
     """
-    ship(predicted.sparkSession)
 
-    def run(group: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        free = g.sort_values("pos").to_dict("records")
-        matched = exact = partial = 0
-        for row in p.sort_values("pos").to_dict("records"):
+    def fold(group: tuple, rows: list[dict]) -> list[tuple]:
+        free = [r for r in rows if r["is_gold"]]
+        total, seen, matched, exact, partial = len(free), 0, 0, 0, 0
+        for row in rows:
+            if row["is_gold"]:
+                continue
+            seen += 1
             k = next((i for i, x in enumerate(free) if _within(x["description"], row["description"])), None)
             if k is None:
                 continue
@@ -122,10 +128,10 @@ def temporal(predicted: DataFrame, gold: DataFrame) -> DataFrame:
             if a and b:
                 exact += a == b
                 partial += a != b and (_within(a, b) or a[:4] == b[:4])
-        return pd.DataFrame([(len(g), len(p), matched, exact, partial)], columns=["total_gold", "total_predicted", "matched", "exact_dates", "partial_dates"])
+        return [(total, seen, matched, exact, partial)]
 
-    ready = lambda df: df.select("document_id", "pos", key(F.col("description")).alias("description"), F.coalesce("date", F.lit("")).alias("date"))
-    found = ready(predicted).groupBy("document_id").cogroup(ready(gold).groupBy("document_id")).applyInPandas(run, "total_gold long, total_predicted long, matched long, exact_dates long, partial_dates long")
+    rows = _both(predicted, gold, "document_id", "pos", key(F.col("description")).alias("description"), F.coalesce("date", F.lit("")).alias("date"))
+    found = fold_groups(rows, ["document_id"], ["is_gold", "pos"], fold, "total_gold long, total_predicted long, matched long, exact_dates long, partial_dates long")
     sums = found.agg(*[F.sum(c).alias(c) for c in found.columns])
     p, r = F.round(F.col("matched") / F.col("total_predicted"), 4), F.round(F.col("matched") / F.col("total_gold"), 4)
     return sums.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.when(p + r > 0, F.round(2 * (p * r) / (p + r), 4)).otherwise(0.0))

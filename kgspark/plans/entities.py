@@ -56,8 +56,7 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, entities = resolved(spark, sf_dir), canonical(spark, sf_dir)
-    worst = validate.worst_status(found, validate.relation_records(found, entities), "relation_id")
-    return found.join(worst.where("worst_status <> 'INVALID'").select("relation_id"), "relation_id", "left_semi")
+    return validate.check_relations(found, entities).where("worst_status <> 'INVALID'").select(found.columns)
 
 
 # --- Vocabulary ----------------------------------------------------------------------------------------------------
@@ -186,15 +185,13 @@ def v_missing_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{VALIDATED} select canonical_id, case rank when 3 then 'INVALID' when 2 then 'REVIEW_REQUIRED' else 'VALID' end as worst_status from entity_worst")
 def v_worst_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = canonical(spark, sf_dir)
-    return validate.worst_status(entities, validate.entity_records(entities), "canonical_id")
+    return validate.check_entities(canonical(spark, sf_dir)).select("canonical_id", "worst_status")
 
 
 @query(f"{VALIDATED} select relation_id, rank < 3 as valid from relation_worst")
 def v_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolved(spark, sf_dir)
-    worst = validate.worst_status(found, validate.relation_records(found, canonical(spark, sf_dir)), "relation_id")
-    return worst.select("relation_id", (F.col("worst_status") != "INVALID").alias("valid"))
+    checked = validate.check_relations(resolved(spark, sf_dir), canonical(spark, sf_dir))
+    return checked.select("relation_id", (F.col("worst_status") != "INVALID").alias("valid"))
 
 
 @query(f"""{BASE}, twice as (select * from resolved union all select * from resolved where first_pos % 3 = 0)

@@ -79,8 +79,7 @@ def e_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{VALIDATED} select count(*) as total_items, count(*) filter (where rank = 3) as invalid_items, round(count(*) filter (where rank = 3) / count(*), 4) as invalid_rate, round(count(*) filter (where rank < 3) / count(*), 4) as valid_rate from entity_worst")
 def e_validation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = canonical(spark, sf_dir)
-    return evaluate.validation_rate(validate.worst_status(entities, validate.entity_records(entities), "canonical_id"))
+    return evaluate.validation_rate(validate.check_entities(canonical(spark, sf_dir)))
 
 
 ITEMS = "select mention_id, case when pos % 11 = 0 then 0 else page_number end as page_number, start_offset, case when pos % 13 = 0 then start_offset - 1 else end_offset end as end_offset, text from mentions"
