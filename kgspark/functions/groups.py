@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -45,4 +46,5 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list[str], fold: Callab
             made.extend(fold(now, held))
         yield pack()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+    # By a hash of the keys: a partitioning by the keys themselves, inherited from below, is not taken on trust.
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, out)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import ontology
+from ..session import guard
 
 BASE = "region nation customer supplier part orders lineitem events documents pages conversations benchmark labels embeddings".split()
 
@@ -198,6 +199,7 @@ def oracle(sql: str) -> str:
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run text over the driver's tables and the fixtures."""
+    guard(spark)
     full = build(Spark(), text)
     for name in set(re.findall(r"\w+", full)) & set(BASE):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+#: A union of inputs that are partitioned alike passes for partitioned in 4.1; once adaptive execution has coalesced the inputs
+#: differently, rows of a key lie apart, and what follows gives wrong results.
+GUARD = {"spark.sql.unionOutputPartitioning": "false"}
+
+
+def guard(spark: SparkSession) -> None:
+    for k, v in GUARD.items():
+        spark.conf.set(k, v)
+
+
 def session(name: str = "kgspark", **conf: str) -> SparkSession:
     """A session as the engine expects it: UTC, adaptive execution, Arrow exchange."""
     builder = SparkSession.builder.appName(name)
@@ -15,6 +25,6 @@ def session(name: str = "kgspark", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
     }
-    for k, v in (own | {k.replace("__", "."): v for k, v in conf.items()}).items():
+    for k, v in (own | GUARD | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

@@ -8,11 +8,14 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+from .session import guard
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Once for each application, add the package's modules to the workers' path."""
+    """Once for each application, add the package's modules to the workers' path; every time, set what guards results."""
+    guard(spark)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
