@@ -172,10 +172,19 @@ class Inducer:
         emit(np.array([len(self.text) - 1], self.dtype))
 
 
+def _radix(keys: np.ndarray) -> np.ndarray:
+    """Stable argsort of non-negative integers below 2 ** 32, 16 bits at a time: each pass is linear."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(keys) and int(keys.max()) >> 16:
+        high = (keys >> 16).astype(np.uint16)
+        order = order[np.argsort(high[order], kind="stable")]
+    return order
+
+
 def _order(keys: np.ndarray, disk: Disk) -> np.ndarray:
-    """Stable argsort; a distribution sort over files if the keys exceed the memory."""
+    """Stable argsort of ranks; a distribution sort over files if they exceed the memory."""
     if keys.nbytes * 2 <= disk.memory:
-        return np.argsort(keys, kind="stable")
+        return _radix(keys)
     step = max(1, len(keys) // 65_536)
     sample = np.sort(np.asarray(keys[::step]))
     parts = max(2, 4 * keys.nbytes // disk.memory)
@@ -204,28 +213,34 @@ def _order(keys: np.ndarray, disk: Disk) -> np.ndarray:
     return out
 
 
-def _ranks(names: np.ndarray, top: int, depth: int, disk: Disk) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first `depth` names at least: ranks, doubled in reach each round."""
+def _ranks(names: np.ndarray, depth: int, disk: Disk) -> np.ndarray:
+    """Order of the suffixes of a string of names by their first `depth` names at least.
+
+    Each round doubles the reach. The order so far, moved back by the reach, is that of the second halves; a stable sort by
+    the ranks of the first halves completes it.
+    """
     n, reach = len(names), 1
     rank = disk.array(n, np.int64)
     rank[:] = names
+    order = _order(rank, disk)
     while True:
-        key = disk.array(n, np.int64)
-        key[:] = rank
-        key *= top + 1
-        key[: n - reach] += rank[reach:] + 1
-        order = _order(key, disk)
-        changed = np.empty(n, np.int64)
-        changed[0] = 0
+        moved = disk.array(n, np.int64)
+        moved[:reach] = np.arange(n - reach, n)  # nothing follows these
+        after = order - reach
+        moved[reach:] = after[after >= 0]
+        order = moved[_order(rank[moved], disk)]
+        fresh = np.zeros(n, np.int64)
         for a in range(1, n, disk.chunk):
             b = min(n, a + disk.chunk)
-            changed[a:b] = key[order[a:b]] != key[order[a - 1 : b - 1]]
-        np.cumsum(changed, out=changed)
-        top = int(changed[-1]) + 1
+            here, before = order[a:b], order[a - 1 : b - 1]
+            differ = rank[here] != rank[before]
+            second = lambda at: np.where(at + reach < n, rank[np.minimum(at + reach, n - 1)], -1)  # noqa: B023, E731
+            fresh[a:b] = differ | (second(here) != second(before))
+        np.cumsum(fresh, out=fresh)
         reach *= 2
-        if top == n or reach >= depth:
+        if int(fresh[-1]) + 1 == n or reach >= depth:
             return order
-        rank[order] = changed
+        rank[order] = fresh
 
 
 def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -278,5 +293,5 @@ def suffixes(text: np.ndarray, depth: int, emit: Callable[[np.ndarray], None], d
         names = disk.array(len(lms), np.int64)
         names[place] = named
         # An LMS substring takes two characters of the text at least.
-        order = lms[_ranks(names, int(named[-1]) + 1, depth // 2 + 1, disk)]
+        order = lms[_ranks(names, depth // 2 + 1, disk)]
     inducer.run(order, np.asarray(text[order]), emit)
