@@ -8,8 +8,9 @@ strings never cross documents, and are judged on the input.
    starts, described by the owner's hash. Runs whose hash occurs once in the corpus can't hold a repeat.
 2. The bytes of the other runs, as far as their strings reach, are sent to the shard of the owner's hash. Copies of such a
    region collapse to one with a count before the shuffle, so a passage that many documents share is sorted once.
-3. A task sorts the suffixes of its shard, a bounded number of bytes at once or, where one hash alone has more, on disk,
-   and compares neighbours over LENGTH bytes: a start is repeated if a neighbour agrees, or its region has copies.
+3. A task sorts the suffixes of its shard, a bounded number of bytes at once or, where one hash alone has more, on disk.
+   The sort carries common prefixes: a start is repeated if one of LENGTH bytes joins it to a neighbour, or its region has
+   copies.
 4. Repeated places return to their documents by the region's digest.
 
 Null and empty texts have nothing to remove. Repeated rows are copies of each other. A null id is an id like any other.
@@ -31,7 +32,7 @@ from .suffix_sort import Disk, suffixes
 
 LENGTH, GRAM = 400, 100
 #: Starts of a document handled at once; bytes of a shard sorted at once.
-STARTS, SORTED = 1 << 20, 8 << 20
+STARTS, SORTED = 1 << 20, 2 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -134,7 +135,7 @@ def repeated_starts(regions: list[bytes], counts: list[int], length: int, disk:
         begin = np.concatenate(([0], np.cumsum(sizes)))
         n = int(begin[-1]) + 1
         # Bytes of UTF-8 stay below 245: 0 and 1 are free for the end and for what stands after a region.
-        text = disk.array(n + 8, np.uint8)
+        text = disk.array(n, np.uint8)
         own, repeated = disk.array(n, np.bool_), disk.array(n, np.bool_)
         for r, c, a in zip(regions, counts, begin.tolist(), strict=False):
             text[a : a + len(r)] = np.frombuffer(r, np.uint8) + np.uint8(2)
@@ -142,21 +143,26 @@ def repeated_starts(regions: list[bytes], counts: list[int], length: int, disk:
             own[a : a + len(r) - length + 1] = True
             if c > 1:
                 repeated[a : a + len(r) - length + 1] = True
-        words = np.ndarray((n,), "<u8", buffer=text, strides=(1,))
-        steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-        last = np.zeros(0, np.int64)
-
-        def compare(items: np.ndarray) -> None:
-            nonlocal last
-            some = np.concatenate((last, items[own[items]].astype(np.int64)))
-            left = np.arange(len(some) - 1)
-            for k in steps:
-                left = left[words[some[left] + k] == words[some[left + 1] + k]]
-            repeated[some[left]] = True
-            repeated[some[left + 1]] = True
-            last = some[-1:]
-
-        suffixes(text[:n], length, compare, disk)
+        last, carried = -1, length
+
+        def compare(items: np.ndarray, prefix: np.ndarray) -> None:
+            """Own starts that agree with the own start before them: the least prefix in between reaches the length."""
+            nonlocal last, carried
+            at = np.flatnonzero(own[items])
+            if not len(at):
+                carried = min(carried, int(prefix.min()))
+                return
+            shared = np.minimum.reduceat(prefix[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
+            shared[0] = min(int(shared[0]), carried)
+            places = np.concatenate(([last], items[at]))
+            hit = np.flatnonzero(shared >= length)
+            hit = hit[places[hit] >= 0]
+            repeated[places[hit]] = True
+            repeated[places[hit + 1]] = True
+            last = int(items[at[-1]])
+            carried = int(prefix[at[-1] + 1 :].min(initial=length))
+
+        suffixes(text, length, compare, disk)
         return [np.flatnonzero(repeated[a : a + len(r)]) for r, a in zip(regions, begin.tolist(), strict=False)]
     finally:
         disk.close()

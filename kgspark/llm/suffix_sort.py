@@ -1,13 +1,17 @@
-"""Suffix sorting by external induced sorting, to a bounded depth.
+"""Suffix sorting by external induced sorting, with common prefixes, to a bounded depth.
 
 Suffixes whose predecessor is larger and that begin a rise (LMS) are sorted first: their substrings are put in order by
-one round of inducing, named, and the string of names is sorted in its turn. The order of all other suffixes is induced.
-Inducing runs over priority queues of positions, one queue for each leading character: a queue's order is the order of
-insertion, so the least element of all queues is the head of the first queue that isn't empty. Queues hold chunks and move
-them to a file when all queues together exceed their share of memory; text, types and marks are mapped files beyond that
-size, and sorting by rank runs as a distribution sort over files. Work on a chunk is vectorised.
+one round of inducing, named, and the string of names is sorted by ranks that reach twice as far each round. The order of
+all other suffixes is induced. Inducing runs over priority queues of tuples, one queue for each leading character: a
+queue's order is the order of insertion, so the least element of all queues is the head of the first queue that isn't
+empty. A tuple is a position and the length of the common prefix with the tuple before it in its queue: one more than the
+least of the common prefixes between the two suffixes that induced them.
+
+Queues hold chunks and move them to a file when all queues together exceed their share of memory; text, types and marks are
+mapped files beyond that size, and sorting by rank runs as a distribution sort over files. Work on a chunk is vectorised.
 
 The order is exact for the first `depth` characters of every suffix at least; suffixes that agree so far are neighbours.
+Common prefixes are exact below the depth, and count as the depth from there on.
 """
 
 from __future__ import annotations
@@ -131,45 +135,134 @@ def types(text: np.ndarray, disk: Disk) -> np.ndarray:
     return small
 
 
-class Inducer:
-    """Order of all suffixes from that of the LMS suffixes."""
+#: A tuple: position above, common prefix in the low bits.
+PREFIX_BITS = 16
+_LOW = (1 << PREFIX_BITS) - 1
+
+
+class Least:
+    """Minima over ranges of an array: a table of minima over 1, 2, 4, ... neighbours."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.rows = [values]
+        step = 1
+        while 2 * step <= len(values):
+            last = self.rows[-1]
+            self.rows.append(np.minimum(last[:-step], last[step:]))
+            step *= 2
+
+    def between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """min(values[low : high + 1]) for arrays of bounds."""
+        if len(self.rows) == 1:
+            return self.rows[0][low]
+        size = (high - low + 1).astype(np.float32)
+        level = np.frexp(size)[1] - 1
+        out = np.empty(len(low), self.rows[0].dtype)
+        for k in range(len(self.rows)):
+            at = np.flatnonzero(level == k)
+            if len(at):
+                row = self.rows[k]
+                out[at] = np.minimum(row[low[at]], row[high[at] - (1 << k) + 1])
+        return out
 
-    def __init__(self, text: np.ndarray, small: np.ndarray, disk: Disk, dtype) -> None:
-        self.text, self.small, self.disk, self.dtype = text, small, disk, dtype
 
-    def _spread(self, queues: Queues, items: np.ndarray, kind: bool) -> None:
-        """Predecessors of one type, to the queues of their characters."""
-        before = items[items > 0] - self.dtype(1)
-        before = before[self.small[before] == kind]
-        if not len(before):
+class Inducer:
+    """Order of all suffixes, and their common prefixes, from those of the LMS suffixes."""
+
+    def __init__(self, text: np.ndarray, small: np.ndarray, disk: Disk, depth: int) -> None:
+        self.text, self.small, self.disk, self.depth = text, small, disk, min(depth, _LOW)
+
+    def _spread(self, queues: Queues, pending: np.ndarray, items: np.ndarray, prefix: np.ndarray, kind: bool) -> None:
+        """Predecessors of one type, to the queues of their characters, with their common prefixes.
+
+        prefix: of each item with the one before it. pending: for each character the least of these since its queue got its
+        last tuple; -1 while it has none.
+        """
+        if not self.carries:
+            before = items[items > 0] - 1
+            before = before[self.small[before] == kind]
+            first = np.asarray(self.text[before])
+            order = np.argsort(first, kind="stable")
+            first, tuples = first[order], before[order] << PREFIX_BITS
+            cut = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)] if len(first) else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                queues.push(int(first[a]), tuples[a:b])
+            return
+        ahead = np.minimum.accumulate(prefix)
+        at = np.flatnonzero(items > 0)
+        before = items[at] - 1
+        fits = self.small[before] == kind
+        at, before = at[fits], before[fits]
+        if not len(at):
+            np.minimum(pending, ahead[-1], out=pending)
             return
         first = np.asarray(self.text[before])
         order = np.argsort(first, kind="stable")
-        first, before = first[order], before[order]
-        cut = np.flatnonzero(first[1:] != first[:-1]) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(first)], strict=True):
-            queues.push(int(first[a]), before[a:b])
-
-    def run(self, lms: np.ndarray, first: np.ndarray, emit: Callable[[np.ndarray], None]) -> None:
-        """lms: LMS positions in order; first: their characters. emit gets all suffixes, the largest first, in chunks."""
+        first, before, at = first[order], before[order], at[order]
+        head = np.concatenate(([True], first[1:] != first[:-1]))
+        value = np.empty(len(at), np.int64)
+        value[head] = np.minimum(pending[first[head]], ahead[at[head]])
+        rest = np.flatnonzero(~head)
+        if len(rest):
+            value[rest] = Least(prefix).between(at[rest - 1] + 1, at[rest])
+        back = np.append(np.minimum.accumulate(prefix[::-1])[::-1], self.depth)
+        tail = np.append(head[1:], True)
+        np.minimum(pending, ahead[-1], out=pending)
+        pending[first[tail]] = back[at[tail] + 1]
+        tuples = (before.astype(np.int64) << PREFIX_BITS) | np.minimum(value + 1, self.depth)
+        cut = np.flatnonzero(head).tolist()
+        for a, b in zip(cut, [*cut[1:], len(first)], strict=True):
+            queues.push(int(first[a]), tuples[a:b])
+
+    def _common(self, a: int, b: int) -> int:
+        n = min(self.depth, len(self.text) - max(a, b))
+        differ = np.flatnonzero(self.text[a : a + n] != self.text[b : b + n])
+        return int(differ[0]) if len(differ) else n
+
+    def run(self, lms: np.ndarray, prefix: np.ndarray | None, emit: Callable[[np.ndarray, np.ndarray], None]) -> None:
+        """lms: LMS positions in order; prefix: of each with the one before (None: only the order is wanted). emit gets all
+        suffixes, the largest first, in chunks: positions, and the common prefix of each with the suffix emitted before it."""
+        self.carries = prefix is not None
+        if prefix is None:
+            prefix = np.zeros(len(lms), np.int64)
+        first = np.asarray(self.text[lms])
         chars = np.unique(np.concatenate([np.unique(self.text[a : a + self.disk.chunk]) for a in range(0, len(self.text), self.disk.chunk)])).tolist()
-        larger, done = Queues(self.disk, self.dtype), Queues(self.disk, self.dtype)
+        larger, done = Queues(self.disk, np.int64), Queues(self.disk, np.int64)
         low, high = np.searchsorted(first, chars, side="left"), np.searchsorted(first, chars, side="right")
+        pending = np.full(256, -1, np.int64)
         for c, a, b in zip(chars, low.tolist(), high.tolist(), strict=True):
-            while (items := larger.pop(c)) is not None:
-                done.push(c, items)
-                self._spread(larger, items, False)
+            last = None
+            while (tuples := larger.pop(c)) is not None:
+                done.push(c, tuples)
+                items = tuples >> PREFIX_BITS
+                self._spread(larger, pending, items, tuples & _LOW if last is not None else np.concatenate(([0], tuples[1:] & _LOW)), False)
+                last = int(items[-1])
             for k in range(a, b, self.disk.chunk):
-                self._spread(larger, np.asarray(lms[k : min(b, k + self.disk.chunk)]), False)
-        smaller = Queues(self.disk, self.dtype)
+                items, own = np.asarray(lms[k : min(b, k + self.disk.chunk)]).astype(np.int64), np.asarray(prefix[k : min(b, k + self.disk.chunk)]).astype(np.int64)
+                if k == a:
+                    own[0] = 0 if last is None else self._common(last, int(items[0]))
+                self._spread(larger, pending, items, own, False)
+        smaller = Queues(self.disk, np.int64)
+        pending = np.full(256, -1, np.int64)
         for c in reversed(chars):
-            while (items := smaller.pop(c)) is not None:
-                emit(items)
-                self._spread(smaller, items, True)
-            for items in done.backwards(c):
-                emit(items)
-                self._spread(smaller, items, True)
-        emit(np.array([len(self.text) - 1], self.dtype))
+            last = None
+            while (tuples := smaller.pop(c)) is not None:
+                items, own = tuples >> PREFIX_BITS, tuples & _LOW
+                if last is None:
+                    own[0] = 0
+                emit(items, own)
+                self._spread(smaller, pending, items, own, True)
+                last = int(items[-1])
+            carried = None  # what the tuple visited last says of the one before it
+            for tuples in done.backwards(c):
+                items, said = tuples >> PREFIX_BITS, tuples & _LOW
+                own = np.empty_like(said)
+                own[1:] = said[:-1]
+                own[0] = carried if carried is not None else 0 if last is None else self._common(last, int(items[0]))
+                carried = int(said[-1])
+                emit(items, own)
+                self._spread(smaller, pending, items, own, True)
+        emit(np.array([len(self.text) - 1]), np.zeros(1, np.int64))
 
 
 def _radix(keys: np.ndarray) -> np.ndarray:
@@ -213,16 +306,22 @@ def _order(keys: np.ndarray, disk: Disk) -> np.ndarray:
     return out
 
 
-def _ranks(names: np.ndarray, depth: int, disk: Disk) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first `depth` names at least.
+#: Reach from which the ranks of a round are kept, to skip over agreeing names.
+KEPT = 16
+
 
-    Each round doubles the reach. The order so far, moved back by the reach, is that of the second halves; a stable sort by
+def _ranks(names: np.ndarray, order: np.ndarray, depth: int, disk: Disk) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Order of the suffixes of a string of names by their first `depth` names at least, which of them agree that far with the
+    one before, and the ranks by some shorter reaches.
+
+    order: the places of the string by their names. Each round doubles the reach. The order so far, moved back by the reach, is that of the second halves; a stable sort by
     the ranks of the first halves completes it.
     """
     n, reach = len(names), 1
+    kept: dict[int, np.ndarray] = {}
     rank = disk.array(n, np.int64)
     rank[:] = names
-    order = _order(rank, disk)
+    order = np.asarray(order, np.int64)
     while True:
         moved = disk.array(n, np.int64)
         moved[:reach] = np.arange(n - reach, n)  # nothing follows these
@@ -231,16 +330,19 @@ def _ranks(names: np.ndarray, depth: int, disk: Disk) -> np.ndarray:
         order = moved[_order(rank[moved], disk)]
         fresh = np.zeros(n, np.int64)
         for a in range(1, n, disk.chunk):
-            b = min(n, a + disk.chunk)
-            here, before = order[a:b], order[a - 1 : b - 1]
-            differ = rank[here] != rank[before]
-            second = lambda at: np.where(at + reach < n, rank[np.minimum(at + reach, n - 1)], -1)  # noqa: B023, E731
-            fresh[a:b] = differ | (second(here) != second(before))
+            here = order[a - 1 : min(n, a + disk.chunk)]
+            first, second = rank[here], np.where(here + reach < n, rank[np.minimum(here + reach, n - 1)], -1)
+            fresh[a : a + len(here) - 1] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        tied = fresh == 0
+        tied[0] = False
         np.cumsum(fresh, out=fresh)
         reach *= 2
         if int(fresh[-1]) + 1 == n or reach >= depth:
-            return order
+            return order, tied, kept
         rank[order] = fresh
+        if reach >= KEPT:
+            kept[reach] = disk.array(n, np.int32 if n < 2**31 else np.int64)
+            kept[reach][:] = rank
 
 
 def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -257,8 +359,53 @@ def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -
     return same
 
 
-def suffixes(text: np.ndarray, depth: int, emit: Callable[[np.ndarray], None], disk: Disk) -> None:
-    """Emit all suffixes of text, the largest first, in chunks. text: its last character is its one smallest."""
+def _prefixes(text: np.ndarray, lms: np.ndarray, by_rank: np.ndarray, tied: np.ndarray, kept: dict[int, np.ndarray], depth: int, chunk: int) -> np.ndarray:
+    """Common prefix of each LMS suffix with the one before it. Those that are tied agree to the depth; the others skip the
+    names that the kept ranks say agree, and are compared from there, eight characters at a time."""
+    order = lms[by_rank]
+    n = len(text)
+    words = np.ndarray((max(0, n - 7),), "<u8", buffer=text, strides=(1,)) if n > 7 else np.zeros(0, "<u8")
+    out = np.where(tied, depth, 0).astype(np.int64)
+    todo = np.flatnonzero(~tied[1:]) + 1
+    for k in range(0, len(todo), chunk):
+        own = todo[k : k + chunk]
+        a, b = order[own].astype(np.int64), order[own - 1].astype(np.int64)
+        p, q = by_rank[own], by_rank[own - 1]
+        skip = np.zeros(len(own), np.int64)
+        for reach in sorted(kept, reverse=True):
+            rank = kept[reach]
+            x, y = p + skip, q + skip
+            inside = np.maximum(x, y) < len(rank)
+            agree = np.flatnonzero(inside)[rank[x[inside]] == rank[y[inside]]]
+            skip[agree] += reach
+        last = np.maximum(p, q) + skip >= len(lms)
+        at = np.where(last, 0, lms[np.minimum(p + skip, len(lms) - 1)].astype(np.int64) - a)
+        live, ends = np.flatnonzero(at < depth), []
+        while len(live):  # words while they agree; then the bytes below the first bit that differs
+            x, y = a[live] + at[live], b[live] + at[live]
+            inside = np.maximum(x, y) + 8 <= n
+            ends.append(live[~inside])
+            live, x, y = live[inside], x[inside], y[inside]
+            differ = words[x] ^ words[y]
+            at[live] += np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
+            live = live[(differ == 0) & (at[live] < depth)]
+        live = np.concatenate([*ends, np.zeros(0, np.int64)]).astype(np.int64)
+        while len(live):  # the last characters of the text
+            x, y = a[live] + at[live], b[live] + at[live]
+            inside = np.maximum(x, y) < n
+            live, x, y = live[inside], x[inside], y[inside]
+            live = live[text[x] == text[y]]
+            at[live] += 1
+            live = live[at[live] < depth]
+        out[own] = np.minimum(at, depth)
+    return out
+
+
+def suffixes(text: np.ndarray, depth: int, emit: Callable[[np.ndarray, np.ndarray], None], disk: Disk) -> None:
+    """Emit all suffixes of text, the largest first, in chunks: positions, and common prefixes with the suffix emitted before.
+
+    text: bytes in one block of memory or one mapped file; its last character is its one smallest.
+    """
     dtype = np.int32 if len(text) < 2**31 - 1 else np.int64
     small = types(text, disk)
     at = []
@@ -268,14 +415,13 @@ def suffixes(text: np.ndarray, depth: int, emit: Callable[[np.ndarray], None], d
     lms = np.concatenate(at) if at else np.zeros(0, dtype)
     if not len(lms):
         lms = np.array([len(text) - 1], dtype)
-    inducer = Inducer(text, small, disk, dtype)
+    inducer = Inducer(text, small, disk, depth)
     # The order of LMS substrings, by inducing from LMS positions that are ordered by their first characters only.
     is_lms = disk.array(len(text), np.bool_)
     is_lms[lms] = True
     ordered = []
-    first = np.asarray(text[lms])
-    by_first = np.argsort(first, kind="stable")
-    inducer.run(lms[by_first], first[by_first], lambda items: ordered.append(items[is_lms[items]]))
+    by_first = np.argsort(np.asarray(text[lms]), kind="stable")
+    inducer.run(lms[by_first], None, lambda items, _: ordered.append(items[is_lms[items]].astype(dtype)))
     order = np.concatenate(ordered)[::-1]
     number = disk.array(len(text), dtype)
     number[lms] = np.arange(len(lms), dtype=dtype)
@@ -288,10 +434,15 @@ def suffixes(text: np.ndarray, depth: int, emit: Callable[[np.ndarray], None], d
         some = alike[k : k + disk.chunk]
         fresh[some[_equal(text, order[some].astype(np.int64), order[some - 1].astype(np.int64), size[place[some]])]] = 0
     named = np.cumsum(fresh)
+    tied = np.zeros(len(order), bool)
     del number, is_lms, ordered, fresh
     if named[-1] + 1 < len(lms):
         names = disk.array(len(lms), np.int64)
         names[place] = named
         # An LMS substring takes two characters of the text at least.
-        order = lms[_ranks(names, depth // 2 + 1, disk)]
-    inducer.run(order, np.asarray(text[order]), emit)
+        by_rank, tied, kept = _ranks(names, place, depth // 2 + 1, disk)
+    else:
+        by_rank, kept = place, {}
+    prefix = _prefixes(text, lms, by_rank, tied, kept, inducer.depth, disk.chunk)
+    kept.clear()
+    inducer.run(lms[by_rank], prefix, emit)

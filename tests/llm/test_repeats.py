@@ -13,18 +13,37 @@ from .conftest import EDGES
 
 
 def order_of(text, depth, disk):
-    out = []
-    suffixes(np.array(text, np.uint8), depth, lambda x: out.append(np.array(x)), disk)
-    return np.concatenate(out)[::-1].tolist()
+    """Suffixes in order, and the common prefix of each with the next one."""
+    out, prefix = [], []
+
+    def emit(items, own):
+        out.extend(items.tolist())
+        prefix.extend(own.tolist())
+
+    suffixes(np.array(text, np.uint8), depth, emit, disk)
+    return out[::-1], prefix[::-1]
+
 
+def common(text, a, b, depth):
+    n = 0
+    while n < depth and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+        n += 1
+    return n
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 4), max_size=200), st.sampled_from([1 << 20, 7]), st.sampled_from([1 << 20, 64]))
-def test_suffix_order(chars, chunk, memory):
-    text = [*chars, 0]
-    disk = Disk(memory, chunk)
-    assert order_of(text, 10**6, disk) == sorted(range(len(text)), key=lambda i: text[i:])
+
+def check_order(text, depth, disk):
+    got, prefix = order_of(text, depth, disk)
     disk.close()
+    want = sorted(range(len(text)), key=lambda i: text[i : i + depth])
+    assert sorted(got) == list(range(len(text)))
+    assert [text[i : i + depth] for i in got] == [text[i : i + depth] for i in want]
+    assert prefix[-1] == 0 and prefix[:-1] == [common(text, a, b, depth) for a, b in zip(got, got[1:])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=200), st.sampled_from([1 << 20, 7]), st.sampled_from([1 << 20, 64]), st.sampled_from([3, 17, 60_000]))
+def test_suffix_order_and_common_prefixes(chars, chunk, memory, depth):
+    check_order([*chars, 0], depth, Disk(memory, chunk))
 
 
 def test_suffix_order_of_runs_and_long_repeats():
@@ -32,9 +51,7 @@ def test_suffix_order_of_runs_and_long_repeats():
     part = [rng.randrange(1, 200) for _ in range(3000)]
     text = [5] * 2000 + part + [7] * 999 + part + part[::-1] + [0]
     for disk in (Disk(), Disk(4096, 500)):
-        got = order_of(text, 10**6, disk)
-        assert got == sorted(range(len(text)), key=lambda i: text[i:])
-        disk.close()
+        check_order(text, 400, disk)
 
 
 @settings(max_examples=60, deadline=None)
