@@ -16,7 +16,7 @@ from .registry import query
 KINDS = ["pdf", "docx", "png", "jpeg", "tiff", "tiff", "bmp", "unknown", "pdf", "unknown"]
 HEADS = [s for _, s in files.SIGNATURES] + ["414243", "", ""]
 NAMES = ["a.bin", "b.txt", "c.png", "d.pdf", "e.tif", "f.tif", "g.bmp", "h.xyz", "i.PDF", "noextension"]
-_pick = lambda values, cast="": "case doc_id % 10 " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values[:-1])) + f" else '{values[-1]}' end"
+_pick = lambda values: "case doc_id % 10 " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values[:-1])) + f" else '{values[-1]}' end"
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
