@@ -19,6 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +29,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import prepare, sliced, texts_of, written
 
@@ -39,23 +39,30 @@ RUN = 65_536
 OWNED = 2000
 
 
-def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
-    """text: lower case. Words are what stands between ASCII white space."""
+def shingle_hashes(text: bytes, width: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, in runs. text: lower case. Words are what stands between ASCII white space."""
     words = text.split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
+    digest = xxhash.xxh64_intdigest
     if n == 1:
-        return xxhash.xxh64_intdigest(joined, seed)
+        yield np.array([digest(joined, seed)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[width - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for k in range(0, n, RUN):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + RUN], stops[k : k + RUN], strict=True)], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + RUN], stops[k : k + RUN], strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, width: int = WIDTH, seed: int = SEED) -> int:
+    """Bits that are set in over half the shingles' hashes; 0 for a text without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width, seed):
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
@@ -198,21 +205,129 @@ def near_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", tex
     return rows.join(placed.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, that stay: of each component the row with the smallest id (of several with
-    that id the one with the smallest fingerprint)."""
-    groups = written(near_groups(docs, width, id_col, text_col), "near-groups")
-    best = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("of")).agg(F.min("fp").alias("best"))
-    same = F.col("component_id").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("fp") == F.col("best"))
-    gone = groups.join(best, same, "left_anti").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    names = docs.columns
+# --- Similar documents ----------------------------------------------------------------------------------------------
+#
+# Texts that are alike to four fifths differ in more than three bits of a fingerprint of the whole. So shingles are also dealt
+# to classes by their hash, each with a fingerprint of its own: some classes of a near copy are untouched. PARTS classes are
+# used; a longer document has more, of which these are a part, so that a class never holds many shingles. What these and the
+# whole fingerprints' links suggest is verified on the shingles themselves.
+
+WORDS, SIMILAR, PARTS = 5, 0.8, 48
+#: Shingles of a class at most, on average.
+HELD = 8
+#: Shorter documents have to agree in several classes: one may hold no more than a common line.
+SHORT, AGREE = 200, 4
+
+
+def levels(n: int, least: float = SIMILAR, parts: int = PARTS) -> list[int]:
+    """Doublings of the number of classes that a text of n shingles is dealt to: two where a text of that similarity may be
+    dealt differently."""
+    return sorted({max(0, math.ceil(math.log2(max(1, x) / (parts * HELD)))) for x in (n * math.sqrt(least), n / math.sqrt(least))})
+
+
+def part_fingerprints(text: bytes, width: int = WORDS, least: float = SIMILAR, parts: int = PARTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, int]:
+    """Classes that have shingles, numbered over all levels, their fingerprints, and the number of shingles."""
+    n = len(text.split())
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
+    n = max(1, n - width + 1)
+    own = levels(n, least, parts)
+    ones, count = np.zeros((len(own) * parts, 64), np.int64), np.zeros(len(own) * parts, np.int64)
+    for h in shingle_hashes(text, width, seed):
+        for k, level in enumerate(own):
+            part = ((h >> np.uint64(24)) % np.uint64(parts << level)).astype(np.int64)
+            used = np.flatnonzero(part < parts)
+            if not len(used):
+                continue
+            part = part[used] + k * parts
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            bits = np.unpackbits(h[used[order]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[part[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+            count[part[first]] += np.diff(first, append=len(part))
+    used = np.flatnonzero(count)
+    fps = np.packbits(ones[used] * 2 > count[used][:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    return np.array(own)[used // parts] * parts + used % parts, fps, n
+
+
+def similarity(a: bytes, b: bytes, width: int = WORDS) -> float:
+    """Shared shingles over all, as sets; two texts without words are alike."""
+    own = [np.unique(np.concatenate([*shingle_hashes(t, width, SEED), np.zeros(0, np.uint64)])) for t in (a, b)]
+    shared = len(np.intersect1d(*own, assume_unique=True))
+    every = len(own[0]) + len(own[1]) - shared
+    return shared / every if every else 1.0
+
+
+PART = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("fp", pa.int64())])
+
+
+def _part_rows(width: int, least: float, parts: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(rows, 2):
+            uids, docs, ns, classes, fps = [], [], [], [], []
+            for uid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.ascii_lower(b.column(2)).cast(pa.large_binary()).to_pylist(), strict=True):
+                part, fp, n = part_fingerprints(text, width, least, parts)
+                # part -1: the fingerprint of the whole
+                part, fp = np.append(part, -1), np.append(fp, np.uint64(fingerprint(text)))
+                uids += [uid] * len(part)
+                docs += [doc] * len(part)
+                ns += [n] * len(part)
+                classes.append(part)
+                fps.append(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(docs, pa.int64()), pa.array(ns, pa.int64()), pa.array(np.concatenate(classes).astype(np.int32)), pa.array(np.concatenate(fps).view(np.int64))], schema=PART)
+
+    return run
+
+
+def _alike(width: int, least: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text_col)
-        for b in sliced(rows, at):
-            texts = pc.ascii_lower(pc.fill_null(b.column(at), "")).cast(pa.large_binary())
-            fps = np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*names, "__fp0"])
+        for b in sliced(rows, 2):
+            texts = [pc.ascii_lower(b.column(k)).cast(pa.large_binary()).to_pylist() for k in (2, 3)]
+            ok = pa.array([similarity(x, y, width) >= least for x, y in zip(*texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], schema=schema)
+
+    return run
+
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp0", T.LongType())]))
-    return marked.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp0") == F.col("__fp")), "left_anti").drop("__fp0")
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """A row by its id and text: rows with the same of both are one."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR, parts: int = PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """uid, kept for every row that is in a group of similar texts; rows in none are not listed.
+
+    Suggested pairs are stars: each row of a class fingerprint with at most four of its rows, so a line that a third of the
+    documents share suggests no more than four pairs a document. Links are pairs of that similarity; a group is what they connect. Of a group
+    the smallest id stays (no id: last).
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(row_key(id_col, text_col).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = written(rows.mapInArrow(_part_rows(width, least, parts), "uid long, doc_id long, n long, part int, fp long"), "part-fingerprints")
+    # The smallest id is often what the others were copied from; three more, by different orders, stand in where it isn't.
+    few = F.array_distinct(F.array(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"], F.min("uid"), F.max("uid"), F.min_by("uid", F.xxhash64("uid"))))
+    centres = written(found.groupBy("part", "fp").agg(few.alias("centres"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("part", "fp", "centres"), "centres")
+    stars = found.join(centres.hint("merge"), ["part", "fp"]).withColumn("centre", F.explode("centres")).where("uid <> centre").groupBy(F.col("uid").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("agree"), F.min("part").alias("whole"), F.max("n").alias("n"))
+    stars = stars.where((F.col("whole") == -1) | (F.col("n") >= SHORT) | (F.col("agree") >= AGREE)).select("a", "b")
+    whole = written(found.where("part = -1").groupBy("fp").agg(F.min("uid").alias("uid")), "whole-fingerprints")
+    near = links(whole.select("fp"), whole.count())
+    one = whole.select(F.col("fp").alias("a"), F.col("uid").alias("x"))
+    two = whole.select(F.col("fp").alias("b"), F.col("uid").alias("y"))
+    pairs = written(stars.union(near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct(), "suggested-pairs")
+    asked = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    texts = written(rows.select("uid", "text").join(asked.hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]), "suggested-texts")
+    both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("left")).hint("merge"), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
+    roots = written(components(both.select("a", "b", "left", "right").mapInArrow(_alike(width, least), "a long, b long")), "similar-roots")
+    ids = found.where("part = -1").select("uid", "doc_id").distinct().join(roots.select(F.col("node").alias("uid"), "root"), "uid")
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
+    return ids.join(first, "root").select("uid", (F.col("uid") == F.col("first.uid")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = WORDS, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that stay: of each group of similar texts one, and all that are in none."""
+    gone = written(similar_groups(docs, width, least, id_col=id_col, text_col=text_col).where("not kept").select(F.col("uid").alias("__uid")).distinct(), "near-copies")
+    rows = docs.withColumn("__uid0", row_key(id_col, text_col))
+    return rows.join(gone.hint("merge"), F.col("__uid0") == F.col("__uid"), "left_anti").drop("__uid0")

@@ -7,7 +7,7 @@ from kgspark.llm import decontaminate, pieces, quality
 from kgspark.llm.shared import file_bytes, tokenizer_path
 
 from .test_exact_dedup import lowered
-from .test_simhash import groups, plain
+from .test_simhash import alike
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -50,7 +50,7 @@ def test_against_a_plain_version(spark, tmp_path):
         if lowered(t) not in best or key(best[lowered(t)][0]) < key(i):
             best[lowered(t)] = (i, t)
     left = sorted(best.values(), key=lambda x: (x[0] is None, x[0]))
-    found = groups([plain(t) for _, t in left])
+    found = alike(left)
     left = [x for k, x in enumerate(left) if found[k] == k]
     words = decontaminate.Words()
     tokens = [words(t) for _, t in bench]

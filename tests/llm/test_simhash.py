@@ -93,3 +93,50 @@ def test_edges_and_copies(spark, docs, edges):
         want.append((i is not None, i or 0, f, min(members) if members else None))
     assert got == sorted(want)
     assert simhash.near_groups(docs([])).count() == 0
+
+
+def alike(rows, least=0.8, width=5):
+    """index -> smallest index reachable over pairs of that similarity, by plain sets of word tuples."""
+    def shingles(t):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    own = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            every = len(own[i] | own[j])
+            if every == 0 or len(own[i] & own[j]) / every >= least:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(rows))]
+
+
+def test_similar_documents_leave_one(docs):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioutnrs") for _ in range(rng.randrange(2, 8)))
+    rows = []
+    for k in range(40):
+        words = [word() for _ in range(rng.choice([8, 30, 120, 500, 1500]))]
+        rows.append((100 * k, "a line that very many of these documents share " * (k % 2) + " ".join(words)))
+        for c in range(1, rng.randrange(1, 6)):  # copies with some words changed
+            copy = list(words)
+            for _ in range(max(1, len(copy) // rng.choice([60, 90, 200]))):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((100 * k + c, "a line that very many of these documents share " * (k % 2) + " ".join(copy)))
+    groups_of = alike(rows)
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(docs(rows)).collect())
+    want = sorted(rows[i][0] for i in set(groups_of))
+    assert kept == want
+
+
+def test_similar_documents_edges(docs, edges):
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(edges).collect() if r.doc_id is not None)
+    assert kept == [1, 3, 5, 6, 7, 9] and simhash.drop_near_copies(edges).columns == edges.columns
+    assert simhash.drop_near_copies(docs([])).count() == 0
