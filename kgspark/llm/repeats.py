@@ -227,14 +227,15 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, at_once
     prepare(spark)
     plain = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
     runs = written(plain.where(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), RUN_DDL), "runs")
-    shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    by_doc = runs.join(shared, "key", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "n", "key")).alias("runs"))
+    # Written, so that the join below has a plain exchange on either side: adaptive execution can then split a frequent owner.
+    shared = written(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-owners")
+    by_doc = runs.join(shared.hint("merge"), "key", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "n", "key")).alias("runs"))
     by_doc = by_doc.select(F.col("doc_id").alias("run_doc"), F.col("th").alias("run_th"), "runs")
     same = lambda a, b: plain["doc_id"].eqNullSafe(F.col(a)) & (plain["th"] == F.col(b))
     regions = written(plain.join(by_doc, same("run_doc", "run_th")).select("doc_id", "th", "text", "runs").mapInArrow(_regions(length), REGION_DDL), "regions")
     alike = regions.groupBy("key", "digest", "region").agg(F.count(F.lit(1)).alias("count"))
     found = written(alike.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_sorted(length, at_once), "digest binary, spans array<struct<start:long,end:long>>"), "repeats")
-    placed = regions.select("doc_id", "th", "at", "digest").join(found, "digest").select("doc_id", "th", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"))).alias("spans"))
+    placed = regions.select("doc_id", "th", "at", "digest").join(found.hint("merge"), "digest").select("doc_id", "th", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"))).alias("spans"))
     spans = placed.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")).select(F.col("doc_id").alias("span_doc"), F.col("th").alias("span_th"), "spans")
     return plain.join(spans, same("span_doc", "span_th"), "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 

@@ -22,7 +22,7 @@ from . import tokens
 from .shared import file_bytes, prepare, sliced, texts_of, tokenizer_path
 
 #: Lengths of a block.
-BLOCK = 4096
+BLOCK = 256
 
 
 def _lengths(ranks):
