@@ -134,15 +134,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     suspects = marked.where("suspect")
     ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
     equal = (
-        plain.join(ids, plain["doc_id"].eqNullSafe(ids["suspect_id"]), "left_semi")
+        plain.join(ids.hint("merge"), plain["doc_id"].eqNullSafe(F.col("suspect_id")), "left_semi")
         .groupBy(F.translate("text", UPPER, LOWER).alias("norm"))
         .agg(F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
         .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size")
     )
     best = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("best"))
-    groups = equal.join(best, "sha").select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
-    return marked.join(groups, "sha", "left").select(
+    # Written, so that the join below has a plain exchange on either side: adaptive execution can then split a large group.
+    groups = written(equal.join(best, "sha").select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid")), "exact-groups")
+    return marked.join(groups.hint("merge"), "sha", "left").select(
         "doc_id",
         "rid",
         F.when(F.col("keep_rid").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
