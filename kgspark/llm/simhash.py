@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -207,75 +208,86 @@ def near_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", tex
 
 # --- Similar documents ----------------------------------------------------------------------------------------------
 #
-# Texts that are alike to four fifths differ in more than three bits of a fingerprint of the whole. So shingles are also dealt
-# to classes by their hash, each with a fingerprint of its own: some classes of a near copy are untouched. PARTS classes are
-# used; a longer document has more, of which these are a part, so that a class never holds many shingles. What these and the
-# whole fingerprints' links suggest is verified on the shingles themselves.
+# Texts that are alike to four fifths differ in more than three bits of a fingerprint of the whole, so these are found by
+# prefixes: with shingles in one order for all texts, two texts of that similarity share one of the first n - ceil(0.8 n) + 1 of
+# their n distinct shingles. That holds for any order; frequent shingles come last, so that few texts share a prefix's. Every
+# pair that shares one, and whose sizes and places leave room for the similarity, is verified on the shingles themselves, or is
+# connected already by others that were.
 
-WORDS, SIMILAR, PARTS = 5, 0.8, 48
-#: Shingles of a class at most, on average.
-HELD = 8
-#: Shorter documents have to agree in several classes: one may hold no more than a common line.
-SHORT, AGREE = 200, 4
+WORDS, SIMILAR = 5, 0.8
+#: One of so many texts is counted to tell frequent shingles, and so many of these are known at most: matters of speed only.
+SAMPLED, FREQUENT = 8, 200_000
+#: Rows of a shingle that are paired at once; more are paired with some of them first, then where these left several groups.
+PAIRED = 32
+#: Stands for a text without words.
+NOTHING = 0x9E3779B97F4A7C15
 
 
-def levels(n: int, least: float = SIMILAR, parts: int = PARTS) -> list[int]:
-    """Doublings of the number of classes that a text of n shingles is dealt to: two where a text of that similarity may be
-    dealt differently."""
-    return sorted({max(0, math.ceil(math.log2(max(1, x) / (parts * HELD)))) for x in (n * math.sqrt(least), n / math.sqrt(least))})
+def shingle_set(text: bytes, width: int = WORDS) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([*shingle_hashes(text, width, SEED), np.zeros(0, np.uint64)]))
 
 
-def part_fingerprints(text: bytes, width: int = WORDS, least: float = SIMILAR, parts: int = PARTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, int]:
-    """Classes that have shingles, numbered over all levels, their fingerprints, and the number of shingles."""
-    n = len(text.split())
+def prefix(own: np.ndarray, least: float, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of a text's distinct shingles: by rank (0: not known as frequent), then by hash. known is sorted."""
+    n = len(own)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
-    n = max(1, n - width + 1)
-    own = levels(n, least, parts)
-    ones, count = np.zeros((len(own) * parts, 64), np.int64), np.zeros(len(own) * parts, np.int64)
-    for h in shingle_hashes(text, width, seed):
-        for k, level in enumerate(own):
-            part = ((h >> np.uint64(24)) % np.uint64(parts << level)).astype(np.int64)
-            used = np.flatnonzero(part < parts)
-            if not len(used):
-                continue
-            part = part[used] + k * parts
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            bits = np.unpackbits(h[used[order]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones[part[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-            count[part[first]] += np.diff(first, append=len(part))
-    used = np.flatnonzero(count)
-    fps = np.packbits(ones[used] * 2 > count[used][:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-    return np.array(own)[used // parts] * parts + used % parts, fps, n
+        return np.array([NOTHING], np.uint64)
+    place = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        place = np.where(known[at] == own, rank[at], 0)
+    return own[np.argsort(place, kind="stable")][: n - math.ceil(n * least - 1e-9) + 1]
 
 
 def similarity(a: bytes, b: bytes, width: int = WORDS) -> float:
     """Shared shingles over all, as sets; two texts without words are alike."""
-    own = [np.unique(np.concatenate([*shingle_hashes(t, width, SEED), np.zeros(0, np.uint64)])) for t in (a, b)]
+    return _similarity(shingle_set(a, width), shingle_set(b, width))
+
+
+def _similarity(*own: np.ndarray) -> float:
     shared = len(np.intersect1d(*own, assume_unique=True))
     every = len(own[0]) + len(own[1]) - shared
     return shared / every if every else 1.0
 
 
-PART = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("fp", pa.int64())])
+def _shingles(width: int):
+    schema = pa.schema([("token", pa.int64())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(rows, 0):
+            for text in pc.ascii_lower(b.column(0)).cast(pa.large_binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width).view(np.int64))], schema=schema)
+
+    return run
+
 
+def frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and their ranks from 1, the most frequent last."""
+    sample = rows.where(F.pmod("uid", F.lit(SAMPLED)) == 0).select("text")
+    counts = sample.mapInArrow(_shingles(width), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], (len(found) - order).astype(np.int64)
+
+
+def _prefixes(width: int, least: float, packed):
+    schema = pa.schema([("token", pa.int64()), ("uid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
-def _part_rows(width: int, least: float, parts: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(rows, 2):
-            uids, docs, ns, classes, fps = [], [], [], [], []
-            for uid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.ascii_lower(b.column(2)).cast(pa.large_binary()).to_pylist(), strict=True):
-                part, fp, n = part_fingerprints(text, width, least, parts)
-                # part -1: the fingerprint of the whole
-                part, fp = np.append(part, -1), np.append(fp, np.uint64(fingerprint(text)))
-                uids += [uid] * len(part)
-                docs += [doc] * len(part)
-                ns += [n] * len(part)
-                classes.append(part)
-                fps.append(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(docs, pa.int64()), pa.array(ns, pa.int64()), pa.array(np.concatenate(classes).astype(np.int32)), pa.array(np.concatenate(fps).view(np.int64))], schema=PART)
+        known, rank = packed.value
+        for b in sliced(rows):
+            first, sizes = [], []
+            for text in pc.ascii_lower(b.column(1)).cast(pa.large_binary()):
+                own = shingle_set(text.as_py(), width)
+                first.append(prefix(own, least, known, rank))
+                sizes.append(len(own))
+            if not first:
+                continue
+            held = np.array([len(f) for f in first])
+            pos = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+            uids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(uids, pa.int64()), pa.array(np.repeat(sizes, held).astype(np.int32)), pa.array(pos.astype(np.int32))], schema=schema)
 
     return run
 
@@ -284,9 +296,10 @@ def _alike(width: int, least: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lru_cache(64)(lambda t: shingle_set(t, width))  # a centre's pairs come in a row
         for b in sliced(rows, 2):
             texts = [pc.ascii_lower(b.column(k)).cast(pa.large_binary()).to_pylist() for k in (2, 3)]
-            ok = pa.array([similarity(x, y, width) >= least for x, y in zip(*texts, strict=True)], pa.bool_())
+            ok = pa.array([_similarity(own(x), own(y)) >= least for x, y in zip(*texts, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], schema=schema)
 
     return run
@@ -297,31 +310,57 @@ def row_key(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR, parts: int = PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _room(least: float) -> F.Column:
+    """Whether two rows x and y of a shingle can be of texts of that similarity: by sizes, and by what follows the shingle if it
+    is the first that they share."""
+    x, y = F.col("x.n"), F.col("y.n")
+    left = F.least(x - F.col("x.pos"), y - F.col("y.pos"))
+    return (F.least(x, y) >= F.greatest(x, y) * least - 1e-9) & (left >= (x + y) * (least / (1 + least)) - 1e-9)
+
+
+def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """uid, kept for every row that is in a group of similar texts; rows in none are not listed.
 
-    Suggested pairs are stars: each row of a class fingerprint with at most four of its rows, so a line that a third of the
-    documents share suggests no more than four pairs a document. Links are pairs of that similarity; a group is what they connect. Of a group
-    the smallest id stays (no id: last).
+    Links are pairs of that similarity; a group is what they connect. Of a group the smallest id stays (no id: last). All pairs
+    of a shingle's rows are verified if these are few. Otherwise its rows are verified with four of them, and after that all
+    pairs of rows that are still in different groups: copies of one text, however many, are then in one.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(row_key(id_col, text_col).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = written(rows.mapInArrow(_part_rows(width, least, parts), "uid long, doc_id long, n long, part int, fp long"), "part-fingerprints")
+    rows = docs.select(row_key(id_col, text_col).alias("uid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    packed = docs.sparkSession.sparkContext.broadcast(frequent(rows, width))
+    found = written(rows.select("uid", "text").mapInArrow(_prefixes(width, least, packed), "token long, uid long, n int, pos int"), "prefixes")
+    ids = written(rows.select("uid", "doc_id").distinct(), "row-ids")
+
     # The smallest id is often what the others were copied from; three more, by different orders, stand in where it isn't.
-    few = F.array_distinct(F.array(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"], F.min("uid"), F.max("uid"), F.min_by("uid", F.xxhash64("uid"))))
-    centres = written(found.groupBy("part", "fp").agg(few.alias("centres"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("part", "fp", "centres"), "centres")
-    stars = found.join(centres.hint("merge"), ["part", "fp"]).withColumn("centre", F.explode("centres")).where("uid <> centre").groupBy(F.col("uid").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("agree"), F.min("part").alias("whole"), F.max("n").alias("n"))
-    stars = stars.where((F.col("whole") == -1) | (F.col("n") >= SHORT) | (F.col("agree") >= AGREE)).select("a", "b")
-    whole = written(found.where("part = -1").groupBy("fp").agg(F.min("uid").alias("uid")), "whole-fingerprints")
-    near = links(whole.select("fp"), whole.count())
-    one = whole.select(F.col("fp").alias("a"), F.col("uid").alias("x"))
-    two = whole.select(F.col("fp").alias("b"), F.col("uid").alias("y"))
-    pairs = written(stars.union(near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct(), "suggested-pairs")
-    asked = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    texts = written(rows.select("uid", "text").join(asked.hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]), "suggested-texts")
-    both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("left")).hint("merge"), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
-    roots = written(components(both.select("a", "b", "left", "right").mapInArrow(_alike(width, least), "a long, b long")), "similar-roots")
-    ids = found.where("part = -1").select("uid", "doc_id").distinct().join(roots.select(F.col("node").alias("uid"), "root"), "uid")
+    shared = found.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("uid").alias("a"), F.max("uid").alias("b")).where("a < b").select("token", "rows")
+    live = written(found.join(shared.hint("merge"), "token").distinct(), "shared-shingles")
+    few, many = live.where(F.col("rows") <= PAIRED), written(live.where(F.col("rows") > PAIRED).join(ids.hint("merge"), "uid"), "crowded-shingles")
+    row = F.struct("uid", "n", "pos")
+    by = [F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "uid")), F.min_by(row, "uid"), F.max_by(row, "uid"), F.min_by(row, F.xxhash64("uid"))]
+    centres = written(many.groupBy("token").agg(F.array_distinct(F.array(*by)).alias("centres")), "centres").select("token", F.explode("centres").alias("c")).select("token", "c.*")
+
+    def paired(left: DataFrame, right: DataFrame, which: str) -> DataFrame:
+        both = left.alias("x").join(right.alias("y").hint("merge"), F.col("x.token") == F.col("y.token")).where(F.expr(which) & _room(least))
+        return both.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "suggested-pairs")
+        asked = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+        texts = written(rows.select("uid", "text").join(asked.hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]), "suggested-texts")
+        both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("left")).hint("merge"), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
+        return written(both.select("a", "b", "left", "right").mapInArrow(_alike(width, least), "a long, b long"), "similar-pairs")
+
+    edges = verified(paired(few, few, "x.uid < y.uid").union(paired(many, centres, "x.uid <> y.uid")).distinct())
+    roots = written(components(edges), "similar-roots")
+    # Where a crowded shingle's rows are in several groups, pairs across them are left to verify.
+    placed = many.join(roots.select(F.col("node").alias("uid"), "root").hint("merge"), "uid", "left").select("token", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
+    split = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
+    apart = written(placed.join(split.hint("merge"), "token", "left_semi"), "apart")
+    if not apart.isEmpty():
+        more = verified(paired(apart, apart, "x.uid < y.uid and x.root <> y.root"))
+        # Groups as they were, joined by the links across them.
+        roots = written(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "similar-roots")
+    ids = ids.join(roots.select(F.col("node").alias("uid"), "root"), "uid")
     first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
     return ids.join(first, "root").select("uid", (F.col("uid") == F.col("first.uid")).alias("kept"))
 

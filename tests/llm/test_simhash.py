@@ -140,3 +140,21 @@ def test_similar_documents_edges(docs, edges):
     kept = sorted(r.doc_id for r in simhash.drop_near_copies(edges).collect() if r.doc_id is not None)
     assert kept == [1, 3, 5, 6, 7, 9] and simhash.drop_near_copies(edges).columns == edges.columns
     assert simhash.drop_near_copies(docs([])).count() == 0
+
+
+def stays(docs, rows):
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(docs(rows)).collect())
+    assert kept == sorted(rows[i][0] for i in set(alike(rows)))
+    return kept
+
+
+def test_hundreds_of_edits_of_one_text(docs):
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for k in range(500):
+        copy = list(base)
+        for j in rng.sample(range(100), 2):
+            copy[j] = f"x{k}y{j}"
+        rows.append((k, " ".join(copy)))
+    assert 100 < len(stays(docs, rows)) < 450
