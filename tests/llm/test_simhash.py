@@ -158,3 +158,15 @@ def test_hundreds_of_edits_of_one_text(docs):
             copy[j] = f"x{k}y{j}"
         rows.append((k, " ".join(copy)))
     assert 100 < len(stays(docs, rows)) < 450
+
+
+def test_texts_that_differ_in_repetition(docs):
+    rng = random.Random(32)
+    rows = []
+    for k in range(30):
+        words = [f"k{k}w{i}" for i in range(rng.choice([330, 640]))]
+        twice = words + words
+        for j in rng.sample(range(len(twice)), len(twice) // 100):
+            twice[j] = f"k{k}x{j}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(twice))]
+    assert len(stays(docs, rows)) < 60
