@@ -170,3 +170,13 @@ def test_texts_that_differ_in_repetition(docs):
             twice[j] = f"k{k}x{j}"
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(twice))]
     assert len(stays(docs, rows)) < 60
+
+
+def test_short_texts_at_the_limit(docs):
+    rng = random.Random(33)
+    rows = []
+    for k in range(300):
+        words = [f"k{k}w{i}" for i in range(rng.randrange(5, 13))]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words, "more"])), (3 * k + 2, " ".join([words[0]] * rng.randrange(5, 9)))]
+    rows += [(2000, "a a a a a a"), (2001, "a a a a a a a a a"), (2002, "a b"), (2003, "A  b")]
+    assert stays(docs, rows)
