@@ -78,3 +78,11 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         out = stage(spark, docs, at)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, at).count() == 0
+
+
+def test_the_quality_stage_drops_what_the_classifier_rejects(spark):
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    want = quality.classify(docs, quality.fit(docs, labels)).where("predicted = 1")
+    kept = corpus_pipeline.quality_stage(spark, docs, at)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in want.select("doc_id").collect())
