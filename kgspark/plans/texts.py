@@ -130,7 +130,7 @@ def c_block_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Normaliser ----------------------------------------------------------------------------------------------------
 
-DIRTY = "select doc_id, replace(replace(replace(replace(text, 'the ', '“the”  '), ' on', ' o-\n n'), 'ing', 'i​ng\u0007'), 'f', 'ﬁ') as text from documents where lang = 'en'"
+DIRTY = "select doc_id, replace(replace(replace(replace(text, 'the ', '“the”  '), ' on', ' o-\n n'), 'ing', 'i​ng\u0007'), 'f', 'ﬁ') as text from documents"
 CLEAN = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(t, 'ﬁ', 'fi'), '“', '"'), '”', '"'), '[​\u0007]', '', 'g'), '(\\b[a-zA-Z]{2,})-\\s*\\n\\s*([a-zA-Z]{2,}\\b)', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"""
 DUCK_DIRTY = DIRTY.replace("\n", "' || chr(10) || '").replace("​", "' || chr(8203) || '").replace("\u0007", "' || chr(7) || '")
 

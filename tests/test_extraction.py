@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions import extract, text
+from kgspark.plans import texts
 
 DOC = "document_id string, case_id string, title string, pages array<struct<page_number:int,raw_text:string,normalized_text:string,blocks:array<struct<block_type:string,level:int,raw_text:string,normalized_text:string>>>>"
 
@@ -82,3 +83,8 @@ def test_a_failing_family_leaves_the_others(spark, monkeypatch):
 )
 def test_normalize_text(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "t string").select(text.normalize_text(F.col("t")).alias("x")).first().x == want
+
+
+def test_every_document_is_normalised(spark):
+    at = "/root/testdata/sf0.001"
+    assert texts.t_normalize(spark, at).count() == spark.read.parquet(f"{at}/documents.parquet").count()
