@@ -80,7 +80,7 @@ def m_sort_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGES = """select 'd_' || cast(o_custkey as string) as document_id, cast(o_orderkey as int) as page_number, case o_orderkey % 7 when 0 then 'Reply is due within ' || cast(o_orderkey % 40 + 1 as string) || ' days of the hearing as set.' when 1 then 'Served two weeks later by mail.'
-  when 2 then 'File within 14 days or else.' when 3 then 'Motions heard before the hearing were denied.' when 4 then 'some days after notice' when 5 then 'Counsel called yesterday.' else 'Nothing of note.' end as text, o_orderkey % 7 as form, o_orderkey as pos from orders where o_orderkey % 3 = 0"""
+  when 2 then 'File within 14 days or else.' when 3 then 'Motions heard before the hearing were denied.' when 4 then 'some days after notice' when 5 then 'Counsel called yesterday.' else 'Nothing of note.' end as text, o_orderkey % 7 as form, o_orderkey as pos from orders"""
 PARSED = f"""expr as (select document_id, page_number, case form when 0 then 'AFTER' when 1 then 'AFTER' when 2 then 'AFTER' when 3 then 'BEFORE' else 'OFFSET' end as direction,
   cast(case form when 0 then pos % 40 + 1 when 1 then 14 when 2 then 14 when 5 then -1 end as int) as delta_days, case when form in (0, 3) then 'HEARING' end as reference from ({PAGES}) where form in (0, 1, 2, 3, 5))"""
 
