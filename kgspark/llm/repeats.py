@@ -3,23 +3,28 @@
 Every string of LENGTH bytes that starts at two places of the corpus is removed wherever it occurs. Texts are UTF-8 bytes;
 strings never cross documents, and are judged on the input.
 
-1. Each string has an owner among its own grams of GRAM bytes: the one with the least hash, the leftmost first. Equal
-   strings have equal owners at the same place. Starts with one owner are neighbours: a document falls into runs of
-   starts, described by the owner's hash. Runs whose hash occurs once in the corpus can't hold a repeat.
-2. The bytes of the other runs, as far as their strings reach, are sent to the shard of the owner's hash. Copies of such a
-   region collapse to one with a count before the shuffle, so a passage that many documents share is sorted once.
-3. A task sorts the suffixes of its shard, a bounded number of bytes at once or, where one hash alone has more, on disk.
-   The sort carries common prefixes: a start is repeated if one of LENGTH bytes joins it to a neighbour, or its region has
-   copies.
-4. Repeated places return to their documents by the region's digest.
+1. Each string has an owner among its own grams of GRAM bytes: the one with the least hash. Equal strings have owners of
+   equal hash. Neighbouring starts whose owners have one hash are a run; a stretch that repeats itself after fewer bytes than
+   a string has is one run, whatever its length. Runs whose owner occurs once in the corpus can't hold a repeat.
+2. The bytes of the other runs, as far as their strings reach, are sent to the shard of the owner's hash. From a long stretch
+   that repeats itself whole periods are left out, for all strings of those stand in the rest too. Copies of a region collapse
+   to one with a count before the shuffle, so a passage that many documents share is sorted once.
+3. An owner with more than CROWD different regions (a line that many documents hold, each in another place) is dealt again:
+   its regions fall into runs by owners among longer grams, which reach beyond the line; what is crowded still, by digests of
+   whole strings.
+4. A task sorts the suffixes of its shard, a bounded number of bytes at once or, where one owner alone has more, on disk: its
+   memory is bounded by suffix_sort's, not by the shard. The sort carries common prefixes: a start is repeated if one of
+   LENGTH bytes joins it to a neighbour, or its region has copies.
+5. Repeated places return to their documents by the region's digest.
 
 Null and empty texts have nothing to remove. Repeated rows are copies of each other. A null id is an id like any other.
-Texts shorter than LENGTH bytes stay whole. An empty table gives no rows. Extra columns are ignored.
+Texts shorter than LENGTH bytes stay whole. Very long texts are handled like others: starts are hashed STARTS at once, and
+regions leave a task in batches. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, sliced, texts_of, written
+from .shared import discard, prepare, sliced, texts_of, written
 from .suffix_sort import Disk, suffixes
 
 LENGTH, GRAM = 400, 100
 #: Starts of a document handled at once; bytes of a shard sorted at once.
 STARTS, SORTED = 1 << 20, 2 << 20
+#: Different regions of an owner that one task sorts; stretches of so many strings' length are shortened if they repeat themselves.
+CROWD, STRETCH = 500, 4
+#: Bytes of regions, and number of results, that leave a task in one batch.
+BATCH_BYTES, BATCH_RESULTS = 2 << 20, 4096
 
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -72,100 +81,167 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def owned_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, sizes and owner hashes of the runs of a document's strings."""
-    at, size, key = [], [], []
+def owned_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and owner hashes of the runs of a document's strings, and how many places of the owner each has."""
+    at, size, key, places = [], [], [], []
     last = len(data) - length + 1
     for a in range(0, max(0, last), STARTS):
         b = min(last, a + STARTS)
         h = gram_hashes(data[a : b + length - 1], gram)
         place = np.arange(len(h), dtype=np.uint64)
         owner = (window_least((h >> np.uint64(24) << np.uint64(24)) | place, length - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
-        start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        moved = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        start = moved[np.concatenate(([True], h[owner[moved[1:]]] != h[owner[moved[:-1]]]))]
         at.append(start + a)
         size.append(np.diff(start, append=b - a))
         key.append(h[owner[start]])
+        places.append(np.diff(np.searchsorted(moved, start), append=len(moved)))
     if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(at), np.concatenate(size), np.concatenate(key)
-
-
-RUN_DDL = "doc_id long, th long, at long, n long, key long"
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(at), np.concatenate(size), np.concatenate(key), np.concatenate(places)
+
+
+def shortened(region: bytes, key: int, length: int, gram: int) -> tuple[bytes, list[dict]]:
+    """A region without most periods of its long stretches that repeat themselves, and what is left out: place, bytes.
+
+    A stretch keeps a string and two periods at least, so that every string of the region is still there, and no other.
+    """
+    if len(region) < STRETCH * length:
+        return region, []
+    data = np.frombuffer(region, np.uint8)
+    at = np.flatnonzero(gram_hashes(data, gram) == np.uint64(key & (2**64 - 1)))
+    gaps = np.diff(at)
+    if not len(gaps):
+        return region, []
+    first = np.flatnonzero(np.concatenate(([True], gaps[1:] != gaps[:-1])))
+    last = np.append(first[1:], len(gaps))
+    parts, cuts, done, gone = [], [], 0, 0
+    for i in np.flatnonzero(at[last] - at[first] >= STRETCH * length).tolist():
+        a, z, period = int(at[first[i]]), int(at[last[i]]) + gram, int(gaps[first[i]])
+        if period > length or not np.array_equal(data[a : z - period], data[a + period : z]):
+            continue
+        n = (z - a - length - 2 * period) // period * period
+        parts.append(region[done : a + period])
+        done = a + period + n
+        cuts.append({"at": a + period - gone, "gone": n})
+        gone += n
+    return b"".join([*parts, region[done:]]), cuts
+
+
+RUN_DDL = "doc_id long, th long, at long, n long, key long, places long"
 
 
 def _runs(length: int, gram: int):
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "at", "n", "key")])
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "at", "n", "key", "places")])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(rows, 2):
             for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                at, n, key = owned_runs(np.frombuffer(text.as_py().encode(), np.uint8), length, gram)
+                at, n, key, places = owned_runs(np.frombuffer(text.as_py().encode(), np.uint8), length, gram)
                 m = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * m, pa.int64()), pa.array([th] * m, pa.int64()), pa.array(at), pa.array(n), pa.array(key.view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * m, pa.int64()), pa.array([th] * m, pa.int64()), pa.array(at), pa.array(n), pa.array(key.view(np.int64)), pa.array(places)], schema=schema)
 
     return run
 
 
-REGION_DDL = "doc_id long, th long, at long, key long, digest binary, region binary"
+CUTS = pa.list_(pa.struct([("at", pa.int64()), ("gone", pa.int64())]))
+REGION_DDL = "doc_id long, th long, at long, key long, digest binary, region binary, cuts array<struct<at:long,gone:long>>"
 
 
-def _regions(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("region", pa.binary())])
+def _regions(length: int, gram: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("region", pa.binary()), ("cuts", CUTS)])
+
+    def packed(r: dict, own: list[tuple], parts: list[bytes], cuts: list[list]) -> pa.RecordBatch:
+        m = len(own)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r["doc_id"]] * m, pa.int64()), pa.array([r["th"]] * m, pa.int64()), pa.array([x[0] for x in own], pa.int64()), pa.array([x[2] for x in own], pa.int64()), pa.array([xxhash.xxh128_digest(p) for p in parts], pa.binary()), pa.array(parts, pa.binary()), pa.array(cuts, CUTS)],
+            schema=schema,
+        )
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(rows, 2):
             for r in b.to_pylist():
                 data = r["text"].encode()
-                own = sorted({(x["at"], x["n"], x["key"]) for x in r["runs"]})
-                parts = [data[at : at + n + length - 1] for at, n, _ in own]
-                m = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["doc_id"]] * m, pa.int64()), pa.array([r["th"]] * m, pa.int64()), pa.array([x[0] for x in own], pa.int64()), pa.array([x[2] for x in own], pa.int64()), pa.array([xxhash.xxh128_digest(p) for p in parts], pa.binary()), pa.array(parts, pa.binary())],
-                    schema=schema,
-                )
+                own, parts, cuts, held = [], [], [], 0
+                for x in sorted({(x["at"], x["n"], x["key"]) for x in r["runs"]}):
+                    part, cut = shortened(data[x[0] : x[0] + x[1] + length - 1], x[2], length, gram)
+                    own.append(x)
+                    parts.append(part)
+                    cuts.append(cut)
+                    held += len(part)
+                    if held >= BATCH_BYTES:
+                        yield packed(r, own, parts, cuts)
+                        own, parts, cuts, held = [], [], [], 0
+                if own:
+                    yield packed(r, own, parts, cuts)
 
     return run
 
 
-def repeated_starts(regions: list[bytes], counts: list[int], length: int, disk: Disk | None = None) -> list[np.ndarray]:
-    """For each region, the starts of its own strings that occur more than once among all regions, counts included."""
-    disk = disk or Disk()
-    try:
-        sizes = np.array([len(r) + 1 for r in regions])
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        n = int(begin[-1]) + 1
+class Shard:
+    """Regions end to end, in memory or on disk."""
+
+    def __init__(self, disk: Disk | None = None) -> None:
+        self.disk = disk or Disk()
+        self.text, self.sizes, self.counts, self.digests = (self.disk.growing(x) for x in (np.uint8, np.int64, np.int64, np.uint8))
+
+    def add(self, region: bytes, count: int, digest: bytes = b"") -> None:
         # Bytes of UTF-8 stay below 245: 0 and 1 are free for the end and for what stands after a region.
-        text = disk.array(n, np.uint8)
-        own, repeated = disk.array(n, np.bool_), disk.array(n, np.bool_)
-        for r, c, a in zip(regions, counts, begin.tolist(), strict=False):
-            text[a : a + len(r)] = np.frombuffer(r, np.uint8) + np.uint8(2)
-            text[a + len(r)] = 1
-            own[a : a + len(r) - length + 1] = True
-            if c > 1:
-                repeated[a : a + len(r) - length + 1] = True
-        last, carried = -1, length
-
-        def compare(items: np.ndarray, prefix: np.ndarray) -> None:
-            """Own starts that agree with the own start before them: the least prefix in between reaches the length."""
-            nonlocal last, carried
-            at = np.flatnonzero(own[items])
-            if not len(at):
-                carried = min(carried, int(prefix.min()))
-                return
-            shared = np.minimum.reduceat(prefix[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
-            shared[0] = min(int(shared[0]), carried)
-            places = np.concatenate(([last], items[at]))
-            hit = np.flatnonzero(shared >= length)
-            hit = hit[places[hit] >= 0]
-            repeated[places[hit]] = True
-            repeated[places[hit + 1]] = True
-            last = int(items[at[-1]])
-            carried = int(prefix[at[-1] + 1 :].min(initial=length))
-
-        suffixes(text, length, compare, disk)
-        return [np.flatnonzero(repeated[a : a + len(r)]) for r, a in zip(regions, begin.tolist(), strict=False)]
-    finally:
-        disk.close()
+        own = np.empty(len(region) + 1, np.uint8)
+        np.add(np.frombuffer(region, np.uint8), np.uint8(2), out=own[:-1])
+        own[-1] = 1
+        self.text.add(own)
+        self.sizes.add(np.array([len(region)]))
+        self.counts.add(np.array([count]))
+        self.digests.add(np.frombuffer(digest, np.uint8))
+
+    def repeated(self, length: int) -> Iterator[tuple[bytes, np.ndarray]]:
+        """For each region its digest, and the starts of its own strings that occur more than once, counts included."""
+        disk = self.disk
+        try:
+            self.text.add(np.zeros(1, np.uint8))
+            text, sizes, counts, digests = (x.done() for x in (self.text, self.sizes, self.counts, self.digests))
+            own, repeated = disk.array(len(text), np.bool_), disk.array(len(text), np.bool_)
+            a = 0
+            for n, c in zip(sizes, counts, strict=True):
+                own[a : a + n - length + 1] = True
+                if c > 1:
+                    repeated[a : a + n - length + 1] = True
+                a += int(n) + 1
+            last, carried = -1, length
+
+            def compare(items: np.ndarray, prefix: np.ndarray) -> None:
+                """Own starts that agree with the own start before them: the least prefix in between reaches the length."""
+                nonlocal last, carried
+                at = np.flatnonzero(own[items])
+                if not len(at):
+                    carried = min(carried, int(prefix.min()))
+                    return
+                shared = np.minimum.reduceat(prefix[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
+                shared[0] = min(int(shared[0]), carried)
+                places = np.concatenate(([last], items[at]))
+                hit = np.flatnonzero(shared >= length)
+                hit = hit[places[hit] >= 0]
+                repeated[places[hit]] = True
+                repeated[places[hit + 1]] = True
+                last = int(items[at[-1]])
+                carried = int(prefix[at[-1] + 1 :].min(initial=length))
+
+            suffixes(text, length, compare, disk)
+            a, wide = 0, len(digests) // max(1, len(sizes))
+            for k, n in enumerate(sizes):
+                yield digests[k * wide : (k + 1) * wide].tobytes(), np.flatnonzero(repeated[a : a + n])
+                a += int(n) + 1
+        finally:
+            disk.close()
+
+
+def repeated_starts(regions: Iterable[bytes], counts: Iterable[int], length: int, disk: Disk | None = None) -> list[np.ndarray]:
+    """For each region, the starts of its own strings that occur more than once among all regions, counts included."""
+    shard = Shard(disk)
+    for region, count in zip(regions, counts, strict=True):
+        shard.add(region, count)
+    return [at for _, at in shard.repeated(length)]
 
 
 def merged(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -179,28 +255,66 @@ def merged(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+FOUND_DDL = "digest binary, spans array<struct<start:long,end:long>>"
+
+
 def _sorted(length: int, at_once: int):
     schema = pa.schema([("digest", pa.binary()), ("spans", SPANS)])
 
-    def done(digests: list[bytes], regions: list[bytes], counts: list[int]) -> Iterator[pa.RecordBatch]:
-        spans = [merged(s, length) for s in repeated_starts(regions, counts, length)]
-        found = [(d, [{"start": a, "end": b} for a, b in s]) for d, s in zip(digests, spans, strict=True) if s]
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([s for _, s in found], SPANS)], schema=schema)
+    def done(shard: Shard) -> Iterator[pa.RecordBatch]:
+        found: list[dict] = []
+        for digest, starts in shard.repeated(length):
+            if len(starts):
+                found.append({"digest": digest, "spans": [{"start": a, "end": b} for a, b in merged(starts, length)]})
+            if len(found) >= BATCH_RESULTS:
+                yield pa.RecordBatch.from_pylist(found, schema=schema)
+                found = []
+        yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, regions, counts, held, now = [], [], [], 0, None
+        shard, now = Shard(), None
         for b in rows:
-            for key, digest, region, count in zip(*(b.column(c).to_pylist() for c in ("key", "digest", "region", "count")), strict=True):
-                if key != now and held >= at_once:
-                    yield from done(digests, regions, counts)
-                    digests, regions, counts, held = [], [], [], 0
+            for key, digest, region, count in zip(*(b.column(c) for c in ("key", "digest", "region", "count")), strict=True):
+                key = key.as_py()
+                if key != now and shard.text.n >= at_once:
+                    yield from done(shard)
+                    shard = Shard()
                 now = key
-                digests.append(digest)
-                regions.append(region)
-                counts.append(count)
-                held += len(region)
-        if regions:
-            yield from done(digests, regions, counts)
+                shard.add(region.as_py(), count.as_py(), digest.as_py())
+        if shard.text.n:
+            yield from done(shard)
+
+    return run
+
+
+AGAIN_DDL = "parent binary, at long, key long, places long, count long, digest binary, region binary"
+
+
+def _again(length: int, gram: int):
+    """Regions dealt again, by owners among longer grams."""
+    schema = pa.schema([("parent", pa.binary()), ("at", pa.int64()), ("key", pa.int64()), ("places", pa.int64()), ("count", pa.int64()), ("digest", pa.binary()), ("region", pa.binary())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for digest, region, count in zip(*(b.column(c).to_pylist() for c in ("digest", "region", "count")), strict=True):
+                at, n, key, places = owned_runs(np.frombuffer(region, np.uint8), length, gram)
+                parts = [region[x : x + y + length - 1] for x, y in zip(at.tolist(), n.tolist(), strict=True)]
+                m = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([digest] * m, pa.binary()), pa.array(at), pa.array(key.view(np.int64)), pa.array(places), pa.array([count] * m, pa.int64()), pa.array([xxhash.xxh128_digest(p) for p in parts], pa.binary()), pa.array(parts, pa.binary())], schema=schema)
+
+    return run
+
+
+def _strings(length: int):
+    """Digests of all strings of regions."""
+    schema = pa.schema([("parent", pa.binary()), ("at", pa.int64()), ("count", pa.int64()), ("digest", pa.binary())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for digest, region, count in zip(*(b.column(c).to_pylist() for c in ("digest", "region", "count")), strict=True):
+                m = len(region) - length + 1
+                own = [xxhash.xxh128_digest(region[x : x + length]) for x in range(m)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest] * m, pa.binary()), pa.array(range(m), pa.int64()), pa.array([count] * m, pa.int64()), pa.array(own, pa.binary())], schema=schema)
 
     return run
 
@@ -221,25 +335,66 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "n_bytes": len(data), "spans": [{"start": x, "end": y} for x, y in spans], "kept": kept}], schema=schema)
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, at_once: int = SORTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _alike(regions: DataFrame) -> DataFrame:
+    return regions.groupBy("key", "digest", "region").agg(F.sum("count").alias("count"))
+
+
+def _merge(df: DataFrame) -> DataFrame:
+    """One row for each digest."""
+    return df.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def repeats_of(regions: DataFrame, length: int, gram: int, at_once: int, crowd: int) -> DataFrame:
+    """digest, spans (in bytes of the region) for regions with repeats. regions: key, digest, region, count."""
+    crowded = written(regions.select("key", "digest").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded-owners")
+    sort = lambda rows: _alike(rows).repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_sorted(length, at_once), FOUND_DDL)
+    if crowded.isEmpty():
+        return written(sort(regions), "repeats")
+    found = written(sort(regions.join(crowded.hint("merge"), "key", "left_anti")), "repeats")
+    many, longer = _alike(regions.join(crowded.hint("merge"), "key", "left_semi")), gram + length // 4
+    if longer < length:
+        again = written(many.mapInArrow(_again(length, longer), AGAIN_DDL), "dealt-again")
+        shared = again.groupBy("key").agg(F.sum(F.col("count") * F.col("places")).alias("n")).where("n > 1").select("key")
+        own = written(again.join(shared.hint("merge"), "key", "left_semi"), "shared-again")
+        discard(again)
+        inner = repeats_of(own.select("key", "digest", "region", "count"), length, longer, at_once, crowd)
+        spans = F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end")))
+        back = written(_merge(own.select("parent", "at", "digest").join(inner.hint("merge"), "digest").select(F.col("parent").alias("digest"), spans.alias("spans"))), "repeats")
+        discard(own, inner)
+    else:
+        strings = written(many.mapInArrow(_strings(length), "parent binary, at long, count long, digest binary"), "crowded-strings")
+        twice = strings.groupBy("digest").agg(F.sum("count").alias("n")).where("n > 1").select("digest")
+        span = F.array(F.struct(F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+        back = written(_merge(strings.join(twice.hint("merge"), "digest", "left_semi").select(F.col("parent").alias("digest"), span.alias("spans"))), "repeats")
+        discard(strings)
+    return found.union(back)
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, at_once: int = SORTED, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_bytes, spans (removed runs, in bytes), kept (the other bytes)."""
     spark = docs.sparkSession
     prepare(spark)
     plain = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
     runs = written(plain.where(F.octet_length("text") >= length).mapInArrow(_runs(length, gram), RUN_DDL), "runs")
     # Written, so that the join below has a plain exchange on either side: adaptive execution can then split a frequent owner.
-    shared = written(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-owners")
+    shared = written(runs.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key"), "shared-owners")
     by_doc = runs.join(shared.hint("merge"), "key", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "n", "key")).alias("runs"))
     by_doc = by_doc.select(F.col("doc_id").alias("run_doc"), F.col("th").alias("run_th"), "runs")
     same = lambda a, b: plain["doc_id"].eqNullSafe(F.col(a)) & (plain["th"] == F.col(b))
-    regions = written(plain.join(by_doc, same("run_doc", "run_th")).select("doc_id", "th", "text", "runs").mapInArrow(_regions(length), REGION_DDL), "regions")
-    alike = regions.groupBy("key", "digest", "region").agg(F.count(F.lit(1)).alias("count"))
-    found = written(alike.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_sorted(length, at_once), "digest binary, spans array<struct<start:long,end:long>>"), "repeats")
-    placed = regions.select("doc_id", "th", "at", "digest").join(found.hint("merge"), "digest").select("doc_id", "th", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"))).alias("spans"))
+    regions = written(plain.join(by_doc, same("run_doc", "run_th")).select("doc_id", "th", "text", "runs").mapInArrow(_regions(length, gram), REGION_DDL), "regions")
+    discard(runs, shared)
+    found = repeats_of(regions.select("key", "digest", "region", F.lit(1).cast("long").alias("count")), length, gram, at_once, crowd)
+
+    def moved(place, after):
+        """A place of the region as one of the document."""
+        return F.aggregate("cuts", place + F.col("at"), lambda sum_, c: sum_ + F.when(after(c["at"], place), c["gone"]).otherwise(F.lit(0)))
+
+    own = F.transform("spans", lambda s: F.struct(moved(s["start"], lambda c, x: c <= x).alias("start"), moved(s["end"], lambda c, x: c < x).alias("end")))
+    placed = regions.select("doc_id", "th", "at", "cuts", "digest").join(found.hint("merge"), "digest").select("doc_id", "th", own.alias("spans"))
     spans = placed.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")).select(F.col("doc_id").alias("span_doc"), F.col("th").alias("span_th"), "spans")
     return plain.join(spans, same("span_doc", "span_th"), "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def report(cut: DataFrame) -> DataFrame:
-    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).alias("has_repeats"), F.col("spans").alias("removed_spans"))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -58,7 +59,8 @@ def test_suffix_order_of_runs_and_long_repeats():
 @given(st.lists(st.integers(0, 3), min_size=12, max_size=300))
 def test_owned_runs_cover_all_starts(values):
     data = np.array(values, np.uint8)
-    at, n, key = repeats.owned_runs(data, 12, 4)
+    at, n, key, places = repeats.owned_runs(data, 12, 4)
+    assert len(places) == len(at) and (places >= 1).all()
     assert n.sum() == len(data) - 11 and (at == np.concatenate(([0], np.cumsum(n)[:-1]))).all()
     owner = {}
     for a, m, k in zip(at.tolist(), n.tolist(), key.tolist()):
@@ -114,3 +116,67 @@ def test_edges(docs, edges):
     got = repeats.report(repeats.cut_repeats(edges)).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted((i or 0, len((t or "").encode()), len(t) if i in (7, 8) else 0) for i, t in EDGES)
     assert repeats.cut_repeats(docs([])).count() == 0
+
+
+def crowded_rows():
+    """A line in many texts, each time between others; another that is longer than any gram but the last."""
+    rng = random.Random(5)
+    line, long_line = "the same line in many texts, ", "x1y2z3 w4v5u6 and so on to the end, "
+    noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(20, 60)))
+    out = [(i, noise() + rng.choice([line, long_line, line + long_line]) + noise()) for i in range(120)]
+    return [*out, *[(200 + i, line + long_line + "tail") for i in range(5)], (300, line * 30), (301, "z" * 700 + line)]
+
+
+@pytest.mark.parametrize("crowd", [1, 8, 500])
+def test_crowded_owners_against_brute_force(docs, crowd):
+    got = repeats.report(repeats.cut_repeats(docs(crowded_rows()), 40, 10, 2000, crowd)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(crowded_rows(), 40)
+    assert all(r.has_repeats == (r.n_removed > 0) and sum(s.end - s.start for s in r.removed_spans or []) == r.n_removed for r in got)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=1, max_size=9), st.integers(1, 60)), min_size=1, max_size=5))
+def test_shortened_regions_have_the_same_strings(parts):
+    data = "".join(p * n for p, n in parts).encode()
+    length, gram = 12, 4
+    strings = lambda b: {b[i : i + length] for i in range(len(b) - length + 1)}
+    for at, n, key, _ in zip(*(x.tolist() for x in repeats.owned_runs(np.frombuffer(data, np.uint8), length, gram))):
+        region = data[at : at + n + length - 1]
+        short, cuts = repeats.shortened(region, key, length, gram)
+        assert strings(short) == strings(region) and len(short) + sum(c["gone"] for c in cuts) == len(region)
+        back = short
+        for c in reversed(cuts):  # what is left out repeats what stands before it
+            back = back[: c["at"]] + b"?" * c["gone"] + back[c["at"] :]
+        assert len(back) == len(region) and all(x == y or x == ord("?") for x, y in zip(back, region))
+
+
+def test_a_megabyte_of_one_byte(docs):
+    rows = [(1, "x" * 1_000_000), (2, "a" + "x" * 1000 + "b"), (3, "ab" * 300_000 + "c"), (4, "unlike the others")]
+    tracemalloc.start()
+    data = np.frombuffer(rows[0][1].encode(), np.uint8)
+    at, n, key, _ = repeats.owned_runs(data, 400, 100)
+    short, cuts = repeats.shortened(rows[0][1].encode(), int(key[0]), 400, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) == 1 and len(short) < 1000 and len(short) + cuts[0]["gone"] == 1_000_000 and peak < 200 << 20
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(repeats.cut_repeats(docs(rows))).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (1_000_000, 1, sha("")), 2: (1000, 1, sha("ab")), 3: (600_000, 1, sha("c")), 4: (0, 0, sha("unlike the others"))}
+
+
+def test_a_shard_ten_times_its_memory():
+    rng = np.random.default_rng(7)
+    regions = [bytes(rng.integers(97, 105, 600, dtype=np.uint8)) for _ in range(3500)]
+    regions += [b"q" * 30 + r[100:580] for r in regions[::50]]
+    peaks = []
+    for disk in (Disk(), Disk(210_000, 1 << 15)):
+        shard = repeats.Shard(disk)
+        tracemalloc.start()
+        for r in regions:
+            shard.add(r, 1)
+        held = {k for k, (_, at) in enumerate(shard.repeated(400)) if len(at)}
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert held == {*range(0, 3500, 50), *range(3500, len(regions))}
+    assert sum(map(len, regions)) > 10 * disk.memory
+    assert peaks[1] < disk.memory + 40 * 8 * disk.chunk and peaks[1] * 10 < peaks[0], peaks  # its share and the chunks at work
