@@ -3,9 +3,10 @@ import random
 import numpy as np
 import pytest
 
-from kgspark.llm import decontaminate, pieces, quality
+from kgspark.llm import pieces, quality
 from kgspark.llm.shared import file_bytes, tokenizer_path
 
+from .plain import contaminated
 from .test_exact_dedup import lowered
 from .test_simhash import alike
 
@@ -52,19 +53,7 @@ def test_against_a_plain_version(spark, tmp_path):
     left = sorted(best.values(), key=lambda x: (x[0] is None, x[0]))
     found = alike(left)
     left = [x for k, x in enumerate(left) if found[k] == k]
-    words = decontaminate.Words()
-    tokens = [words(t) for _, t in bench]
-
-    def clean(text):
-        h = words(text)
-        for item in tokens:
-            for shift in range(-len(item), len(h)):
-                a, z = max(0, shift), min(len(h), shift + len(item))
-                if z > a and decontaminate.best_stretch(h[a:z] == item[a - shift : z - shift])[0] >= min(decontaminate.LEAST, -(-3 * len(item) // 4)):
-                    return False
-        return True
-
-    left = [(i, t) for i, t in left if clean(t)]
+    left = [(i, t) for i, t in left if not any(contaminated(t, item) for _, item in bench)]
     library = pieces.vocabulary(file_bytes(tokenizer_path(pieces.MODEL))).library
     assert got == sorted((i is None, i or 0, library.encode(t), True) for i, t in left)
 
