@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, sliced, texts_of, written
+from .shared import free_names, prepare, sliced, texts_of, written
 
 #: Bits of a fingerprint in the exchange; a clash costs one needless byte comparison.
 FP_BITS = 48
@@ -155,15 +155,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns; of repeated rows (same id and text) one."""
-    groups = written(exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id"), "keep_id", F.col("text_sha256").alias("__sha")), "exact-copies")
-    again = F.col("__id").eqNullSafe(F.col("keep_id"))
-    gone = groups.where(~again).select("__id", "__sha").distinct()
+    own_id, own_sha, gone_id, gone_sha = free_names(docs, "id", "sha", "gone_id", "gone_sha")
+    groups = written(exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone_id), "keep_id", F.col("text_sha256").alias(gone_sha)), "exact-copies")
+    again = F.col(gone_id).eqNullSafe(F.col("keep_id"))
+    gone = groups.where(~again).select(gone_id, gone_sha).distinct()
     sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
-    rows = docs.withColumn("__sha0", sha).withColumn("__id0", F.col(id_col))
-    kept = rows.join(gone.hint("merge"), F.col("__id0").eqNullSafe(F.col("__id")) & (F.col("__sha0") == F.col("__sha")), "left_anti")
+    rows = docs.withColumn(own_sha, sha).withColumn(own_id, F.col(id_col))
+    kept = rows.join(gone.hint("merge"), F.col(own_id).eqNullSafe(F.col(gone_id)) & (F.col(own_sha) == F.col(gone_sha)), "left_anti")
     if not groups.where(again).isEmpty():  # a row that stays is itself repeated
-        kept = kept.dropDuplicates(["__id0", "__sha0"])
-    return kept.drop("__id0", "__sha0")
+        kept = kept.dropDuplicates([own_id, own_sha])
+    return kept.drop(own_id, own_sha)
 
 
 ORACLE = """

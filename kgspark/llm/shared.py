@@ -89,6 +89,18 @@ def sliced(rows: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BY
     pa.default_memory_pool().release_unused()
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that df, whatever it has, doesn't have: the wanted ones, with as many underscores as it takes."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, text_col: str, build) -> DataFrame:
     """The rows of docs, all columns as they are, for which the task's function says so: build() -> (texts -> mask)."""
     names = docs.columns

@@ -13,8 +13,8 @@ made distinct, and joined to components by alternating stars, each round written
 
 Only distinct fingerprints are expanded, so copies, however many, cost nothing. Null and empty texts have fingerprint 0 and
 are linked as any other. Fewer words than a shingle has: the whole sequence is one. Repeated rows are in one component. A
-null id is never a component's smallest id, unless there is no other: then it is null. An empty table gives no rows. Extra
-columns are ignored.
+null id is never a component's smallest id, unless there is no other: then it is null. Of very long texts RUN shingles are
+counted at once. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, sliced, texts_of, written
+from .shared import free_names, prepare, sliced, texts_of, written
 
 SEED, WIDTH = 42, 3
 #: Shingles whose bits are counted at once.
@@ -172,7 +172,7 @@ def _meet(owner_bits: int):
 
 def links(distinct: DataFrame, count: int) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp), enough for every connection at 3 or fewer bits."""
-    owner_bits = min(20, max(6, int(count // OWNED).bit_length()))
+    owner_bits = max(6, int(count // OWNED).bit_length())  # below 32 for 2 ** 42 fingerprints
     routed = distinct.select("fp").mapInArrow(_routes(owner_bits), "owner long, fp long")
     return routed.groupBy("owner").applyInArrow(_meet(owner_bits), "a long, b long").distinct()
 
@@ -305,6 +305,71 @@ def _alike(width: int, least: float):
     return run
 
 
+#: Texts of a block, shingles of a block's texts together, and shingles whose bits are compared at once.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 128, 1 << 20, 1 << 15
+
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each set named in `left` has in common with each named in `right`: as bits, a slice of all values at once."""
+    values, column = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for a in range(0, len(values), COLUMNS):
+        low, high = np.searchsorted(column, (a, a + COLUMNS))
+        marks = np.zeros((len(sets), COLUMNS), bool)
+        marks[row[low:high], column[low:high] - a] = True
+        bits = np.packbits(marks, axis=1).view(np.uint64)
+        for k, i in enumerate(left.tolist()):
+            out[k] += np.bitwise_count(bits[right] & bits[i]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _block_links(least: float):
+    """Of a block's pairs, links that connect what the similar ones connect."""
+
+    def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        uids = held.column("uid").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in held.column("shingles").to_pylist()]
+        order = np.argsort(uids)
+        a, b = (order[np.searchsorted(uids[order], pairs.column(c).to_numpy())] for c in ("a", "b"))
+        left, x = np.unique(a, return_inverse=True)
+        right, y = np.unique(b, return_inverse=True)
+        shared = shared_counts(sets, left, right)[x, y]
+        size = np.array([len(s) for s in sets])
+        every = size[a] + size[b] - shared
+        ok = np.where(every > 0, shared / np.maximum(every, 1), 1.0) >= least
+        head = list(range(len(sets)))
+
+        def top(i: int) -> int:
+            while head[i] != i:
+                head[i] = head[head[i]]
+                i = head[i]
+            return i
+
+        kept = []
+        for k in np.flatnonzero(ok).tolist():
+            i, j = top(int(a[k])), top(int(b[k]))
+            if i != j:
+                head[i] = j
+                kept.append(k)
+        return pairs.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def _sets(width: int):
+    schema = pa.schema([("uid", pa.int64()), ("shingles", pa.binary())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(rows):
+            texts = pc.ascii_lower(b.column(1)).cast(pa.large_binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([shingle_set(t.as_py(), width).tobytes() for t in texts], pa.binary())], schema=schema)
+
+    return run
+
+
 def row_key(id_col: str, text_col: str) -> F.Column:
     """A row by its id and text: rows with the same of both are one."""
     return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
@@ -322,8 +387,8 @@ def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR,
     """uid, kept for every row that is in a group of similar texts; rows in none are not listed.
 
     Links are pairs of that similarity; a group is what they connect. Of a group the smallest id stays (no id: last). All pairs
-    of a shingle's rows are verified if these are few. Otherwise its rows are verified with four of them, and after that all
-    pairs of rows that are still in different groups: copies of one text, however many, are then in one.
+    of a shingle's rows are verified if these are few. Otherwise its rows are verified with four of them, and after that, in
+    blocks, all pairs of rows that are still in different groups: copies of one text, however many, are then in one.
     """
     prepare(docs.sparkSession)
     rows = docs.select(row_key(id_col, text_col).alias("uid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
@@ -350,6 +415,19 @@ def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR,
         both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("left")).hint("merge"), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
         return written(both.select("a", "b", "left", "right").mapInArrow(_alike(width, least), "a long, b long"), "similar-pairs")
 
+    def crowded(pairs: DataFrame, apart: DataFrame) -> DataFrame:
+        """Many pairs of few texts: by pairs of blocks, so that a text is sent once to each, not once for each pair."""
+        size = apart.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        home = apart.groupBy("uid").agg(F.min("token").alias("token")).join(size.hint("merge"), "token")
+        home = written(home.select("uid", F.xxhash64("token", F.pmod(F.xxhash64("uid"), "blocks")).alias("block")), "blocks")
+        both = pairs.join(home.select(F.col("uid").alias("a"), F.col("block").alias("x")).hint("merge"), "a").join(home.select(F.col("uid").alias("b"), F.col("block").alias("y")).hint("merge"), "b")
+        # A pair's blocks are in one order, so that two blocks meet once.
+        both = written(both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") <= F.col("y"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x") <= F.col("y"), F.col("b")).otherwise(F.col("a")).alias("b")), "block-pairs")
+        sets = written(rows.select("uid", "text").join(home.select("uid").hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]).mapInArrow(_sets(width), "uid long, shingles binary"), "crowded-sets")
+        asked = both.select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("a").alias("uid")).union(both.select("x", "y", "b")).distinct()
+        held = asked.join(sets.hint("merge"), "uid").select("u", "v", "uid", "shingles")
+        return written(both.groupBy("x", "y").cogroup(held.groupBy("u", "v")).applyInArrow(_block_links(least), "a long, b long"), "crowded-links")
+
     edges = verified(paired(few, few, "x.uid < y.uid").union(paired(many, centres, "x.uid <> y.uid")).distinct())
     roots = written(components(edges), "similar-roots")
     # Where a crowded shingle's rows are in several groups, pairs across them are left to verify.
@@ -357,7 +435,7 @@ def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR,
     split = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
     apart = written(placed.join(split.hint("merge"), "token", "left_semi"), "apart")
     if not apart.isEmpty():
-        more = verified(paired(apart, apart, "x.uid < y.uid and x.root <> y.root"))
+        more = crowded(paired(apart, apart, "x.uid < y.uid and x.root <> y.root"), apart)
         # Groups as they were, joined by the links across them.
         roots = written(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "similar-roots")
     ids = ids.join(roots.select(F.col("node").alias("uid"), "root"), "uid")
@@ -367,6 +445,7 @@ def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR,
 
 def drop_near_copies(docs: DataFrame, width: int = WORDS, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that stay: of each group of similar texts one, and all that are in none."""
-    gone = written(similar_groups(docs, width, least, id_col=id_col, text_col=text_col).where("not kept").select(F.col("uid").alias("__uid")).distinct(), "near-copies")
-    rows = docs.withColumn("__uid0", row_key(id_col, text_col))
-    return rows.join(gone.hint("merge"), F.col("__uid0") == F.col("__uid"), "left_anti").drop("__uid0")
+    mine, theirs = free_names(docs, "row", "gone")
+    gone = written(similar_groups(docs, width, least, id_col=id_col, text_col=text_col).where("not kept").select(F.col("uid").alias(theirs)).distinct(), "near-copies")
+    rows = docs.withColumn(mine, row_key(id_col, text_col))
+    return rows.join(gone.hint("merge"), F.col(mine) == F.col(theirs), "left_anti").drop(mine)
