@@ -6,7 +6,7 @@ is left of all tokens when every document is truncated to the limit.
 
 The sums run in two levels: inside blocks of lengths, and over block totals, so no task holds more than a block's lengths
 or the list of blocks. Null and empty texts have length 0. Repeated rows count each. An empty table gives an empty
-histogram. Extra columns are ignored.
+histogram. Extra columns are ignored. Very long texts are encoded whole, one at a time.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import file_bytes, prepare, sliced, texts_of, tokenizer_path
+from .shared import file_bytes, prepare, sliced, texts_of, tokenizer_path, written
 
 #: Lengths of a block.
 BLOCK = 256
@@ -43,7 +43,8 @@ def histogram(docs: DataFrame, vocabulary: str | None = None, text_col: str = "t
     prepare(spark)
     ranks = spark.sparkContext.broadcast(file_bytes(vocabulary or tokenizer_path(tokens.VOCABULARY)))
     found = texts_of(docs, text_col, text_col).select("text").mapInArrow(_lengths(ranks), "n_tokens long, docs long")
-    return found.groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
+    # Written, for the sums read it twice: on every length, and on blocks of lengths.
+    return written(found.groupBy("n_tokens").agg(F.sum("docs").alias("docs")), "lengths")
 
 
 def suffix_sums(lengths: DataFrame) -> DataFrame:
