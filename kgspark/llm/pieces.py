@@ -6,14 +6,15 @@ lattice whose steps weigh 0 where the neighbours hold and minus infinity where n
 
 Documents of more than `chunk` characters are split there into chunks. A boundary's states are the pieces that could cross
 or end at it. A chunk yields a matrix, from the states of its left boundary to those of its right: the max-plus sum over
-its paths. Matrices combine associatively; products from the left and from the right meet in the one state that the whole
-document has at each boundary, and given its two states each chunk is traced back on its own. Where a chunk holds a place
+its paths. Matrices combine associatively, in a tree: products of FAN neighbours, of FAN such products, and so on. Handed
+down the same tree, sums from the left and from the right meet in the one state that the whole document has at each
+boundary, and given its two states each chunk is traced back on its own. Where a chunk holds a place
 that no piece spans (before a space, say), the matrix is an outer product, and only the ends of the chunk need the lattice.
 
 Shorter documents are encoded whole by the library in one task. Decoding joins pieces and bytes; it gives back the text
 exactly, but for the character U+2581, which the vocabulary doesn't tell from a space.
 
-Null and empty texts have no tokens. Repeated rows are encoded each. An empty table gives no rows. Extra columns are ignored.
+Null and empty texts have no tokens. Repeated rows are encoded each. Very long texts are the giants above. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -236,9 +237,15 @@ def _split(chunk: int, margin: int):
     return run
 
 
-def _matrices(model):
-    schema = pa.schema([("rid", pa.int64()), ("chunk", pa.int64()), ("ins", pa.list_(pa.int64())), ("outs", pa.list_(pa.int64())), ("sums", pa.list_(pa.float32()))])
+#: Neighbouring matrices whose product a task forms.
+FAN = 64
+MATRIX = pa.schema([("rid", pa.int64()), ("pos", pa.int64()), ("ins", pa.list_(pa.int64())), ("outs", pa.list_(pa.int64())), ("sums", pa.list_(pa.float32()))])
+MATRIX_DDL = "rid long, pos long, ins array<long>, outs array<long>, sums array<float>"
+PLACED = pa.schema([*[MATRIX.field(c) for c in ("rid", "pos", "ins", "outs")], ("left", pa.list_(pa.float64())), ("right", pa.list_(pa.float64())), *[(c, pa.int64()) for c in ("in_s", "in_e", "out_s", "out_e")]])
+PLACED_DDL = "rid long, pos long, ins array<long>, outs array<long>, left array<double>, right array<double>, in_s long, in_e long, out_s long, out_e long"
+
 
+def _matrices(model):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model.value)
         for b in sliced(rows, 6):
@@ -246,39 +253,84 @@ def _matrices(model):
             for r in b.to_pylist():
                 ins, outs, sums = own.matrix(r["part"], r["left"], r["right"], r["chunk"] == r["n_chunks"] - 1)
                 # States by their places relative to the boundary: the neighbour names them alike.
-                out.append({"rid": r["rid"], "chunk": r["chunk"], "ins": [x - r["left"] for s in ins for x in s], "outs": [x - r["right"] for s in outs for x in s], "sums": sums.ravel().tolist()})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out.append({"rid": r["rid"], "pos": r["chunk"], "ins": [x - r["left"] for s in ins for x in s], "outs": [x - r["right"] for s in outs for x in s], "sums": sums.ravel().tolist()})
+            yield pa.RecordBatch.from_pylist(out, schema=MATRIX)
 
     return run
 
 
-def _combine(group: pa.Table) -> pa.Table:
-    """The state of a document at every boundary: products of the matrices from the left and from the right."""
-    rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-    pair = lambda x: list(zip(x[::2], x[1::2], strict=True))
-    sums = []
-    for k, r in enumerate(rows):
-        ins, outs = pair(r["ins"]), pair(r["outs"])
+def _pairs(flat: list[int]) -> list[State]:
+    return list(zip(flat[::2], flat[1::2], strict=True))
+
+
+def _members(group: pa.Table) -> list[tuple[dict, np.ndarray]]:
+    """A group's matrices in order; a matrix's rows stand in the order of the columns of the one before."""
+    out, names = [], None
+    for r in sorted(group.to_pylist(), key=lambda r: r["pos"]):
+        ins, outs = _pairs(r["ins"]), _pairs(r["outs"])
         m = np.array(r["sums"]).reshape(len(ins), len(outs))
-        if k:  # rows in the order of the columns before
+        if names is not None:
             at = {s: i for i, s in enumerate(ins)}
-            m = m[[at[s] for s in names]] if names else m
+            m, ins = m[[at[s] for s in names]], names
+        out.append((r | {"ins": [x for s in ins for x in s]}, m))
         names = outs
-        sums.append(m)
-    left = [np.zeros(1)]
-    for m in sums:
-        left.append(np.max(left[-1][:, None] + m, axis=0))
-    right = [np.zeros(sums[-1].shape[1])]
-    for m in reversed(sums):
-        right.append(np.max(m + right[-1][None, :], axis=1))
+    return out
+
+
+def _product(key: tuple, group: pa.Table) -> pa.Table:
+    """The max-plus product of neighbouring matrices."""
+    members = _members(group)
+    m = members[0][1]
+    for _, after in members[1:]:
+        m = (m[:, :, None] + after[None, :, :]).max(axis=1)
+    first, last = members[0][0], members[-1][0]
+    return pa.Table.from_pylist([{"rid": first["rid"], "pos": key[1].as_py(), "ins": first["ins"], "outs": last["outs"], "sums": m.ravel().tolist()}], schema=MATRIX)
+
+
+def _descend(group: pa.Table, above: pa.Table) -> pa.Table:
+    """For each matrix of a group: the best sums of paths from the document's begin to its left boundary's states, and from its
+    right boundary's states to the end. above: the same of the whole group; its states are those of the first and the last."""
+    members, top = _members(group), above.to_pylist()[0]
+    named = dict(zip(_pairs(top["ins"]), top["left"], strict=True))
+    left = [np.array([named[s] for s in _pairs(members[0][0]["ins"])])]
+    for _, m in members:
+        left.append((left[-1][:, None] + m).max(axis=0))
+    named = dict(zip(_pairs(top["outs"]), top["right"], strict=True))
+    right = [np.array([named[s] for s in _pairs(members[-1][0]["outs"])])]
+    for _, m in reversed(members):
+        right.append((m + right[-1][None, :]).max(axis=1))
     right = right[::-1]
     out = []
-    for k, r in enumerate(rows):
-        outs = pair(r["outs"])
-        s = outs[int(np.argmax(left[k + 1] + right[k + 1]))]
-        out.append({"rid": r["rid"], "chunk": r["chunk"], "in_s": prior[0] if k else -1, "in_e": prior[1] if k else 0, "out_s": s[0], "out_e": s[1]})
-        prior = s
-    return pa.Table.from_pylist(out, schema=pa.schema([(c, pa.int64()) for c in ("rid", "chunk", "in_s", "in_e", "out_s", "out_e")]))
+    for k, (r, _) in enumerate(members):
+        state = lambda names, at: _pairs(r[names])[int(np.argmax(left[at] + right[at]))]  # noqa: B023, E731
+        (in_s, in_e), (out_s, out_e) = state("ins", k), state("outs", k + 1)
+        out.append({"rid": r["rid"], "pos": r["pos"], "ins": r["ins"], "outs": r["outs"], "left": left[k].tolist(), "right": right[k + 1].tolist(), "in_s": in_s, "in_e": in_e, "out_s": out_s, "out_e": out_e})
+    return pa.Table.from_pylist(out, schema=PLACED)
+
+
+def _ends(top: DataFrame) -> DataFrame:
+    """The vectors of whole documents: nothing before them, nothing after."""
+    zeros = lambda c: F.array_repeat(F.lit(0.0), (F.size(c) / 2).cast("int"))
+    return top.select("rid", "pos", "ins", "outs", zeros("ins").alias("left"), zeros("outs").alias("right"))
+
+
+def states(matrices: DataFrame, most: int) -> DataFrame:
+    """rid, chunk, in_s, in_e, out_s, out_e: the state of each document at every boundary. most: chunks of a document.
+
+    Products of FAN neighbours, then of FAN such products, until a document is one matrix; then sums are handed down the same
+    tree. A task holds FAN matrices, however long a document is."""
+    levels = [matrices]
+    while most > 1:
+        by = (F.col("pos") / FAN).cast("long")
+        levels.append(written(levels[-1].groupBy("rid", by.alias("group")).applyInArrow(_product, MATRIX_DDL), "products"))
+        most = -(-most // FAN)
+    above = _ends(levels[-1])
+    if len(levels) == 1:
+        levels.append(levels[0])
+    for level in reversed(levels[:-1]):
+        group = level.groupBy("rid", (F.col("pos") / FAN).cast("long"))
+        above = written(group.cogroup(above.groupBy("rid", "pos")).applyInArrow(_descend, PLACED_DDL), "boundaries")
+    return above.select("rid", F.col("pos").alias("chunk"), "in_s", "in_e", "out_s", "out_e")
 
 
 CODE = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int32())), ("sha", pa.binary())])
@@ -326,8 +378,9 @@ def _prepared(docs: DataFrame, chunk: int, model_path: str | None, id_col: str,
     plain = texts_of(docs, id_col, text_col)
     giant = F.char_length("text") > chunk
     parts = written(plain.where(giant).mapInArrow(_split(chunk, vocabulary(data).longest + 1), ROW_DDL).repartition("rid", "chunk"), "chunks")
-    states = parts.mapInArrow(_matrices(model), "rid long, chunk long, ins array<long>, outs array<long>, sums array<float>").groupBy("rid").applyInArrow(_combine, "rid long, chunk long, in_s long, in_e long, out_s long, out_e long")
-    return model, plain.where(~giant), parts.join(states, ["rid", "chunk"])
+    matrices = written(parts.mapInArrow(_matrices(model), MATRIX_DDL), "matrices")
+    most = parts.agg(F.max("n_chunks")).first()[0] or 0
+    return model, plain.where(~giant), parts.join(states(matrices, most).hint("merge"), ["rid", "chunk"])
 
 
 def encode(docs: DataFrame, chunk: int = CHUNK, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

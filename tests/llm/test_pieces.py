@@ -47,6 +47,16 @@ def test_chunks_of_any_size(spark, docs):
     assert max(r.n_chunks for r in got) == 1
 
 
+def test_products_form_a_tree(spark, docs, monkeypatch):
+    rng = random.Random(8)
+    bits = ["the", " ", "ing", "Thntblere", "aaaaaaa", "漢字", "internationalization", "▁"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(20, 90)))) for i in range(12)] + [(200, "a" * 500), (201, "thethethe" * 60)]
+    monkeypatch.setattr(pieces, "CHUNK", 9)
+    for fan in (2, 3):
+        monkeypatch.setattr(pieces, "FAN", fan)
+        check(docs(rows), rows, spark, 9)
+
+
 def test_edges(spark, docs, edges):
     got = check(edges, EDGES, spark, pieces.CHUNK)
     assert max(r.n_chunks for r in got) == 19
