@@ -8,7 +8,8 @@
    of all rows hold costs each task one row.
 
 Null and empty texts are equal. Texts that differ only in the case of A-Z are equal. A null id counts as the smallest.
-Repeated rows (same id, same text): one of them stays. An empty table gives no rows. Extra columns are ignored.
+Repeated rows (same id, same text): one of them stays. Very long texts are hashed whole and shuffled only if suspect. An
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .shared import free_names, prepare, sliced, texts_of, written
 
 #: Bits of a fingerprint in the exchange; a clash costs one needless byte comparison.
 FP_BITS = 48
-#: Rows of a source at most: what one task holds when bitmaps come back.
-SOURCE_ROWS = 1 << 17
+#: Rows of a source at most: what one task holds when bitmaps come back. Fingerprints of an owner, about: what it decodes.
+SOURCE_ROWS, OWNED = 1 << 17, 1 << 22
 
 ROWS = "doc_id long, rid long, fp long, sha binary, src long, owner int, blob binary"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,7 +126,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, rid (row within this run), keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     prepare(spark)
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many owners as keep the share of each below a bound, whatever the number of rows.
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNED))
     plain = texts_of(docs, id_col, text_col)
     sent = written(plain.mapInArrow(_digest(owners), ROWS), "exact-rows")
     rows = sent.where("owner is null").select("doc_id", "rid", "fp", "sha", "src")
