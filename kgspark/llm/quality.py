@@ -9,7 +9,9 @@ Only labelled rows whose crc32(id as text) mod 3 isn't 1 are learnt from, a boun
 class, those first by a hash of the id, of at most `longest` bytes each. Every document is scored, its whole text.
 
 Null and empty texts get the score that the calibration gives to length 0. Null or conflicting labels aren't learnt from;
-without both classes every score is 0.5. A null id counts as an empty text for the crc. Extra columns are ignored.
+without both classes every score is 0.5. A null id counts as an empty text for the crc. Of several texts with one id the
+largest is learnt from, so that a fit repeats itself; places of equal hash are ordered by id. Repeated rows are scored each.
+Very long texts are compressed block by block. An empty table gives no rows, and no model. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         picked = some if picked is None else picked.union(some)
     plain = texts_of(docs, id_col, text_col).where(F.octet_length("text") <= longest)
     # At most 2 * per_class ids: the bound that makes this broadcast, and what is collected, safe.
-    rows = plain.join(F.broadcast(picked), plain["doc_id"] == F.col("label_id")).select("place", "label_id", "label", "text").dropDuplicates(["label_id"]).orderBy("place", "label_id").collect()
+    found = plain.join(F.broadcast(picked), plain["doc_id"] == F.col("label_id"))
+    rows = found.groupBy("place", "label_id", "label").agg(F.max("text").alias("text")).orderBy("place", "label_id").collect()
     return train(*([r.text.encode() for r in rows if r.label == k] for k in (1, 0)))
 
 
