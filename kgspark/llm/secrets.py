@@ -6,7 +6,8 @@ Postings are intersected and joined by the queries, and only candidates are sear
 mandatory trigrams (a run of hex digits) scans every document. Blocks are independent, so nothing is shuffled, and a lost
 executor costs its blocks only.
 
-Null and empty texts have no spans. Repeated rows are scanned each. An empty table gives no rows. Matches of one rule don't
+Null and empty texts have no spans. Repeated rows are scanned each. Very long texts are blocks of their own, searched whole.
+An empty table gives no rows. Matches of one rule don't
 overlap; those of different rules may. Extra columns are ignored.
 """
 

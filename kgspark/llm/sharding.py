@@ -8,7 +8,8 @@ and asks for finer cells only where a look-up of the search falls into a cell wi
 Within that capacity each cut goes to the group end nearest to an equal share of what is left.
 
 Null and empty texts are one group of size 8 a row. Repeated rows are separate rows of one group. An empty table gives no
-rows. A group larger than an equal share fills a shard alone; the others share the rest. Extra columns are ignored.
+rows. A group larger than an equal share fills a shard alone; the others share the rest. Very long texts are measured and
+digested where they are read, never shuffled. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -183,11 +183,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b > m").select(F.col("m").alias("a"), "b").distinct()
+        # Minima are written, so that a join has a plain exchange on either side: adaptive execution can then split the edges of
+        # a node that has very many.
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-minima")
+        large = both.join(least.hint("merge"), "a").where("b > a and b > m").select(F.col("m").alias("a"), "b").distinct()
         large = written(large, "large-star")
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b")
+        down = written(large.groupBy("b").agg(F.min("a").alias("m")), "star-minima")
+        small = large.join(down.hint("merge"), "b")
         small = small.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(down.select(F.col("m").alias("a"), "b")).distinct()
         edges = written(small, "small-star")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
