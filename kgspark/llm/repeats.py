@@ -347,11 +347,12 @@ def _merge(df: DataFrame) -> DataFrame:
 def repeats_of(regions: DataFrame, length: int, gram: int, at_once: int, crowd: int) -> DataFrame:
     """digest, spans (in bytes of the region) for regions with repeats. regions: key, digest, region, count."""
     crowded = written(regions.select("key", "digest").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded-owners")
+    # One owner in `crowd` regions at most is crowded: Spark broadcasts these where their size allows, and shuffles them where not.
     sort = lambda rows: _alike(rows).repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_sorted(length, at_once), FOUND_DDL)
     if crowded.isEmpty():
         return written(sort(regions), "repeats")
-    found = written(sort(regions.join(crowded.hint("merge"), "key", "left_anti")), "repeats")
-    many, longer = _alike(regions.join(crowded.hint("merge"), "key", "left_semi")), gram + length // 4
+    found = written(sort(regions.join(crowded, "key", "left_anti")), "repeats")
+    many, longer = _alike(regions.join(crowded, "key", "left_semi")), gram + length // 4
     if longer < length:
         again = written(many.mapInArrow(_again(length, longer), AGAIN_DDL), "dealt-again")
         shared = again.groupBy("key").agg(F.sum(F.col("count") * F.col("places")).alias("n")).where("n > 1").select("key")

@@ -124,7 +124,8 @@ class Queues:
             parts = self.chunks.pop(c)
             self.held -= sum(x.nbytes + OVERHEAD for x in parts)
             whole = np.concatenate(parts)  # few long chunks instead of many short ones
-            lengths.extend(min(self.disk.chunk, len(whole) - a) for a in range(0, len(whole), self.disk.chunk))
+            step = 2 * self.disk.chunk  # even: pairs stay together
+            lengths.extend(min(step, len(whole) - a) for a in range(0, len(whole), step))
             with open(path, "ab") as f:
                 whole.tofile(f)
 
@@ -492,17 +493,25 @@ class Order:
         seed = np.zeros(n, bool)
         seed[len(come) : outer] = True
         head = (c.max() - c if self.kind else c - c.min()) * 2 + seed
-        head = head * (2 * n + 1)
-        # Those that came first, in their order; seeds after all others of a character; those induced here as their inducers.
-        key = np.concatenate([np.arange(len(come)), np.arange(len(seeds)), np.full(len(parent), len(come))])
+        # Those that came first, in their order; then those induced here, as their inducers; seeds after all others of a character.
+        # However the latter lie among each other, the places of all else are known.
+        key = np.concatenate([np.arange(len(come)), np.arange(len(seeds))])
+        order = np.argsort(head[:outer] * (outer + 1) + key, kind="stable")
+        known, here = head[:outer][order], np.sort(head[outer:])
         rank = np.empty(n, np.int64)
-        while True:
-            order = np.argsort(head + key, kind="stable")
-            rank[order] = np.arange(n)
-            now = len(come) + rank[parent]
-            if np.array_equal(now, key[outer:]):
+        rank[:outer][order] = np.arange(outer) + np.searchsorted(here, known, side="left")
+        place = np.searchsorted(known, here, side="right") + np.arange(n - outer)
+        value, ahead = head[outer:], parent
+        while n > outer:  # by characters, then by twice as many each round, until those that came first decide
+            at = np.argsort(value, kind="stable")
+            fresh = np.concatenate(([True], value[at[1:]] != value[at[:-1]]))
+            rank[outer:][at] = np.maximum.accumulate(np.where(fresh, place, 0))
+            if fresh.all():
                 break
-            key[outer:] = now
+            value = rank[outer:] * (n + 1) + rank[ahead]
+            ahead = np.where(ahead < outer, ahead, ahead[np.maximum(ahead - outer, 0)])
+        order = np.empty(n, np.int64)
+        order[rank] = np.arange(n)
         own = None
         if self.carries:
             own = np.zeros(n, np.int64)
@@ -519,12 +528,16 @@ class Order:
             x, y = parent[a[here] - outer], parent[b[here] - outer]
             alike = c[x] == c[y]
             to, x, y = same[here[alike]], rank[x[alike]], rank[y[alike]]
-            own[to] = self.depth
-            while len(to):  # each reads places before its own
-                now = np.minimum(_least_between(own, x + 1, y) + 1, self.depth)
-                if np.array_equal(now, own[to]):
+            own[to], todo = self.depth, np.arange(len(to))
+            while len(todo):  # each reads places before its own
+                now = np.minimum(_least_between(own, x[todo] + 1, y[todo]) + 1, self.depth)
+                less = now != own[to[todo]]
+                moved = to[todo[less]]
+                own[moved] = now[less]
+                if not len(moved):
                     break
-                own[to] = now
+                first = np.searchsorted(moved, x + 1)
+                todo = np.flatnonzero((first < len(moved)) & (moved[np.minimum(first, len(moved) - 1)] <= y))
         self._emit(items[order], own, g, False)
 
     def run(self, lms: np.ndarray, prefix: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -544,9 +557,13 @@ class Order:
 
 def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(values[low : high + 1]); most ranges are short."""
-    if int((high - low).max()) >= BLOCK:
-        return Least(values).between(low, high)
-    out, left, at = values[low], np.flatnonzero(low < high), low
+    out, size = values[low], high - low
+    long = np.flatnonzero(size >= BLOCK)
+    if len(long):
+        if int(size[long].sum()) + 1000 * len(long) > 16 * len(values):
+            return Least(values).between(low, high)
+        out[long] = [values[a : b + 1].min() for a, b in zip(low[long].tolist(), high[long].tolist(), strict=True)]
+    left, at = np.flatnonzero((size > 0) & (size < BLOCK)), low
     while len(left):
         at = at + 1
         out[left] = np.minimum(out[left], values[at[left]])
