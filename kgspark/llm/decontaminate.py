@@ -11,7 +11,7 @@ weight, so that nearly every such passage has a hit; items of fewer tokens than
 document whole. Tokens are lower-cased words without punctuation at their ends.
 
 1. The benchmark is tokenised and hashed by tasks; its hashes are written.
-2. A filter of bits that tells whether a hash can be the benchmark's is sent to all tasks: FILTER_BITS at most, whatever the
+2. A filter of bits that tells whether a hash can be the benchmark's is sent to all tasks: 2 ** FILTER_BITS at most, whatever the
    benchmark's size. A full one lets more hashes pass, which the join then drops.
 3. Of a document with hashes that pass, these and its tokens are written; all other documents are read once and left.
 4. These hashes are joined with the benchmark's by shuffles; a candidate is a document, an item and a diagonal. The item and
@@ -40,11 +40,12 @@ from .shared import free_names, prepare, sliced, texts_of, written
 FAMILIES = {
     8: ("1011", "100011"),
     12: ("1101011", "11100101", "1100000111", "10110011", "111011"),
-    40: ("11110111", "1101101011", "11100101101", "110010101011"),
+    16: ("111111", "1101111", "111010011", "1100101011", "1110001101", "101011100001"),
+    24: ("10111111", "111011011", "11001010111", "11010010111", "111110100001"),
 }
 LEAST, SHORTEST = 16, min(FAMILIES)
-#: Bits of the filter of the benchmark's hashes at most (16 MB), and bits for each hash while there are fewer.
-FILTER_BITS, BITS_EACH = 27, 32
+#: The filter of the benchmark's hashes: bits for each, 2 ** FILTER_BITS in all at most (64 MB), and how many a hash sets.
+BITS_EACH, FILTER_BITS, SLOTS = 256, 29, 4
 #: Words whose hashes a task remembers.
 REMEMBERED = 200_000
 
@@ -76,16 +77,23 @@ def masks_of(n: int) -> tuple[str, ...]:
     return FAMILIES[max(k for k in FAMILIES if k <= n)]
 
 
-def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
-    """A mask's hash at each position where it fits."""
-    n = len(h) - len(mask) + 1
+def multiplied(h: np.ndarray) -> list[np.ndarray]:
+    """Token hashes times an odd number for each place of a mask."""
+    return [h * np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 2**64)) for j in range(max(SHORTEST, *(len(m) for f in FAMILIES.values() for m in f)))]
+
+
+def seed_hashes(by_place: list[np.ndarray], mask: str) -> np.ndarray:
+    """A mask's hash at each position where it fits: the sum over its tokens, mixed. by_place: multiplied()."""
+    n = len(by_place[0]) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, xxhash.xxh64_intdigest(mask, 3), np.uint64)
     for j, bit in enumerate(mask):
         if bit == "1":
-            out = (out ^ h[j : j + n]) * np.uint64(0xD6E8FEB86659FD93)
-            out ^= out >> np.uint64(32)
+            out += by_place[j][j : j + n]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
     return out
 
 
@@ -126,22 +134,22 @@ def _seeds(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows:
         for item, tokens in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
             h = np.frombuffer(tokens, np.uint64)
+            by_place = multiplied(h)
             for mask in masks_of(len(h)):
-                own = seed_hashes(h, mask)
+                own = seed_hashes(by_place, mask)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array([item] * len(own), pa.int64()), pa.array(np.arange(len(own), dtype=np.int32))], schema=schema)
 
 
-def slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash's two bits of the filter."""
-    mask = np.uint64((1 << bits) - 1)
-    return h & mask, (h >> np.uint64(64 - bits)) & mask
+def slot(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """A hash's k-th bit of the filter."""
+    return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64((1 << bits) - 1)
 
 
 def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
     """The filter's bytes. Tasks put bits together to words; as many words as the filter has come to the driver at most."""
-    low = F.col("hash").bitwiseAND((1 << bits) - 1)
-    both = seeds.select(F.explode(F.array(low, F.shiftrightunsigned("hash", 64 - bits))).alias("slot"))
-    words = both.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toArrow()
+    low, step = F.col("hash").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("hash", 32).bitwiseOR(1)
+    every = seeds.select(F.explode(F.array(*[(low + step * k).bitwiseAND((1 << bits) - 1) for k in range(SLOTS)])).alias("slot"))
+    words = every.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toArrow()
     out = np.zeros(max(1, 1 << bits >> 5), np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)
@@ -161,12 +169,12 @@ def _hits(packed, masks: list[str], bits: int):
             docs = [words(t) for t in b.column(1).to_pylist()]
             flat = np.concatenate([*docs, np.zeros(0, np.uint64)])
             ends = np.cumsum([len(d) for d in docs])
-            places, hashes = [], []
+            places, hashes, by_place = [], [], multiplied(flat)
             for mask in masks:
-                h = seed_hashes(flat, mask)
-                one, two = slots(h, bits)
-                at = np.flatnonzero(has(one))
-                at = at[has(two[at]) == 1]
+                h = seed_hashes(by_place, mask)
+                at = np.flatnonzero(has(slot(h, 0, bits)))
+                for k in range(1, SLOTS):
+                    at = at[has(slot(h[at], k, bits)) == 1]
                 at = at[at + len(mask) <= ends[np.searchsorted(ends, at, side="right")]]  # inside one document
                 places.append(at)
                 hashes.append(h[at])
