@@ -308,7 +308,7 @@ def _alike(width: int, least: float):
 
 
 #: Texts of a block, shingles of a block's texts together, and shingles whose bits are compared at once.
-BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 128, 1 << 20, 1 << 15
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 1 << 14
 
 
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -329,34 +329,26 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 
 def _block_links(least: float):
-    """Of a block's pairs, links that connect what the similar ones connect."""
-
-    def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
-        uids = held.column("uid").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in held.column("shingles").to_pylist()]
-        order = np.argsort(uids)
-        a, b = (order[np.searchsorted(uids[order], pairs.column(c).to_numpy())] for c in ("a", "b"))
-        left, x = np.unique(a, return_inverse=True)
-        right, y = np.unique(b, return_inverse=True)
-        shared = shared_counts(sets, left, right)[x, y]
+    """Of the pairs between two blocks of a shingle's rows (or inside one), links that connect what the similar ones connect."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        uids, roots, block = (group.column(c).to_numpy() for c in ("uid", "root", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        left, right = (np.flatnonzero(block == key[k].as_py()) for k in (1, 2))
         size = np.array([len(s) for s in sets])
-        every = size[a] + size[b] - shared
-        ok = np.where(every > 0, shared / np.maximum(every, 1), 1.0) >= least
-        head = list(range(len(sets)))
-
-        def top(i: int) -> int:
-            while head[i] != i:
-                head[i] = head[head[i]]
-                i = head[i]
-            return i
-
-        kept = []
-        for k in np.flatnonzero(ok).tolist():
-            i, j = top(int(a[k])), top(int(b[k]))
-            if i != j:
-                head[i] = j
-                kept.append(k)
-        return pairs.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+        shared = shared_counts(sets, left, right)
+        every = size[left][:, None] + size[right][None, :] - shared
+        ok = (np.where(every > 0, shared / np.maximum(every, 1), 1.0) >= least) & (roots[left][:, None] != roots[right][None, :])
+        part, out = np.unique(roots, return_inverse=True)[1], []
+        for i, alike in zip(left.tolist(), ok, strict=True):
+            near = right[alike]
+            for j in near[np.unique(part[near], return_index=True)[1]].tolist():
+                if part[i] != part[j]:
+                    out.append((uids[i], uids[j]))
+                    part[part == part[j]] = part[i]
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(found.min(axis=1, initial=2**63 - 1)), pa.array(found.max(axis=1, initial=-(2**63)))], schema=schema)
 
     return run
 
@@ -417,18 +409,15 @@ def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR,
         both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("left")).hint("merge"), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("right")).hint("merge"), "b")
         return written(both.select("a", "b", "left", "right").mapInArrow(_alike(width, least), "a long, b long"), "similar-pairs")
 
-    def crowded(pairs: DataFrame, apart: DataFrame) -> DataFrame:
-        """Many pairs of few texts: by pairs of blocks, so that a text is sent once to each, not once for each pair."""
-        size = apart.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-        home = apart.groupBy("uid").agg(F.min("token").alias("token")).join(size.hint("merge"), "token")
-        home = written(home.select("uid", F.xxhash64("token", F.pmod(F.xxhash64("uid"), "blocks")).alias("block")), "blocks")
-        both = pairs.join(home.select(F.col("uid").alias("a"), F.col("block").alias("x")).hint("merge"), "a").join(home.select(F.col("uid").alias("b"), F.col("block").alias("y")).hint("merge"), "b")
-        # A pair's blocks are in one order, so that two blocks meet once.
-        both = written(both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") <= F.col("y"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x") <= F.col("y"), F.col("b")).otherwise(F.col("a")).alias("b")), "block-pairs")
-        sets = written(rows.select("uid", "text").join(home.select("uid").hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]).mapInArrow(_sets(width), "uid long, shingles binary"), "crowded-sets")
-        asked = both.select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("a").alias("uid")).union(both.select("x", "y", "b")).distinct()
-        held = asked.join(sets.hint("merge"), "uid").select("u", "v", "uid", "shingles")
-        return written(both.groupBy("x", "y").cogroup(held.groupBy("u", "v")).applyInArrow(_block_links(least), "a long, b long"), "crowded-links")
+    def crowded(apart: DataFrame) -> DataFrame:
+        """Links across the groups of a shingle's many rows: by pairs of blocks, a task for each, so that a row is sent once to
+        each block and no pair is a row."""
+        size = apart.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = apart.join(size.hint("merge"), "token").select("token", "uid", "root", "blocks", F.pmod(F.xxhash64("uid"), "blocks").cast("int").alias("block"))
+        sets = written(rows.select("uid", "text").join(apart.select("uid").distinct().hint("merge"), "uid", "left_semi").dropDuplicates(["uid"]).mapInArrow(_sets(width), "uid long, shingles binary"), "crowded-sets")
+        met = dealt.select("token", "uid", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        held = met.join(sets.hint("merge"), "uid").select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "uid", "root", "block", "shingles")
+        return written(held.groupBy("token", "x", "y").applyInArrow(_block_links(least), "a long, b long").distinct(), "crowded-links")
 
     edges = verified(paired(few, few, "x.uid < y.uid").union(paired(many, centres, "x.uid <> y.uid")).distinct())
     roots = written(components(edges), "similar-roots")
@@ -437,7 +426,7 @@ def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR,
     split = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
     apart = written(placed.join(split.hint("merge"), "token", "left_semi"), "apart")
     if not apart.isEmpty():
-        more = crowded(paired(apart, apart, "x.uid < y.uid and x.root <> y.root"), apart)
+        more = crowded(apart)
         # Groups as they were, joined by the links across them.
         roots = written(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "similar-roots")
     ids = ids.join(roots.select(F.col("node").alias("uid"), "root"), "uid")
