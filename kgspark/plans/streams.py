@@ -14,8 +14,12 @@ from .registry import query
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared storage that the session names."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
+    """A fresh folder in the shared storage that the session names; a local one only where one machine runs everything."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    at = at or "file://" + tempfile.mkdtemp(prefix="stream-")
     return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -47,6 +51,17 @@ def w_fired_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACTION = "case event_type when 'view' then 'fire' when 'click' then 'snooze' when 'error' then 'rearm' else 'acknowledge' end"
 
 
+@query(f"""with f as (select user_id as reminder_id, {OCCURRENCE} - to_days(cast(user_id % 40 as int)) as o, ts from events)
+  select reminder_id, strftime(o, '%Y-%m-%d %H:%M:%S') as occurrence_time, count(*) as times_seen from f where ts >= o group by reminder_id, o having min(ts) > o + interval 2 hours""")
+def w_late_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences up to forty days before they are seen, in batches: each late one comes out, flagged."""
+    occurrence = (reminders.occurrence_of(F.col("ts"), F.col("user_id")) - F.make_dt_interval((F.col("user_id") % 40).cast("int"))).cast("timestamp")
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("reminder_id"), occurrence.alias("occurrence_time"), F.col("ts").cast("timestamp").alias("seen_at"))
+    out = _finished(reminders.fired_once(rows, kept_days=400), "update")
+    last = out.groupBy("reminder_id", "occurrence_time").agg(F.max_by(F.struct("times_seen", "status"), "batch").alias("x"))
+    return last.where("x.status = 'late_missed'").select("reminder_id", F.date_format("occurrence_time", "yyyy-MM-dd HH:mm:ss").alias("occurrence_time"), "x.times_seen")
+
+
 @query("""with a as (select user_id as reminder_id, ts, case event_type when 'view' then 'sent' when 'click' then 'snoozed' when 'error' then 'pending' else 'acknowledged' end as state from events)
   select reminder_id, arg_max(state, ts) as state, count(*) as actions from a group by 1""")
 def w_reminder_states(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Reminders as streams: ticks that fire what is due exactly once, deduplicated firings, a state machine per reminder.
 
-Late firings are flagged, never dropped: a watermark only bounds the state.
+Late firings are flagged, never dropped, over any number of batches.
 """
 
 from __future__ import annotations
@@ -19,21 +19,45 @@ from ..shipping import ship
 TICK = "60 seconds"
 
 
-def fired_once(firings: DataFrame, grace_hours: int = docket.GRACE_HOURS, delay: str = "10 days") -> DataFrame:
+def fired_once(firings: DataFrame, grace_hours: int = docket.GRACE_HOURS, kept_days: int = 10) -> DataFrame:
     """One row per reminder and occurrence, however often its firing is seen, with the first time and whether that was late.
 
-    firings: reminder_id, occurrence_time, seen_at. Works on a stream and on a table alike.
+    firings: reminder_id, occurrence_time, seen_at. Works on a stream and on a table alike. On a stream the watermark is on
+    the time of seeing: a firing of a long past occurrence is late, and flagged, but not behind it. An occurrence stays in the
+    state for kept_days after it was seen last.
     """
     rows = firings.where(F.col("seen_at") >= F.col("occurrence_time"))
     if rows.isStreaming:
-        rows = rows.withWatermark("occurrence_time", delay)
-    found = rows.groupBy("reminder_id", "occurrence_time").agg(F.min("seen_at").alias("fired_at"), F.count(F.lit(1)).alias("times_seen"))
+        found = _claimed(rows.withWatermark("seen_at", f"{kept_days} days"), kept_days)
+    else:
+        found = rows.groupBy("reminder_id", "occurrence_time").agg(F.min("seen_at").alias("fired_at"), F.count(F.lit(1)).alias("times_seen"))
     late = F.col("fired_at") > F.col("occurrence_time") + F.expr(f"interval {grace_hours} hours")
     return found.withColumn("status", F.when(late, "late_missed").otherwise("fired"))
 
 
+def _claimed(rows: DataFrame, kept_days: int) -> DataFrame:
+    ship(rows.sparkSession)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        seen = pd.concat([b["seen"] for b in batches])
+        first, last, times = held.get if held.exists else (int(seen.min()), 0, 0)
+        first, last, times = min(first, int(seen.min())), max(last, int(seen.max())), times + len(seen)
+        held.update((first, last, times))
+        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, last // 1000 + kept_days * 86_400_000))
+        yield pd.DataFrame({"reminder_id": [key[0]], "occurrence": [key[1]], "first": [first], "times_seen": [times]})
+
+    keyed = rows.select("reminder_id", F.unix_micros("occurrence_time").alias("occurrence"), F.unix_micros("seen_at").alias("seen"), "seen_at")
+    found = keyed.groupBy("reminder_id", "occurrence").applyInPandasWithState(
+        run, "reminder_id long, occurrence long, first long, times_seen long", "first long, last long, times long", "update", GroupStateTimeout.EventTimeTimeout
+    )
+    return found.select("reminder_id", F.timestamp_micros("occurrence").alias("occurrence_time"), F.timestamp_micros("first").alias("fired_at"), "times_seen")
+
+
 #: What an action makes of a state; anything not listed leaves it. Done and cancelled stay.
-MOVES = {"fire": "sent", "snooze": "snoozed", "acknowledge": "acknowledged", "done": "done", "cancel": "cancelled", "rearm": "pending"}
+MOVES = {"fire": "sent", "snooze": "snoozed", "acknowledge": "acknowledged", "done": "done", "miss": "missed", "cancel": "cancelled", "rearm": "pending"}
 FINAL = ("done", "cancelled")
 
 
@@ -61,20 +85,26 @@ def reminder_states(actions: DataFrame) -> DataFrame:
 def run_ticks(ticks: DataFrame, reminders: DataFrame, events: DataFrame, documents: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Process a stream of ticks (column `now`): each batch fires what is due at its latest tick and wasn't fired before.
 
-    What a batch fires is written under its number, so a batch that runs again after a failure replaces its own rows: an
-    occurrence is fired once. The occurrences of earlier batches are the state.
+    What a batch fires is written by the day of the occurrence, under the batch's number, so a batch that runs again after a
+    failure replaces its own rows: an occurrence is fired once. A tick reads the days of what is due then, not all that fired.
     """
     spark = ticks.sparkSession
+    schema = "reminder_id long, occurrence_time timestamp, state_after string, notification string, next_fire_at timestamp, day date, batch long"
 
     def fire(batch: DataFrame, number: int) -> None:
         latest = batch.agg(F.max("now").alias("now")).first()
         if latest.now is None:
             return
-        schema = "reminder_id long, occurrence_time timestamp"
-        earlier = [f"{out}/batch={k}" for k in range(number) if _exists(spark, f"{out}/batch={k}")]
-        fired = spark.read.schema(schema).parquet(*earlier) if earlier else spark.createDataFrame([], schema)
-        due = docket.process_tick(reminders, events, documents, fired, F.lit(latest.now))
-        due.select("reminder_id", "occurrence_time", "state_after", "notification", "next_fire_at").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        none = spark.createDataFrame([], "reminder_id long, occurrence_time timestamp")
+        due = docket.process_tick(reminders, events, documents, none, F.lit(latest.now)).withColumn("day", F.to_date("occurrence_time"))
+        # A row a day on which something unfired is due.
+        days = [f"{out}/day={r.day}" for r in due.select("day").distinct().collect()]
+        days = [d for d in days if _exists(spark, d)]
+        if days:
+            fired = spark.read.schema(schema).option("basePath", out).parquet(*days).where(F.col("batch") != number).select("reminder_id", "occurrence_time")
+            due = due.join(fired, ["reminder_id", "occurrence_time"], "left_anti")
+        rows = due.select("reminder_id", "occurrence_time", "state_after", "notification", "next_fire_at", "day", F.lit(number).cast("long").alias("batch"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(out)
 
     writer = ticks.writeStream.foreachBatch(fire).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TICK)).start()

@@ -44,4 +44,21 @@ def test_firings_are_one_per_occurrence(spark):
     got = reminders.fired_once(spark.createDataFrame(rows, "reminder_id long, occurrence_time timestamp, seen_at timestamp")).select("reminder_id", "times_seen", "status").orderBy("reminder_id").collect()
     assert [tuple(r) for r in got] == [(1, 2, "fired"), (2, 1, "late_missed")]
     assert reminders.step("done", "fire") == "done" and reminders.step("pending", "?") == "pending"
+    assert reminders.step("sent", "miss") == "missed" and reminders.step("missed", "acknowledge") == "acknowledged"
     assert F is not None
+
+
+def test_late_firings_come_out_over_batches(spark, tmp_path):
+    t = datetime(2026, 1, 1, 9)
+    parts = [
+        [(1, t, t + timedelta(minutes=1))],
+        [(2, t + timedelta(days=1), t + timedelta(days=1, hours=3)), (1, t, t + timedelta(days=1))],
+        [(3, t, t + timedelta(days=31)), (4, t + timedelta(days=31), t + timedelta(days=31))],
+        [(3, t, t + timedelta(days=32)), (5, t - timedelta(days=400), t + timedelta(days=32))],
+    ]
+    stream = reminders.fired_once(source(spark, tmp_path, parts, "reminder_id long, occurrence_time timestamp, seen_at timestamp", "firings"))
+    seen = []
+    keep = lambda b, n: seen.extend((n, r.reminder_id, r.times_seen, r.status) for r in b.collect())
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    last = {r[1]: r[2:] for r in sorted(seen)}
+    assert last == {1: (2, "fired"), 2: (1, "late_missed"), 3: (2, "late_missed"), 4: (1, "fired"), 5: (1, "late_missed")}
