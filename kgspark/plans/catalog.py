@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dockets, entities, evaluations, graphs, models, streams, texts, timelines  # noqa: F401
+from . import dockets, entities, evaluations, graphs, jobs, models, streams, texts, timelines  # noqa: F401
 from .fixtures import sql
 from .registry import ORACLES, QUERIES
 
