@@ -127,6 +127,55 @@ def editor_matrix(spark: SparkSession) -> DataFrame:
     return triplet_dim(spark, closed=False).groupBy("source_type", "relationship_type").agg(F.array_join(F.array_sort(F.collect_set("target_type")), ",").alias("targets"))
 
 
+def ontology_spec(spark: SparkSession) -> DataFrame:
+    """The vocabulary as an export: a row per entity or relationship type, with what it may stand between."""
+    named = triplet_dim(spark, closed=False)
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    ends = named.groupBy("relationship_type").agg(listed("source_type").alias("sources"), listed("target_type").alias("targets"))
+    none = F.lit(None).cast("string")
+    types = entity_dim(spark).select(F.lit("entity").alias("kind"), F.col("entity_type").alias("name"), "category", "parent", none.alias("inverse"), none.alias("sources"), none.alias("targets"))
+    rels = relationship_dim(spark).join(ends, "relationship_type").select(F.lit("relationship"), "relationship_type", none, none, "inverse", "sources", "targets")
+    return types.union(rels)
+
+
+# Thresholds that a joint extraction model is configured with.
+ENTITY_THRESHOLD, RELATION_THRESHOLD = 0.50, 0.55
+
+
+def model_config(spark: SparkSession) -> DataFrame:
+    """What a joint extraction model is told, as one row of JSON: labels, allowed pairs, counts, thresholds."""
+    pairs = triplet_dim(spark, closed=False).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("relationship_type").alias("relation"), F.col("source_type").alias("head"), F.col("target_type").alias("tail")))).alias("allowed_pairs")
+    )
+    labels = lambda names: F.array(*[F.lit(n) for n in names])
+    config = F.struct(
+        labels(TYPES).alias("entity_labels"), labels(RELATIONSHIP_TYPES).alias("relation_labels"), "allowed_pairs", F.lit(len(TYPES)).alias("num_entity_types"), F.lit(len(RELATIONSHIP_TYPES)).alias("num_relation_types"),
+        F.size("allowed_pairs").alias("num_valid_pairs"), F.struct(F.lit(ENTITY_THRESHOLD).alias("entity_threshold"), F.lit(RELATION_THRESHOLD).alias("relation_threshold")).alias("threshold_config"),
+    )
+    return pairs.select(F.to_json(config).alias("config"))
+
+
+# Statements that a graph store's schema consists of, one of each for every entity type.
+STORE_STATEMENTS = [
+    "CREATE CONSTRAINT constraint_{low}_id_unique IF NOT EXISTS FOR (n:`{name}`) REQUIRE n.id IS UNIQUE;",
+    "CREATE INDEX index_{low}_case_id IF NOT EXISTS FOR (n:`{name}`) ON (n.case_id);",
+    "CREATE INDEX index_{low}_name IF NOT EXISTS FOR (n:`{name}`) ON (n.name);",
+    "CREATE CONSTRAINT constraint_{low}_provenance_case IF NOT EXISTS FOR (n:`{name}`) REQUIRE n.case_id IS NOT NULL;",
+]
+
+
+def store_ddl(spark: SparkSession) -> DataFrame:
+    """statement: constraints and indexes of a property graph store."""
+    fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("{low}"), F.lower("entity_type")), F.lit("{name}"), F.col("entity_type"))
+    return entity_dim(spark).select(F.explode(F.array(*[fill(x) for x in STORE_STATEMENTS])).alias("statement"))
+
+
+def rule_schema(spark: SparkSession) -> DataFrame:
+    """For each relationship the types on either side with their subtypes, as rule authors need them."""
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return triplet_dim(spark).groupBy("relationship_type").agg(listed("source_type").alias("sources"), listed("target_type").alias("targets"), F.count(F.lit(1)).alias("triplets"))
+
+
 def row_errors(rows: DataFrame) -> DataFrame:
     """rows (case_id, document_id, confidence, page_number, start_offset, end_offset, start_date, end_date) with `errors`:
     the rules that fail, and `first_error`: the one that would be raised."""

@@ -82,6 +82,33 @@ def o_editor_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.editor_matrix(spark)
 
 
+@query("""select 'entity' as kind, entity_type as name, category, parent, null as inverse, null as sources, null as targets from dim_type
+  union all select 'relationship', relationship_type, null, null, case relationship_type when 'REPRESENTED_BY' then 'REPRESENTS' when 'REPRESENTS' then 'REPRESENTED_BY' when 'BEFORE' then 'AFTER' when 'AFTER' then 'BEFORE' end,
+    string_agg(distinct source_type, ',' order by source_type), string_agg(distinct target_type, ',' order by target_type) from dim_triplet group by relationship_type""")
+def o_ontology_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.ontology_spec(spark)
+
+
+@query("""select (select count(*) from dim_type) as num_entity_types, (select count(distinct relationship_type) from dim_triplet) as num_relation_types, count(*) as num_valid_pairs,
+  string_agg(relationship_type || '|' || source_type || '|' || target_type, ',' order by relationship_type, source_type, target_type) as pairs from dim_triplet""")
+def o_model_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported JSON, read back."""
+    schema = "num_entity_types long, num_relation_types long, num_valid_pairs long, allowed_pairs array<struct<relation:string,head:string,tail:string>>"
+    read = ontology.model_config(spark).select(F.from_json("config", schema).alias("c")).select("c.*")
+    return read.select("num_entity_types", "num_relation_types", "num_valid_pairs", F.array_join(F.transform("allowed_pairs", lambda p: F.concat_ws("|", p["relation"], p["head"], p["tail"])), ",").alias("pairs"))
+
+
+@query("""select unnest(['CREATE CONSTRAINT constraint_' || lower(entity_type) || '_id_unique IF NOT EXISTS FOR (n:`' || entity_type || '`) REQUIRE n.id IS UNIQUE;', 'CREATE INDEX index_' || lower(entity_type) || '_case_id IF NOT EXISTS FOR (n:`' || entity_type || '`) ON (n.case_id);',
+  'CREATE INDEX index_' || lower(entity_type) || '_name IF NOT EXISTS FOR (n:`' || entity_type || '`) ON (n.name);', 'CREATE CONSTRAINT constraint_' || lower(entity_type) || '_provenance_case IF NOT EXISTS FOR (n:`' || entity_type || '`) REQUIRE n.case_id IS NOT NULL;']) as statement from dim_type""")
+def o_store_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.store_ddl(spark)
+
+
+@query("select relationship_type, string_agg(distinct source_type, ',' order by source_type) as sources, string_agg(distinct target_type, ',' order by target_type) as targets, count(*) as triplets from dim_closure group by 1")
+def o_rule_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.rule_schema(spark)
+
+
 @query("select mention_id, entity_type, entity_type in (select entity_type from dim_type) as is_valid from mentions")
 def o_label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(spark, sf_dir).select("mention_id", "entity_type", ontology.is_entity_type(F.col("entity_type")).alias("is_valid"))
