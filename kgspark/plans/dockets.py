@@ -179,10 +179,10 @@ def d_relative_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "docket").select("event_id", docket.relative_label(F.col("starts_at"), docket.ts(NOW)).alias("label"))
 
 
-@query(f"with c as ({CHANGES}) select event_id, seq, change_type from c where event_id in (21, 25, 33)")
+@query(f"with c as ({CHANGES}) select event_id, seq, change_type from c")
 def d_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of some events, the latest first."""
-    return sql(spark, sf_dir, CHANGES).where("event_id in (21, 25, 33)").select("event_id", "seq", "change_type").orderBy("event_id", F.desc("seq"))
+    """Changes of every event, the latest first."""
+    return sql(spark, sf_dir, CHANGES).select("event_id", "seq", "change_type").orderBy("event_id", F.desc("seq"))
 
 
 @query("""select e.event_id, coalesce((select string_agg(display_name || ':' || review_status, ',' order by document_id) from attached a where a.event_id = e.event_id), '') as documents,
