@@ -11,8 +11,8 @@ from .registry import query
 
 # Each line is a stage of as many seconds as its quantity; the last step depends on the order's status.
 LOG = """select o_orderkey as job_id, cast(0 as bigint) as seq, cast(0 as bigint) as sec, 'queued' as step, cast(null as string) as stage, cast(0 as bigint) as entities, cast(null as string) as error from orders
-  union all select l_orderkey, cast(l_linenumber as bigint) * 2, cast(l_linenumber as bigint) * 100, 'begin', 'stage ' || l_returnflag || l_linestatus, cast(0 as bigint), null from lineitem
-  union all select l_orderkey, cast(l_linenumber as bigint) * 2 + 1, cast(l_linenumber as bigint) * 100 + cast(l_quantity as bigint), 'end', 'stage ' || l_returnflag || l_linestatus, cast(0 as bigint), null from lineitem
+  union all select okey, cast(line as bigint) * 2, cast(line as bigint) * 100, 'begin', 'stage ' || flag || status, cast(0 as bigint), null from lines
+  union all select okey, cast(line as bigint) * 2 + 1, cast(line as bigint) * 100 + cast(qty as bigint), 'end', 'stage ' || flag || status, cast(0 as bigint), null from lines
   union all select o_orderkey, cast(90 as bigint), cast(900 as bigint), case o_orderstatus when 'F' then 'finished' else 'failed' end, 'Complete', cast(o_orderkey % 5 as bigint), case o_orderstatus when 'F' then null else 'broken' end from orders where o_orderstatus <> 'O'"""
 
 
