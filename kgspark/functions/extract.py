@@ -7,6 +7,7 @@ and read once, with their pages nested, by a task that needs nothing else.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
+log = logging.getLogger(__name__)
+
 Span = tuple[int, int]
 
 # Reporters of case citations, as (written form, pattern).
@@ -84,25 +87,25 @@ SECTIONS = [
 EXHIBIT = re.compile(r"\b(?P<party>Plaintiff\'s|Defendant\'s|Pl\.|Def\.|Trial|Joint)?\s*(?:Exhibit|Ex\.)\s*(?P<label>[A-Za-z0-9]+(?:[\-\.][A-Za-z0-9]+)?)", re.IGNORECASE)
 PARTIES = [("pl", "Plaintiff"), ("def", "Defendant"), ("trial", "Trial"), ("joint", "Joint")]
 
-# Filing types, the more special ones first, as (code, name, pattern).
+# Filing types, the more special ones first, as (name, pattern).
 FILINGS = [
-    ("MOTION_SUMMARY_JUDGMENT", "Motion for Summary Judgment", r"\b(?:Plaintiff\'s|Defendant\'s|Joint)?\s*(?:Cross-)?Motion\s+for\s+Summary\s+Judg?ment\b"),
-    ("MOTION_TO_DISMISS", "Motion to Dismiss", r"\b(?:Plaintiff\'s|Defendant\'s)?\s*Motion\s+to\s+Dismiss(?:\s+the\s+Complaint)?\b"),
-    ("AMENDED_COMPLAINT", "Amended Complaint", r"\b(?:First|Second|Third|Fourth)?\s*Amended\s+(?:Class\s+Action\s+)?Complaint\b"),
-    ("COMPLAINT", "Complaint", r"\b(?:Class\s+Action\s+)?Complaint(?:\s+for\s+[A-Za-z\s]+)?\b"),
-    ("ANSWER", "Answer", r"\bAnswer(?:\s+and\s+Affirmative\s+Defenses)?(?:\s+to\s+Complaint)?\b"),
-    ("MEMORANDUM_OF_LAW", "Memorandum of Law", r"\bMemorandum\s+of\s+Law\s+(?:in\s+Support|in\s+Opposition)?\b"),
-    ("BRIEF", "Brief", r"\b(?:Brief\s+in\s+Support|Brief\s+in\s+Opposition|Reply\s+Brief|Amicus\s+Brief)\b"),
-    ("ORDER", "Order", r"\b(?:Court\s+)?Order\s+(?:Granting|Denying|Directing|Dismissing|Scheduling|STIPULATED)?\b"),
-    ("JUDGMENT", "Judgment", r"\b(?:Final\s+|Consent\s+|Summary\s+)?Judg?ment\b"),
-    ("DECLARATION", "Declaration", r"\bDeclaration\s+of\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b"),
-    ("AFFIDAVIT", "Affidavit", r"\bAffidavit\s+(?:of\s+[A-Z][a-z]+)?\b"),
-    ("NOTICE_OF_APPEAL", "Notice of Appeal", r"\bNotice\s+of\s+Appeal\b"),
-    ("NOTICE", "Notice of Motion/Filing", r"\bNotice\s+of\s+(?:Motion|Filing|Appearance)\b"),
-    ("SUBPOENA", "Subpoena", r"\bSubpoena(?:\s+Duces\s+Tecum)?\b"),
-    ("STIPULATION", "Stipulation", r"\bStipulation(?:\s+and\s+Order)?\b"),
-    ("PETITION", "Petition", r"\bPetition(?:\s+for\s+Writ\s+of\s+[A-Za-z]+)?\b"),
-    ("MOTION_GENERAL", "Motion", r"\b(?:Emergency\s+)?Motion\s+(?:to\s+[A-Za-z]+|for\s+[A-Za-z\s]+)\b"),
+    ("Motion for Summary Judgment", r"\b(?:Plaintiff\'s|Defendant\'s|Joint)?\s*(?:Cross-)?Motion\s+for\s+Summary\s+Judg?ment\b"),
+    ("Motion to Dismiss", r"\b(?:Plaintiff\'s|Defendant\'s)?\s*Motion\s+to\s+Dismiss(?:\s+the\s+Complaint)?\b"),
+    ("Amended Complaint", r"\b(?:First|Second|Third|Fourth)?\s*Amended\s+(?:Class\s+Action\s+)?Complaint\b"),
+    ("Complaint", r"\b(?:Class\s+Action\s+)?Complaint(?:\s+for\s+[A-Za-z\s]+)?\b"),
+    ("Answer", r"\bAnswer(?:\s+and\s+Affirmative\s+Defenses)?(?:\s+to\s+Complaint)?\b"),
+    ("Memorandum of Law", r"\bMemorandum\s+of\s+Law\s+(?:in\s+Support|in\s+Opposition)?\b"),
+    ("Brief", r"\b(?:Brief\s+in\s+Support|Brief\s+in\s+Opposition|Reply\s+Brief|Amicus\s+Brief)\b"),
+    ("Order", r"\b(?:Court\s+)?Order\s+(?:Granting|Denying|Directing|Dismissing|Scheduling|STIPULATED)?\b"),
+    ("Judgment", r"\b(?:Final\s+|Consent\s+|Summary\s+)?Judg?ment\b"),
+    ("Declaration", r"\bDeclaration\s+of\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b"),
+    ("Affidavit", r"\bAffidavit\s+(?:of\s+[A-Z][a-z]+)?\b"),
+    ("Notice of Appeal", r"\bNotice\s+of\s+Appeal\b"),
+    ("Notice of Motion/Filing", r"\bNotice\s+of\s+(?:Motion|Filing|Appearance)\b"),
+    ("Subpoena", r"\bSubpoena(?:\s+Duces\s+Tecum)?\b"),
+    ("Stipulation", r"\bStipulation(?:\s+and\s+Order)?\b"),
+    ("Petition", r"\bPetition(?:\s+for\s+Writ\s+of\s+[A-Za-z]+)?\b"),
+    ("Motion", r"\b(?:Emergency\s+)?Motion\s+(?:to\s+[A-Za-z]+|for\s+[A-Za-z\s]+)\b"),
 ]
 
 # Courts, as (name, pattern).
@@ -287,7 +290,7 @@ def exhibits(document: Document) -> Iterator[tuple[int, Found]]:
 
 def filing_types(document: Document) -> Iterator[tuple[int, Found]]:
     """The title's first type; types in headings; in the first 1500 characters of page 1 only if page 1 had none."""
-    patterns = [(name, re.compile(p, re.IGNORECASE)) for _, name, p in FILINGS]
+    patterns = [(name, re.compile(p, re.IGNORECASE)) for name, p in FILINGS]
     if document.title:
         hit = next(((n, m) for n, p in patterns if (m := p.search(document.title))), None)
         if hit:
@@ -341,7 +344,7 @@ CANDIDATES_DDL = "document_id string, case_id string, category string, pos long,
 def extract(documents: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """Candidates of all families, or of some. documents: document_id, case_id, title, pages (array of page_number, raw_text,
     normalized_text, blocks (array of block_type, level, raw_text, normalized_text)). A family that fails on a document
-    gives that document no candidates of its category; the others go on."""
+    gives that document no candidates of its category, and a warning in the task's log; the others go on."""
     ship(documents.sparkSession)
     chosen = categories or list(EXTRACTORS)
 
@@ -354,7 +357,8 @@ def extract(documents: DataFrame, categories: list[str] | None = None) -> DataFr
                 for category in chosen:
                     try:
                         found = list(EXTRACTORS[category](doc))
-                    except (ValueError, IndexError, RecursionError):
+                    except Exception as e:  # noqa: BLE001  whatever fails in a family, the others go on
+                        log.warning("%s failed on document %s: %r", category, d["document_id"], e)
                         found = []
                     for page, f in found:
                         out.append((d["document_id"], d["case_id"], category, pos, page, f.entity_type, f.rule, f.confidence, f.start, f.end, f.original, f.normalized, f.snippet))
