@@ -496,14 +496,14 @@ class Order:
         # Those that came first, in their order; then those induced here, as their inducers; seeds after all others of a character.
         # However the latter lie among each other, the places of all else are known.
         key = np.concatenate([np.arange(len(come)), np.arange(len(seeds))])
-        order = np.argsort(head[:outer] * (outer + 1) + key, kind="stable")
+        order = np.argsort(head[:outer] * (outer + 1) + key)
         known, here = head[:outer][order], np.sort(head[outer:])
         rank = np.empty(n, np.int64)
         rank[:outer][order] = np.arange(outer) + np.searchsorted(here, known, side="left")
         place = np.searchsorted(known, here, side="right") + np.arange(n - outer)
         value, ahead = head[outer:], parent
         while n > outer:  # by characters, then by twice as many each round, until those that came first decide
-            at = np.argsort(value, kind="stable")
+            at = np.argsort(value)  # equal ones get one rank
             fresh = np.concatenate(([True], value[at[1:]] != value[at[:-1]]))
             rank[outer:][at] = np.maximum.accumulate(np.where(fresh, place, 0))
             if fresh.all():
