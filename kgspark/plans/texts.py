@@ -199,7 +199,17 @@ def x_statute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir, "statutory_citation").where("confidence = 0.98")
 
 
-@query()
+# A document's pages in order: a state citation counts if it meets no federal one so far and no state one that counted.
+CITED = LEGAL.replace("\n  from orders join", f", {VALUE['statute']} as fed, {VALUE['state']} as st\n  from orders join")
+STATE_FOLD = f"""cited as ({CITED}), spans as (select document_id, page_number, o_orderkey, st, row_number() over (partition by document_id order by page_number) as rn, strpos(raw_text, fed) as fs, strpos(raw_text, fed) + length(fed) as fe, strpos(raw_text, st) as ss, strpos(raw_text, st) + length(st) as se from cited),
+  first_page as (select *, [struct_pack(s := fs, e := fe)] as held from spans where rn = 1),
+  fold as (select document_id, rn, len(list_filter(held, lambda x: x.s < se and ss < x.e)) = 0 as counted, case when len(list_filter(held, lambda x: x.s < se and ss < x.e)) = 0 then list_append(held, struct_pack(s := ss, e := se)) else held end as held from first_page
+    union all select p.document_id, p.rn, len(list_filter(list_append(f.held, struct_pack(s := p.fs, e := p.fe)), lambda x: x.s < p.se and p.ss < x.e)) = 0,
+      case when len(list_filter(list_append(f.held, struct_pack(s := p.fs, e := p.fe)), lambda x: x.s < p.se and p.ss < x.e)) = 0 then list_append(list_append(f.held, struct_pack(s := p.fs, e := p.fe)), struct_pack(s := p.ss, e := p.se)) else list_append(f.held, struct_pack(s := p.fs, e := p.fe)) end
+      from fold f join spans p on p.document_id = f.document_id and p.rn = f.rn + 1)"""
+
+
+@query(f"with recursive {STATE_FOLD} select document_id, page_number, st as normalized_value, cast(0.9 as double) as confidence from fold join spans using (document_id, rn) where counted")
 def x_statute_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State statutes: earlier pages' spans count in the overlap check."""
     return _values(spark, sf_dir, "statutory_citation").where("confidence = 0.9")
@@ -235,9 +245,12 @@ def x_court(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir, "court_name")
 
 
-@query("select 'd_' || cast(cast(floor(o_orderkey / 4) as bigint) as string) as document_id, c.category, cast(count(*) * c.per as bigint) as n from orders cross join (values ('case_citation', 1), ('date', 1), ('docket_number', 1), ('section_reference', 3), ('exhibit', 1), ('court_name', 1)) c(category, per) group by 1, 2, c.per")
+@query(f"""with recursive {STATE_FOLD}, pages as (select 'd_' || cast(cast(floor(o_orderkey / 4) as bigint) as string) as document_id, o_orderkey from orders)
+  select document_id, c.category, cast(count(*) * c.per as bigint) as n from pages cross join (values ('case_citation', 1), ('date', 1), ('docket_number', 1), ('section_reference', 3), ('exhibit', 1), ('court_name', 1)) c(category, per) group by 1, 2, c.per
+  union all select document_id, 'filing_type', count(*) from pages where o_orderkey % 4 = 0 group by 1
+  union all select document_id, 'statutory_citation', count(*) + count(*) filter (where counted) from fold group by 1""")
 def x_summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.summary_counts(extract.extract(_legal(spark, sf_dir))).where("category not in ('filing_type', 'statutory_citation')")
+    return extract.summary_counts(extract.extract(_legal(spark, sf_dir)))
 
 
 @query(_simple(VALUE["docket_number"], 0.97))
