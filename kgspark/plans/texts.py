@@ -188,15 +188,27 @@ def _simple(expr: str, confidence: float, where: str = "true") -> str:
     return f"{PAGE_KEY}, {expr} as normalized_value, cast({confidence} as double) as confidence from orders join date_texts on id = o_orderkey where {where}"
 
 
-@query(_simple(VALUE["case_citation"], 0.95))
+def _placed(spark: SparkSession, sf_dir: str, category: str) -> DataFrame:
+    """Values with their places, what stands there and the type."""
+    found = extract.extract(_legal(spark, sf_dir), [category])
+    return found.select("document_id", "page_number", "normalized_value", "confidence", "entity_type", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "original_value")
+
+
+def _found(expr: str, confidence: float, kind: str, blanks: int = 0) -> str:
+    """The twin of _placed, for values that stand in the text as they are. blanks: before a value, part of its span."""
+    legal = LEGAL.replace("\n  from orders join", f", {expr} as v\n  from orders join")
+    return f"select document_id, page_number, v as normalized_value, cast({confidence} as double) as confidence, '{kind}' as entity_type, strpos(raw_text, v) - 1 - {blanks} as span_start, strpos(raw_text, v) - 1 + length(v) as span_end, v as original_value from ({legal})"
+
+
+@query(_found(VALUE["case_citation"], 0.95, "CASE"))
 def x_case_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir, "case_citation")
+    return _placed(spark, sf_dir, "case_citation")
 
 
 # A state citation counts only if its span meets none found before in the document, whatever the page: the offsets decide.
-@query(_simple(VALUE["statute"], 0.98))
+@query(_found(VALUE["statute"], 0.98, "STATUTE"))
 def x_statute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir, "statutory_citation").where("confidence = 0.98")
+    return _placed(spark, sf_dir, "statutory_citation").where("confidence = 0.98")
 
 
 # A document's pages in order: a state citation counts if it meets no federal one so far and no state one that counted.
@@ -230,9 +242,10 @@ def x_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir, "section_reference")
 
 
-@query(_simple(VALUE["exhibit"], 0.96))
+# A place for the party's name comes first in the pattern, and blanks after it, so that a span begins with the blank.
+@query(_found(VALUE["exhibit"], 0.96, "EXHIBIT", 1))
 def x_exhibit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir, "exhibit")
+    return _placed(spark, sf_dir, "exhibit")
 
 
 @query(_simple(VALUE["filing_type"], 0.90, "o_orderkey % 4 = 0"))
