@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import types
 import zlib
 
 import duckdb
@@ -139,3 +140,10 @@ def test_op10_finds_the_base_spans(table, result):
             counts.append(len(own))
             found += own
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(counts) and r["base_sha256"] == sha(",".join(x for *_, x in sorted(found)))
+
+
+def test_op12_is_what_integers_give(spark, result):
+    from .test_whitening import held_against_plain
+
+    rows = duckdb.sql(f"select vec_id, embedding from read_parquet('{DIR}/embeddings.parquet')").fetchall()
+    held_against_plain([types.SimpleNamespace(**r) for r in result("op12")], [(i, list(v) if v is not None else None) for i, v in rows])
