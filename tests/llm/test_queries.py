@@ -147,3 +147,10 @@ def test_op12_is_what_integers_give(spark, result):
 
     rows = duckdb.sql(f"select vec_id, embedding from read_parquet('{DIR}/embeddings.parquet')").fetchall()
     held_against_plain([types.SimpleNamespace(**r) for r in result("op12")], [(i, list(v) if v is not None else None) for i, v in rows])
+
+
+def test_op13_is_what_the_definition_gives(table, result):
+    from .test_runs import NAMES, report
+
+    assert {tuple(r[c] for c in NAMES) for r in result("op13")} == {report(i, t) for i, t in table["documents"].items()}
+    assert len(result("op13")) == len(table["documents"]) and any(r["n_runs"] for r in result("op13"))
