@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, pieces, quality, repeats, runs, secrets, sharding, simhash, token_counts, whitening
+from . import chat_format, decontaminate, exact_dedup, pieces, quality, recompression, repeats, runs, secrets, sharding, simhash, token_counts, whitening
 from .shared import table
 
 
@@ -61,6 +61,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.report(recompression.cut_passages(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -69,5 +73,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_chat_format, op4_quality, op5_exact_dedup, op6_simhash, op7_pieces, op8_decontaminate, op9_sharding, op10_secret_scan, op12_whitening, op13_periodic_runs)}
-ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_chat_format, op4_quality, op5_exact_dedup, op6_simhash, op7_pieces, op8_decontaminate, op9_sharding, op10_secret_scan, op11_recompression, op12_whitening, op13_periodic_runs)}
+ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE, "op11_recompression": recompression.ORACLE}

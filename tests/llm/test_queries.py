@@ -154,3 +154,11 @@ def test_op13_is_what_the_definition_gives(table, result):
 
     assert {tuple(r[c] for c in NAMES) for r in result("op13")} == {report(i, t) for i, t in table["documents"].items()}
     assert len(result("op13")) == len(table["documents"]) and any(r["n_runs"] for r in result("op13"))
+
+
+def test_op11_equals_its_twin(result):
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{DIR}/documents.parquet')")
+    want = db.execute(entry.oracle_sql()["op11_recompression"])
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(r[c] for c in names) for r in result("op11")) == sorted(want.fetchall())
