@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import docket
 from ..shipping import ship
+from . import clock
 
 TICK = "60 seconds"
 
@@ -22,40 +23,20 @@ TICK = "60 seconds"
 def fired_once(firings: DataFrame, grace_hours: int = docket.GRACE_HOURS, kept_days: int = 10) -> DataFrame:
     """One row per reminder and occurrence, however often its firing is seen, with the first time and whether that was late.
 
-    firings: reminder_id, occurrence_time, seen_at. Works on a stream and on a table alike. On a stream the watermark is on
-    the time of seeing: a firing of a long past occurrence is late, and flagged, but not behind it. An occurrence stays in the
-    state for kept_days after it was seen last.
+    firings: reminder_id, occurrence_time, seen_at. Works on a stream and on a table alike. A stream has no watermark, so no
+    firing is too late, whether the occurrence is long past or the firing itself was seen long before others; an occurrence
+    stays in the state for kept_days of processing after it was seen last. Start a stream inside
+    `clock.state_store(spark, idle_batches=False)`.
     """
     rows = firings.where(F.col("seen_at") >= F.col("occurrence_time"))
     if rows.isStreaming:
-        found = _claimed(rows.withWatermark("seen_at", f"{kept_days} days"), kept_days)
+        found = clock.claimed(rows, kept_days)
     else:
         found = rows.groupBy("reminder_id", "occurrence_time").agg(F.min("seen_at").alias("fired_at"), F.count(F.lit(1)).alias("times_seen"))
     late = F.col("fired_at") > F.col("occurrence_time") + F.expr(f"interval {grace_hours} hours")
     return found.withColumn("status", F.when(late, "late_missed").otherwise("fired"))
 
 
-def _claimed(rows: DataFrame, kept_days: int) -> DataFrame:
-    ship(rows.sparkSession)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        seen = pd.concat([b["seen"] for b in batches])
-        first, last, times = held.get if held.exists else (int(seen.min()), 0, 0)
-        first, last, times = min(first, int(seen.min())), max(last, int(seen.max())), times + len(seen)
-        held.update((first, last, times))
-        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs() + 1, last // 1000 + kept_days * 86_400_000))
-        yield pd.DataFrame({"reminder_id": [key[0]], "occurrence": [key[1]], "first": [first], "times_seen": [times]})
-
-    keyed = rows.select("reminder_id", F.unix_micros("occurrence_time").alias("occurrence"), F.unix_micros("seen_at").alias("seen"), "seen_at")
-    found = keyed.groupBy("reminder_id", "occurrence").applyInPandasWithState(
-        run, "reminder_id long, occurrence long, first long, times_seen long", "first long, last long, times long", "update", GroupStateTimeout.EventTimeTimeout
-    )
-    return found.select("reminder_id", F.timestamp_micros("occurrence").alias("occurrence_time"), F.timestamp_micros("first").alias("fired_at"), "times_seen")
-
-
 #: What an action makes of a state; anything not listed leaves it. Done and cancelled stay.
 MOVES = {"fire": "sent", "snooze": "snoozed", "acknowledge": "acknowledged", "done": "done", "miss": "missed", "cancel": "cancelled", "rearm": "pending"}
 FINAL = ("done", "cancelled")
@@ -66,20 +47,25 @@ def step(state: str, action: str) -> str:
 
 
 def reminder_states(actions: DataFrame) -> DataFrame:
-    """The state of each reminder after its actions so far, by their time. actions: a stream of reminder_id, at, action.
+    """The state of each reminder after its actions so far, by their time, in whatever order and batches they are seen.
 
-    The state of a reminder is all that is kept between batches.
+    actions: a stream of reminder_id, at, action. Kept between batches: a reminder's first final action and its last other one.
     """
     ship(actions.sparkSession)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, seen = held.get if held.exists else ("pending", 0)
-        for row in pd.concat(list(batches)).sort_values(["at", "action"]).itertuples():
-            state, seen = step(state, row.action), seen + 1
-        held.update((state, seen))
-        yield pd.DataFrame({"reminder_id": [key[0]], "state": [state], "actions": [seen]})
-
-    return actions.groupBy("reminder_id").applyInPandasWithState(run, "reminder_id long, state string, actions long", "state string, seen long", "update", GroupStateTimeout.NoTimeout)
+        final, last, seen = held.get if held.exists else ("", "", 0)
+        for batch in batches:
+            seen += len(batch)
+            # Digits of one length in front: as strings, pairs of time and action are ordered as they are.
+            pairs = [f"{at:020d}{action}" for at, action in zip(batch["at"], batch["action"], strict=True)]
+            final = min([p for p in [final, *pairs] if MOVES.get(p[20:]) in FINAL], default="")
+            last = max([p for p in [last, *pairs] if p[20:] in MOVES and MOVES[p[20:]] not in FINAL], default="")
+        held.update((final, last, seen))
+        yield pd.DataFrame({"reminder_id": [key[0]], "state": [MOVES.get((final or last)[20:], "pending")], "actions": [seen]})
+
+    rows = actions.select("reminder_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "action")
+    return rows.groupBy("reminder_id").applyInPandasWithState(run, "reminder_id long, state string, actions long", "final string, last string, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_ticks(ticks: DataFrame, reminders: DataFrame, events: DataFrame, documents: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
