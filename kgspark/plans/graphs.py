@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import graph, ontology, validate
 from .entities import VALIDATED, canonical, resolved
 from .fixtures import frame, sql
+from ..operators.store import GraphStore
+from ..session import shared_folder
 from .registry import query
 
 EDGE_COLUMNS = "case_id, id, source_id, target_id, relationship_type, confidence"
@@ -49,6 +51,19 @@ def g_upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert(rows.where("version = 0"), rows.where("version > 0"))
 
 
+@query(f"""with x as (select *, row_number() over (partition by case_id, id order by version desc) as rn from ({VERSIONS.replace("v.version as version", "v.version as version, ord")}))
+  select case_id, id, name, entity_type from x where rn = 1 and not (ord % 5 = 0 and version < 2)""")
+def g_store_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three changes and a deletion in a store of keyed tables, then what it holds."""
+    store = GraphStore(spark, shared_folder(spark, "graph"))
+    rows = sql(spark, sf_dir, VERSIONS.replace("v.version as version", "v.version as version, ord"))
+    for version in (0, 1):
+        store.upsert_nodes(rows.where(F.col("version") == version))
+    store.delete_nodes(rows.where("version = 0 and ord % 5 = 0"))
+    store.upsert_nodes(rows.where("version = 2"))
+    return store.nodes.read()
+
+
 NEW_EDGES = f"select case_id, id, source_id, case when confidence = 0.9 and id like '%7' then 'O_missing' else target_id end as target_id, relationship_type, confidence from edges"
 
 
@@ -58,6 +73,35 @@ def g_upsert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert_edges(new.where("false"), new, nodes(spark, sf_dir)).drop("version")
 
 
+@query(f"""with n as ({NEW_EDGES}), ok as (select n.* from n where (case_id, source_id) in (select case_id, id from nodes) and (case_id, target_id) in (select case_id, id from nodes))
+  select case_id, id, source_id, target_id, relationship_type, case when id like '%3' then 0.25 else confidence end as confidence from ok""")
+def g_store_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges into a store: the ends are looked up in it, edges without both are dropped, later ones replace earlier."""
+    store = GraphStore(spark, shared_folder(spark, "graph"))
+    store.upsert_nodes(nodes(spark, sf_dir))
+    new = sql(spark, sf_dir, NEW_EDGES)
+    store.upsert_edges(new)
+    store.upsert_edges(new.where("id like '%3'").withColumn("confidence", F.lit(0.25)))
+    return store.edges.read().select("case_id", "id", "source_id", "target_id", "relationship_type", "confidence")
+
+
+PREFERRED = "select case_id, id, name, ord from nodes where id like 'N%' or id like 'S%'"
+
+
+@query(f"""with p as ({PREFERRED}) select case_id, id, case when ord % 3 = 0 then 'second note on ' || name when ord % 2 = 0 then 'note on ' || name else '' end as note,
+  case when ord % 4 = 0 and case_id <> 'c3' then '#ef4444' end as colour, case when case_id = 'c3' then 'cose' else 'grid' end as layout from p""")
+def g_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes by node and a record of preferences by case, written twice; a case without one has the usual layout."""
+    store, own = GraphStore(spark, shared_folder(spark, "graph")), sql(spark, sf_dir, PREFERRED)
+    store.upsert_nodes(own.withColumn("entity_type", F.lit("COURT")))
+    store.put_notes(own.where("ord % 2 = 0").select("case_id", "id", F.concat(F.lit("note on "), "name").alias("note")))
+    store.put_notes(own.where("ord % 3 = 0").select("case_id", "id", F.concat(F.lit("second note on "), "name").alias("note")))
+    record = own.where("case_id <> 'c3' and ord % 4 = 0").groupBy("case_id")
+    for colour in ("#10b981", "#ef4444"):
+        store.put_preferences(record.agg(F.map_from_entries(F.collect_list(F.struct("id", F.lit(colour)))).alias("colours"), F.lit("grid").alias("layout")))
+    return store.overlaid().join(store.preferences_of(own.select("case_id")), "case_id").select("case_id", "id", "note", "colour", "layout")
+
+
 @query(f"""with n as ({NEW_EDGES}) select case_id, relationship_type, count(*) as requested, count(*) filter (where (case_id, source_id) in (select case_id, id from nodes) and (case_id, target_id) in (select case_id, id from nodes)) as written from n group by 1, 2""")
 def g_upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert_counts(sql(spark, sf_dir, NEW_EDGES), nodes(spark, sf_dir))

@@ -2,41 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
 from ..streaming import clock, reminders
 from .registry import query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared storage that the session names; a local one only where one machine runs everything."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    at = at or "file://" + tempfile.mkdtemp(prefix="stream-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 #: Files of a day that make a batch.
 DAYS = 6
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of several batches: a file for each day, in no order of time."""
-    events, at = spark.read.parquet(f"{sf_dir}/events.parquet"), f"{_folder(spark)}/in"
+    events, at = spark.read.parquet(f"{sf_dir}/events.parquet"), f"{shared_folder(spark, "stream")}/in"
     events.withColumn("day", F.md5(F.to_date("ts").cast("string"))).repartition("day").write.partitionBy("day").parquet(at)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", DAYS).option("recursiveFileLookup", "true").parquet(at)
 
 
 def _finished(stream: DataFrame, mode: str, idle_batches: bool = True) -> DataFrame:
     """Run to the end; every batch's rows are written under its number, so a batch that runs twice counts once."""
-    spark, at = stream.sparkSession, _folder(stream.sparkSession)
+    spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
     with clock.state_store(spark, idle_batches):
         stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +18,16 @@ def guard(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared storage that the session names; a local one only where one machine runs everything."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    at = at or "file://" + tempfile.mkdtemp(prefix=f"{name}-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def session(name: str = "kgspark", **conf: str) -> SparkSession:
     """A session as the engine expects it: UTC, adaptive execution, Arrow exchange."""
     builder = SparkSession.builder.appName(name)

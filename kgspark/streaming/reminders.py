@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import docket
 from ..shipping import ship
+from ..sources.keyed import KeyedTable
 from . import clock
 
 TICK = "60 seconds"
@@ -68,39 +69,38 @@ def reminder_states(actions: DataFrame) -> DataFrame:
     return rows.groupBy("reminder_id").applyInPandasWithState(run, "reminder_id long, state string, actions long", "final string, last string, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
+STATES = "reminder_id long, state string, fire_at timestamp, last_occurrence timestamp"
+FIRED = ["reminder_id", "occurrence_time", "state_after", "notification", "next_fire_at"]
+
+
 def run_ticks(ticks: DataFrame, reminders: DataFrame, events: DataFrame, documents: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Process a stream of ticks (column `now`): each batch fires what is due at its latest tick and wasn't fired before.
 
-    What a batch fires is written by the day of the occurrence, under the batch's number, so a batch that runs again after a
-    failure replaces its own rows: an occurrence is fired once. A tick reads the days of what is due then, not all that fired.
+    What a batch fires is written once, under its number. Then the states that it leaves, with each reminder's last
+    occurrence, are committed to a keyed table, out + "-states", as the version after the batch's number: a batch that runs
+    again after a failure finds its version there, and does nothing, or doesn't, and replaces its own rows. So an occurrence
+    is fired once, and a tick writes what changes and reads a row for each reminder, not all that ever fired.
     """
     spark = ticks.sparkSession
-    schema = "reminder_id long, occurrence_time timestamp, state_after string, notification string, next_fire_at timestamp, day date, batch long"
+    states = KeyedTable(spark, f"{out}-states", STATES, ["reminder_id"])
 
     def fire(batch: DataFrame, number: int) -> None:
-        latest = batch.agg(F.max("now").alias("now")).first()
-        if latest.now is None:
+        if states.manifest()["version"] > number:
             return
-        none = spark.createDataFrame([], "reminder_id long, occurrence_time timestamp")
-        due = docket.process_tick(reminders, events, documents, none, F.lit(latest.now)).withColumn("day", F.to_date("occurrence_time"))
-        # A row a day on which something unfired is due.
-        days = [f"{out}/day={r.day}" for r in due.select("day").distinct().collect()]
-        days = [d for d in days if _exists(spark, d)]
-        if days:
-            fired = spark.read.schema(schema).option("basePath", out).parquet(*days).where(F.col("batch") != number).select("reminder_id", "occurrence_time")
-            due = due.join(fired, ["reminder_id", "occurrence_time"], "left_anti")
-        rows = due.select("reminder_id", "occurrence_time", "state_after", "notification", "next_fire_at", "day", F.lit(number).cast("long").alias("batch"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(out)
+        latest = batch.agg(F.max("now").alias("now")).first()
+        known = states.read()
+        held = known.select("reminder_id", F.col("state").alias("held_state"), F.col("fire_at").alias("held_fire_at"))
+        own = reminders.join(held, "reminder_id", "left").withColumn("state", F.coalesce("held_state", "state")).withColumn("fire_at", F.coalesce("held_fire_at", "fire_at")).drop("held_state", "held_fire_at")
+        fired = known.select("reminder_id", F.col("last_occurrence").alias("occurrence_time"))
+        due = docket.process_tick(own, events, documents, fired, F.lit(latest.now).cast("timestamp")).select(*FIRED, "fire_at")
+        due.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        due = spark.read.schema(due.schema).parquet(f"{out}/batch={number}")
+        states.upsert(due.select("reminder_id", F.col("state_after").alias("state"), F.coalesce("next_fire_at", "fire_at").alias("fire_at"), F.col("occurrence_time").alias("last_occurrence")))
 
     writer = ticks.writeStream.foreachBatch(fire).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TICK)).start()
 
 
-def _exists(spark, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def occurrence_of(ts: Column, reminder: Column) -> Column:
     """The daily occurrence of a reminder: its own hour of the day."""
     return (F.date_trunc("day", ts).cast("timestamp") + F.make_interval(hours=(reminder % 24).cast("int"))).cast("timestamp")

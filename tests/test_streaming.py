@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from kgspark.operators import docket
+from kgspark.sources.keyed import KeyedTable
 from kgspark.streaming import clock, reminders
 
 from .test_docket import DOCS, EVENTS, REMINDERS, ts
@@ -24,10 +25,40 @@ def test_ticks_fire_once_like_the_batch(spark, tmp_path):
         reminders.run_ticks(ticks, own, events, none, f"{tmp_path}/out", f"{tmp_path}/check", once=True).awaitTermination()
     fired = spark.read.parquet(f"{tmp_path}/out").select("reminder_id", "occurrence_time")
     assert sorted(r.reminder_id for r in fired.collect()) == [0, 1, 2, 3]
+    states = KeyedTable(spark, f"{tmp_path}/out-states", reminders.STATES, ["reminder_id"])
+    assert states.manifest()["version"] == 3 and {(r.reminder_id, r.state) for r in states.read().collect()} == {(0, "sent"), (1, "sent"), (2, "sent"), (3, "sent")}
     batch = docket.process_tick(own, events, none, spark.createDataFrame([], "reminder_id long, occurrence_time timestamp"), docket.ts("2026-08-01 14:00:00"))
     assert sorted(r.reminder_id for r in batch.collect()) == sorted(r.reminder_id for r in fired.collect())
 
 
+def test_a_tick_that_runs_again_fires_nothing_twice(spark, tmp_path, monkeypatch):
+    events = spark.createDataFrame([(1, 1, "hearing", "H", ts("2026-11-05 15:00:00"), "UTC", "scheduled", 0)], EVENTS)
+    rem = [(i, 1, 1, None, "u", "fixed_datetime", None, None, ts("2026-08-01 11:00:00"), "pending", None, "daily_until_event") for i in range(3)]
+    ticks = source(spark, tmp_path, [[(datetime(2026, 8, 1, 12),)], [(datetime(2026, 8, 2, 12),)], [(datetime(2026, 8, 2, 12, 1),)]], "now timestamp", "ticks")
+    once = lambda: reminders.run_ticks(ticks, spark.createDataFrame(rem, REMINDERS), events, spark.createDataFrame([], DOCS), f"{tmp_path}/out", f"{tmp_path}/check", once=True).awaitTermination()
+    upsert, calls = KeyedTable.upsert, []
+
+    def killed(self, rows, before):
+        calls.append(1)
+        if len(calls) == 2:  # the second tick dies: before or after its states are committed
+            if not before:
+                upsert(self, rows)
+            raise RuntimeError("killed")
+        return upsert(self, rows)
+
+    for before in (True, False):
+        calls.clear()
+        with monkeypatch.context() as m:
+            m.setattr(KeyedTable, "upsert", lambda self, rows: killed(self, rows, before))  # noqa: B023
+            try:
+                once()
+            except Exception as e:  # noqa: BLE001
+                assert "killed" in str(e)
+    once()
+    fired = sorted((r.reminder_id, r.occurrence_time) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert fired == sorted((i, datetime(2026, 8, d, 11)) for i in range(3) for d in (1, 2))
+
+
 def test_states_over_batches(spark, tmp_path):
     t = datetime(2026, 1, 1)
     parts = [[(1, t + timedelta(2), "fire"), (2, t, "fire")], [(1, t + timedelta(1), "snooze"), (2, t + timedelta(1), "done")], [(1, t, "fire"), (2, t + timedelta(2), "fire"), (2, t + timedelta(2), "cancel")]]
