@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.groups import fold_groups
+from ..functions.substrings import take_all, take_any
 from ..functions.text import key
 
 
@@ -15,26 +17,14 @@ def _within(a: str, b: str) -> bool:
     return a in b or b in a
 
 
-def rule_match(p: dict, g: dict) -> bool:
-    """Original values within each other, or normalised ones where gold has one; pages agree."""
-    if p["page"] != g["page"]:
-        return False
-    return _within(g["text"], p["text"]) or bool(g["norm"]) and _within(g["norm"], p["norm"])
-
-
-def model_match(p: dict, g: dict) -> bool:
-    return p["page"] == g["page"] and _within(g["text"], p["text"])
-
-
-def entity_match(p: dict, g: dict) -> bool:
-    return _within(g["text"], p["text"]) or bool(g["norm"]) and _within(g["norm"], p["text"])
-
-
-def relation_match(p: dict, g: dict) -> bool:
-    return _within(g["text"], p["text"]) and _within(g["norm"], p["norm"])
-
-
-MATCHES: dict[str, Callable[[dict, dict], bool]] = {"rule": rule_match, "model": model_match, "entity": entity_match, "relation": relation_match}
+#: Which fields of a prediction and a gold row have to be within each other, and whether pages must agree. "norm" counts only
+#: where gold has one.
+MATCHES: dict[str, Callable[[list[dict], list[dict]], list[int | None]]] = {
+    "rule": lambda p, g: take_any(p, g, [("text", "text", False), ("norm", "norm", True)], itemgetter("page")),
+    "model": lambda p, g: take_any(p, g, [("text", "text", False)], itemgetter("page")),
+    "entity": lambda p, g: take_any(p, g, [("text", "text", False), ("text", "norm", True)]),
+    "relation": lambda p, g: take_all(p, g, [("text", "text"), ("norm", "norm")]),
+}
 COUNTS = "document_id string, category string, tp long, fp long, fn long"
 
 
@@ -44,20 +34,12 @@ def matched_pairs(predicted: DataFrame, gold: DataFrame, match: str) -> DataFram
 
     predicted and gold: document_id, category, pos, page, text, norm.
     """
-    fits = MATCHES[match]
+    take = MATCHES[match]
 
     def fold(group: tuple, rows: list[dict]) -> list[tuple]:
-        free = [r for r in rows if r["is_gold"]]
-        tp = n = 0
-        for row in rows:
-            if row["is_gold"]:
-                continue
-            n += 1
-            k = next((i for i, x in enumerate(free) if fits(row, x)), None)
-            if k is not None:
-                del free[k]
-                tp += 1
-        return [(*group, tp, n - tp, len(free))]
+        own, known = ([r for r in rows if r["is_gold"] == x] for x in (False, True))
+        tp = sum(k is not None for k in take(own, known))
+        return [(*group, tp, len(own) - tp, len(known) - tp)]
 
     return fold_groups(_both(predicted, gold, "document_id", "category", "pos", "page", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "norm")]), ["document_id", "category"], ["is_gold", "pos"], fold, COUNTS)
 
@@ -114,21 +96,12 @@ def temporal(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """
 
     def fold(group: tuple, rows: list[dict]) -> list[tuple]:
-        free = [r for r in rows if r["is_gold"]]
-        total, seen, matched, exact, partial = len(free), 0, 0, 0, 0
-        for row in rows:
-            if row["is_gold"]:
-                continue
-            seen += 1
-            k = next((i for i, x in enumerate(free) if _within(x["description"], row["description"])), None)
-            if k is None:
-                continue
-            a, b = free.pop(k)["date"], row["date"]
-            matched += 1
-            if a and b:
-                exact += a == b
-                partial += a != b and (_within(a, b) or a[:4] == b[:4])
-        return [(total, seen, matched, exact, partial)]
+        own, known = ([r for r in rows if r["is_gold"] == x] for x in (False, True))
+        dates = [(known[k]["date"], p["date"]) for p, k in zip(own, take_any(own, known, [("description", "description", False)]), strict=True) if k is not None]
+        both = [(a, b) for a, b in dates if a and b]
+        exact = sum(a == b for a, b in both)
+        partial = sum(a != b and (_within(a, b) or a[:4] == b[:4]) for a, b in both)
+        return [(len(known), len(own), len(dates), exact, partial)]
 
     rows = _both(predicted, gold, "document_id", "pos", key(F.col("description")).alias("description"), F.coalesce("date", F.lit("")).alias("date"))
     found = fold_groups(rows, ["document_id"], ["is_gold", "pos"], fold, "total_gold long, total_predicted long, matched long, exact_dates long, partial_dates long")
