@@ -92,19 +92,24 @@ def _followed(edges: DataFrame, events: DataFrame, first: DataFrame) -> DataFram
     return out
 
 
-def merge_in_order(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (case_id, id, name, aliases, ...) with merged_into (the last merge counts), aliases, and in_cycle (whether its own
-    name came back to it over a chain of merges); edges (case_id, id, source_id, target_id, ...) where they are in the end."""
-    events = _written(linked(_written(steps(nodes, merges))))
-    first = events.groupBy("case_id", "s").agg(F.min("seq").alias("seq"))
+def merge_events(nodes: DataFrame, merges: DataFrame) -> DataFrame:
+    return _written(linked(_written(steps(nodes, merges))))
+
+
+def merged_nodes(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """Nodes (case_id, id, name, aliases, ...) with merged_into (the last merge counts), aliases, and in_cycle: whether a node's
+    own name came back to it over a chain of merges. events: merge_events()."""
     last = events.groupBy("case_id", F.col("s").alias("id")).agg(F.max_by("p", "seq").alias("merged_into"))
-    reached = _written(taken(events))
     origin = nodes.select("case_id", F.col("id").alias("origin"), F.array_append("aliases", F.col("name")).alias("more"))
-    more = reached.join(origin, ["case_id", "origin"]).groupBy("case_id", "id").agg(F.flatten(F.collect_list("more")).alias("more"), F.max(F.col("id") == F.col("origin")).alias("in_cycle"))
+    more = taken(events).join(origin, ["case_id", "origin"]).groupBy("case_id", "id").agg(F.flatten(F.collect_list("more")).alias("more"), F.max(F.col("id") == F.col("origin")).alias("in_cycle"))
     none = F.array().cast("array<string>")
     out = nodes.join(last, NODE, "left").join(more, NODE, "left")
-    out = out.withColumn("aliases", F.array_sort(F.array_distinct(F.concat(F.coalesce("aliases", none), F.coalesce("more", none))))).withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False))).drop("more")
+    return out.withColumn("aliases", F.array_sort(F.array_distinct(F.concat(F.coalesce("aliases", none), F.coalesce("more", none))))).withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False))).drop("more")
+
 
+def merged_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
+    """Edges (case_id, id, source_id, target_id, ...) where they are in the end. events: merge_events()."""
+    first = events.groupBy("case_id", "s").agg(F.min("seq").alias("seq"))
     touched = events.select("case_id", F.col("s").alias("n")).union(events.select("case_id", "p")).distinct()
     end = lambda c: touched.select("case_id", F.col("n").alias(c))
     inner = _written(edges.join(end("source_id"), ["case_id", "source_id"], "left_semi").join(end("target_id"), ["case_id", "target_id"], "left_semi").select(*edges.columns))
@@ -116,4 +121,10 @@ def merge_in_order(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tup
     outer = outer.select(*[place[c].alias(c) if c in place else F.col(c) for c in edges.columns])
     went = _followed(inner, events, first).select("case_id", "id", F.col("source_id").alias("_source_id"), F.col("target_id").alias("_target_id"))
     inner = inner.join(went, ["case_id", "id"]).select(*[F.col(f"_{c}").alias(c) if c in place else F.col(c) for c in edges.columns])
-    return out, outer.union(inner)
+    return outer.union(inner)
+
+
+def merge_in_order(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """merges (case_id, primary_id, secondary_id, at), one after another: nodes and edges as they are in the end."""
+    events = merge_events(nodes, merges)
+    return merged_nodes(nodes, events), merged_edges(edges, events)

@@ -75,8 +75,14 @@ def triplets() -> list[tuple[str, str, str]]:
 
 
 def closed_triplets() -> list[tuple[str, str, str]]:
-    """With inheritance: either end may be a subtype of what is named. The hierarchy has one level."""
-    own = {t: {t, p} - {None} for t, _, p in ENTITY_TYPES}
+    """With inheritance: either end may be a subtype of what is named."""
+    parent = {t: p for t, _, p in ENTITY_TYPES}
+    own: dict[str, set[str]] = {}
+    for t in TYPES:
+        own[t], up = set(), t
+        while up:
+            own[t].add(up)
+            up = parent[up]
     named = set(triplets())
     return [(s, r, t) for r in RELATIONSHIP_TYPES for s in TYPES for t in TYPES if any((a, r, b) in named for a in own[s] for b in own[t])]
 
@@ -94,9 +100,26 @@ def triplet_dim(spark: SparkSession, closed: bool = True) -> DataFrame:
 
 
 def hierarchy(types: DataFrame) -> DataFrame:
-    """Each type with itself (depth 0) and its ancestors. types: entity_type, parent."""
-    own = types.select("entity_type", F.col("entity_type").alias("ancestor"), F.lit(0).alias("depth"))
-    return own.union(types.where("parent is not null").select("entity_type", "parent", F.lit(1)))
+    """Each type with itself (depth 0) and all its ancestors, however many levels there are. types: entity_type, parent.
+
+    A cycle, or more levels than spark.sql.cteRecursionLevelLimit, fails the query instead of giving part of the answer.
+    """
+    return types.sparkSession.sql(
+        """with recursive up(entity_type, ancestor, depth) as (
+             select entity_type, entity_type, 0 from {types}
+             union all select up.entity_type, t.parent, up.depth + 1 from up join {types} t on t.entity_type = up.ancestor where t.parent is not null)
+           select * from up""",
+        types=types,
+    )
+
+
+def with_inherited_check(facts: DataFrame, types: DataFrame, named: DataFrame, to: str = "triplet_ok") -> DataFrame:
+    """facts (source_type, relation_type, target_type) with a flag: whether the triplet, or one of supertypes of either end, is
+    named. The named triplets are handed down to subtypes once, and facts are looked up among those."""
+    up = hierarchy(types).select("entity_type", "ancestor")
+    down = lambda c: up.select(F.col("entity_type").alias(f"_{c}"), F.col("ancestor").alias(c))
+    closed = named.join(down("source_type"), "source_type").join(down("target_type"), "target_type").select(F.col("_source_type").alias("source_type"), F.col("relationship_type").alias("relation_type"), F.col("_target_type").alias("target_type"))
+    return facts.join(closed.distinct().withColumn(to, F.lit(True)), ["source_type", "relation_type", "target_type"], "left").withColumn(to, F.coalesce(to, F.lit(False)))
 
 
 def is_entity_type(c: Column) -> Column:
@@ -122,37 +145,56 @@ def with_triplet_check(relations: DataFrame, source: str = "source_type", relati
     return joined.withColumn(to, F.coalesce("__ok", F.lit(False))).drop("__s", "__r", "__t", "__ok")
 
 
-def editor_matrix(spark: SparkSession) -> DataFrame:
-    """What an editor may offer: for each source type and relationship the target types, sorted, joined by commas."""
-    return triplet_dim(spark, closed=False).groupBy("source_type", "relationship_type").agg(F.array_join(F.array_sort(F.collect_set("target_type")), ",").alias("targets"))
+def usage(facts: DataFrame, closed: bool) -> DataFrame:
+    """Every allowed triplet, and how many facts (source_type, relation_type, target_type) are of it."""
+    own = facts.groupBy("source_type", F.col("relation_type").alias("relationship_type"), "target_type").agg(F.count(F.lit(1)).alias("n"))
+    return triplet_dim(facts.sparkSession, closed).join(own, ["source_type", "relationship_type", "target_type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
 
+def editor_matrix(nodes: DataFrame) -> DataFrame:
+    """What an editor may offer in each case: for every source type that the case has and every relationship the target types
+    that it has, sorted, joined by commas. nodes: case_id, entity_type."""
+    own = nodes.select("case_id", "entity_type").distinct()
+    named = F.broadcast(triplet_dim(nodes.sparkSession, closed=False))
+    pairs = own.withColumnRenamed("entity_type", "source_type").join(named, "source_type").join(own.withColumnRenamed("entity_type", "target_type"), ["case_id", "target_type"])
+    return pairs.groupBy("case_id", "source_type", "relationship_type").agg(F.array_join(F.array_sort(F.collect_set("target_type")), ",").alias("targets"))
 
-def ontology_spec(spark: SparkSession) -> DataFrame:
-    """The vocabulary as an export: a row per entity or relationship type, with what it may stand between."""
+
+def ontology_spec(mentions: DataFrame, facts: DataFrame) -> DataFrame:
+    """The vocabulary as an export: a row per entity or relationship type, with what it may stand between and how often the
+    corpus has it. mentions: entity_type; facts: relation_type."""
+    spark = mentions.sparkSession
     named = triplet_dim(spark, closed=False)
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    ends = named.groupBy("relationship_type").agg(listed("source_type").alias("sources"), listed("target_type").alias("targets"))
+    between = named.groupBy("relationship_type").agg(listed("source_type").alias("sources"), listed("target_type").alias("targets"))
     none = F.lit(None).cast("string")
     types = entity_dim(spark).select(F.lit("entity").alias("kind"), F.col("entity_type").alias("name"), "category", "parent", none.alias("inverse"), none.alias("sources"), none.alias("targets"))
-    rels = relationship_dim(spark).join(ends, "relationship_type").select(F.lit("relationship"), "relationship_type", none, none, "inverse", "sources", "targets")
-    return types.union(rels)
+    rels = relationship_dim(spark).join(between, "relationship_type").select(F.lit("relationship"), "relationship_type", none, none, "inverse", "sources", "targets")
+    seen = mentions.groupBy(F.lit("entity").alias("kind"), F.col("entity_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.union(facts.groupBy(F.lit("relationship"), "relation_type").agg(F.count(F.lit(1))))
+    return types.union(rels).join(seen, ["kind", "name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 # Thresholds that a joint extraction model is configured with.
 ENTITY_THRESHOLD, RELATION_THRESHOLD = 0.50, 0.55
 
 
-def model_config(spark: SparkSession) -> DataFrame:
-    """What a joint extraction model is told, as one row of JSON: labels, allowed pairs, counts, thresholds."""
-    pairs = triplet_dim(spark, closed=False).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("relationship_type").alias("relation"), F.col("source_type").alias("head"), F.col("target_type").alias("tail")))).alias("allowed_pairs")
-    )
-    labels = lambda names: F.array(*[F.lit(n) for n in names])
+def model_config(mentions: DataFrame) -> DataFrame:
+    """What a joint extraction model is told of a corpus, as one row of JSON: the labels that it has, the pairs allowed between
+    these, counts, thresholds. mentions: entity_type."""
+    spark = mentions.sparkSession
+    own = entity_dim(spark).select("entity_type").join(mentions.select("entity_type").distinct(), "entity_type", "left_semi")
+    side = lambda c: F.broadcast(own.select(F.col("entity_type").alias(c)))
+    named = triplet_dim(spark, closed=False).join(side("source_type"), "source_type", "left_semi").join(side("target_type"), "target_type", "left_semi")
+    pairs = named.agg(F.array_sort(F.collect_list(F.struct(F.col("relationship_type").alias("relation"), F.col("source_type").alias("head"), F.col("target_type").alias("tail")))).alias("allowed_pairs"))
+    labels = own.agg(F.array_sort(F.collect_list("entity_type")).alias("entity_labels"))
+    relations = F.array_sort(F.array_distinct(F.transform("allowed_pairs", lambda p: p["relation"])))
     config = F.struct(
-        labels(TYPES).alias("entity_labels"), labels(RELATIONSHIP_TYPES).alias("relation_labels"), "allowed_pairs", F.lit(len(TYPES)).alias("num_entity_types"), F.lit(len(RELATIONSHIP_TYPES)).alias("num_relation_types"),
-        F.size("allowed_pairs").alias("num_valid_pairs"), F.struct(F.lit(ENTITY_THRESHOLD).alias("entity_threshold"), F.lit(RELATION_THRESHOLD).alias("relation_threshold")).alias("threshold_config"),
+        "entity_labels", relations.alias("relation_labels"), "allowed_pairs", F.size("entity_labels").alias("num_entity_types"), F.size(relations).alias("num_relation_types"), F.size("allowed_pairs").alias("num_valid_pairs"),
+        F.struct(F.lit(ENTITY_THRESHOLD).alias("entity_threshold"), F.lit(RELATION_THRESHOLD).alias("relation_threshold")).alias("threshold_config"),
     )
-    return pairs.select(F.to_json(config).alias("config"))
+    # One row on either side.
+    return pairs.crossJoin(labels).select(F.to_json(config).alias("config"))
 
 
 # Statements that a graph store's schema consists of, one of each for every entity type.
@@ -164,16 +206,28 @@ STORE_STATEMENTS = [
 ]
 
 
-def store_ddl(spark: SparkSession) -> DataFrame:
-    """statement: constraints and indexes of a property graph store."""
+# Fixed value: how the schema lists what a relationship may stand between.
+RELATIONSHIP_LINE = ("// Relationship: [", "] | Sources: ", " | Targets: ")
+
+
+def store_ddl(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """statement: constraints and indexes of a property graph store for the entity types that nodes have, and a line for each
+    relationship type that edges have. nodes: entity_type; edges: relationship_type."""
+    spark = nodes.sparkSession
     fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("{low}"), F.lower("entity_type")), F.lit("{name}"), F.col("entity_type"))
-    return entity_dim(spark).select(F.explode(F.array(*[fill(x) for x in STORE_STATEMENTS])).alias("statement"))
+    types = entity_dim(spark).join(nodes.select("entity_type").distinct(), "entity_type", "left_semi")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
+    own = triplet_dim(spark, closed=False).join(edges.select("relationship_type").distinct(), "relationship_type", "left_semi")
+    head, sources, targets = (F.lit(x) for x in RELATIONSHIP_LINE)
+    lines = own.groupBy("relationship_type").agg(F.concat(head, F.first("relationship_type"), sources, listed("source_type"), targets, listed("target_type")).alias("statement")).select("statement")
+    return types.select(F.explode(F.array(*[fill(x) for x in STORE_STATEMENTS])).alias("statement")).union(lines)
 
 
-def rule_schema(spark: SparkSession) -> DataFrame:
-    """For each relationship the types on either side with their subtypes, as rule authors need them."""
+def rule_schema(facts: DataFrame) -> DataFrame:
+    """For each relationship the types on either side with their subtypes, as rule authors need them, and how many facts
+    (source_type, relation_type, target_type) the rule lets pass."""
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return triplet_dim(spark).groupBy("relationship_type").agg(listed("source_type").alias("sources"), listed("target_type").alias("targets"), F.count(F.lit(1)).alias("triplets"))
+    return usage(facts, closed=True).groupBy("relationship_type").agg(listed("source_type").alias("sources"), listed("target_type").alias("targets"), F.count(F.lit(1)).alias("triplets"), F.sum("n").alias("n_facts"))
 
 
 def row_errors(rows: DataFrame) -> DataFrame:

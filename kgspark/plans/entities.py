@@ -62,51 +62,80 @@ def valid_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Vocabulary ----------------------------------------------------------------------------------------------------
 
 
-@query("select entity_type, entity_type as ancestor, 0 as depth from dim_type union all select entity_type, parent, 1 from dim_type where parent is not null")
+#: A tree of types from the part table, each type's parent being a seventh of its number: depth 4 at two thousand parts.
+TREE = "select 'T' || cast(p_partkey as string) as entity_type, case when p_partkey >= 7 then 'T' || cast(cast(floor(p_partkey / 7) as bigint) as string) end as parent from part"
+UP = f"tree as ({TREE}), up as (select entity_type, entity_type as ancestor, 0 as depth from tree union all select up.entity_type, t.parent, up.depth + 1 from up join tree t on t.entity_type = up.ancestor where t.parent is not null)"
+PAIRS = """select r.candidate_id, s.entity_type as source_type, r.relation_type, t.entity_type as target_type
+  from relations r join mentions s on s.mention_id = r.source_id join mentions t on t.mention_id = r.target_id"""
+
+
+@query(f"with recursive {UP} select * from up")
 def o_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.hierarchy(ontology.entity_dim(spark))
+    return ontology.hierarchy(sql(spark, sf_dir, TREE))
+
+
+TREE_FACTS = "select 'f_' || cast(a.okey as string) || '_' || cast(a.line as string) as fact_id, 'T' || cast(a.pkey as string) as source_type, 'R' || cast(a.line % 3 as string) as relation_type, 'T' || cast(b.pkey as string) as target_type from lines a join lines b on b.okey = a.okey and b.line = a.line + 1"
+TREE_NAMED = "select 'T' || cast(p_partkey as string) as source_type, 'R' || cast(p_partkey % 3 as string) as relationship_type, 'T' || cast(p_partkey * 5 % 40 + 1 as string) as target_type from part where p_partkey <= 40"
+
 
+@query(f"""with recursive {UP}, f as ({TREE_FACTS}), n as ({TREE_NAMED}), ok as (select distinct fact_id from f join up a on a.entity_type = f.source_type join up b on b.entity_type = f.target_type join n on n.source_type = a.ancestor and n.target_type = b.ancestor and n.relationship_type = f.relation_type)
+  select f.fact_id, ok.fact_id is not null as triplet_ok from f left join ok on ok.fact_id = f.fact_id""")
+def o_triplet_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts held against triplets named for supertypes some levels up, on either end."""
+    return ontology.with_inherited_check(sql(spark, sf_dir, TREE_FACTS), sql(spark, sf_dir, TREE), sql(spark, sf_dir, TREE_NAMED)).select("fact_id", "triplet_ok")
 
-@query("select source_type, relationship_type, target_type from dim_triplet")
+
+def _usage(dim: str) -> str:
+    return f"with p as ({PAIRS}) select d.source_type, d.relationship_type, d.target_type, count(p.candidate_id) as n from {dim} d left join p on p.source_type = d.source_type and p.relation_type = d.relationship_type and p.target_type = d.target_type group by 1, 2, 3"
+
+
+@query(_usage("dim_triplet"))
 def o_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.triplet_dim(spark, closed=False)
+    return ontology.usage(sql(spark, sf_dir, PAIRS), closed=False)
 
 
-@query("select source_type, relationship_type, target_type from dim_closure")
+@query(_usage("dim_closure"))
 def o_triplet_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.triplet_dim(spark)
+    return ontology.usage(sql(spark, sf_dir, PAIRS), closed=True)
 
 
-@query("select source_type, relationship_type, string_agg(distinct target_type, ',' order by target_type) as targets from dim_triplet group by 1, 2")
+@query("""with t as (select distinct case_id, entity_type from nodes) select s.case_id, d.source_type, d.relationship_type, string_agg(distinct d.target_type, ',' order by d.target_type) as targets
+  from t s join dim_triplet d on d.source_type = s.entity_type join t o on o.case_id = s.case_id and o.entity_type = d.target_type group by 1, 2, 3""")
 def o_editor_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.editor_matrix(spark)
+    return ontology.editor_matrix(frame(spark, sf_dir, "nodes"))
 
 
-@query("""select 'entity' as kind, entity_type as name, category, parent, null as inverse, null as sources, null as targets from dim_type
+@query("""with s as (select 'entity' as kind, entity_type as name, category, parent, null as inverse, null as sources, null as targets from dim_type
   union all select 'relationship', relationship_type, null, null, case relationship_type when 'REPRESENTED_BY' then 'REPRESENTS' when 'REPRESENTS' then 'REPRESENTED_BY' when 'BEFORE' then 'AFTER' when 'AFTER' then 'BEFORE' end,
-    string_agg(distinct source_type, ',' order by source_type), string_agg(distinct target_type, ',' order by target_type) from dim_triplet group by relationship_type""")
+    string_agg(distinct source_type, ',' order by source_type), string_agg(distinct target_type, ',' order by target_type) from dim_triplet group by relationship_type),
+  n as (select 'entity' as kind, entity_type as name, count(*) as n from mentions group by 2 union all select 'relationship', relation_type, count(*) from relations group by 2)
+  select s.*, coalesce(n.n, 0) as n from s left join n using (kind, name)""")
 def o_ontology_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.ontology_spec(spark)
+    return ontology.ontology_spec(mentions(spark, sf_dir), frame(spark, sf_dir, "relations"))
 
 
-@query("""select (select count(*) from dim_type) as num_entity_types, (select count(distinct relationship_type) from dim_triplet) as num_relation_types, count(*) as num_valid_pairs,
-  string_agg(relationship_type || '|' || source_type || '|' || target_type, ',' order by relationship_type, source_type, target_type) as pairs from dim_triplet""")
+@query("""with t as (select distinct entity_type from mentions where entity_type in (select entity_type from dim_type)), p as (select * from dim_triplet where source_type in (select entity_type from t) and target_type in (select entity_type from t))
+  select (select count(*) from t) as num_entity_types, count(distinct relationship_type) as num_relation_types, count(*) as num_valid_pairs,
+  string_agg(relationship_type || '|' || source_type || '|' || target_type, ',' order by relationship_type, source_type, target_type) as pairs from p""")
 def o_model_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exported JSON, read back."""
     schema = "num_entity_types long, num_relation_types long, num_valid_pairs long, allowed_pairs array<struct<relation:string,head:string,tail:string>>"
-    read = ontology.model_config(spark).select(F.from_json("config", schema).alias("c")).select("c.*")
+    read = ontology.model_config(mentions(spark, sf_dir)).select(F.from_json("config", schema).alias("c")).select("c.*")
     return read.select("num_entity_types", "num_relation_types", "num_valid_pairs", F.array_join(F.transform("allowed_pairs", lambda p: F.concat_ws("|", p["relation"], p["head"], p["tail"])), ",").alias("pairs"))
 
 
-@query("""select unnest(['CREATE CONSTRAINT constraint_' || lower(entity_type) || '_id_unique IF NOT EXISTS FOR (n:`' || entity_type || '`) REQUIRE n.id IS UNIQUE;', 'CREATE INDEX index_' || lower(entity_type) || '_case_id IF NOT EXISTS FOR (n:`' || entity_type || '`) ON (n.case_id);',
-  'CREATE INDEX index_' || lower(entity_type) || '_name IF NOT EXISTS FOR (n:`' || entity_type || '`) ON (n.name);', 'CREATE CONSTRAINT constraint_' || lower(entity_type) || '_provenance_case IF NOT EXISTS FOR (n:`' || entity_type || '`) REQUIRE n.case_id IS NOT NULL;']) as statement from dim_type""")
+@query("""with t as (select distinct entity_type from nodes where entity_type in (select entity_type from dim_type))
+  select unnest(['CREATE CONSTRAINT constraint_' || lower(entity_type) || '_id_unique IF NOT EXISTS FOR (n:`' || entity_type || '`) REQUIRE n.id IS UNIQUE;', 'CREATE INDEX index_' || lower(entity_type) || '_case_id IF NOT EXISTS FOR (n:`' || entity_type || '`) ON (n.case_id);',
+  'CREATE INDEX index_' || lower(entity_type) || '_name IF NOT EXISTS FOR (n:`' || entity_type || '`) ON (n.name);', 'CREATE CONSTRAINT constraint_' || lower(entity_type) || '_provenance_case IF NOT EXISTS FOR (n:`' || entity_type || '`) REQUIRE n.case_id IS NOT NULL;']) as statement from t
+  union all select '// Relationship: [' || relationship_type || '] | Sources: ' || string_agg(distinct source_type, ', ' order by source_type) || ' | Targets: ' || string_agg(distinct target_type, ', ' order by target_type)
+  from dim_triplet where relationship_type in (select relationship_type from edges) group by relationship_type""")
 def o_store_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.store_ddl(spark)
+    return ontology.store_ddl(frame(spark, sf_dir, "nodes"), frame(spark, sf_dir, "edges"))
 
 
-@query("select relationship_type, string_agg(distinct source_type, ',' order by source_type) as sources, string_agg(distinct target_type, ',' order by target_type) as targets, count(*) as triplets from dim_closure group by 1")
+@query(f"with u as ({_usage('dim_closure')}) select relationship_type, string_agg(distinct source_type, ',' order by source_type) as sources, string_agg(distinct target_type, ',' order by target_type) as targets, count(*) as triplets, cast(sum(n) as bigint) as n_facts from u group by 1")
 def o_rule_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.rule_schema(spark)
+    return ontology.rule_schema(sql(spark, sf_dir, PAIRS))
 
 
 @query("select mention_id, entity_type, entity_type in (select entity_type from dim_type) as is_valid from mentions")
@@ -114,10 +143,6 @@ def o_label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(spark, sf_dir).select("mention_id", "entity_type", ontology.is_entity_type(F.col("entity_type")).alias("is_valid"))
 
 
-PAIRS = """select r.candidate_id, s.entity_type as source_type, r.relation_type, t.entity_type as target_type
-  from relations r join mentions s on s.mention_id = r.source_id join mentions t on t.mention_id = r.target_id"""
-
-
 @query(f"""with pairs as ({PAIRS}) select p.*, c.source_type is not null as triplet_ok from pairs p left join dim_closure c
   on c.source_type = p.source_type and c.relationship_type = p.relation_type and c.target_type = p.target_type""")
 def o_triplet_valid(spark: SparkSession, sf_dir: str) -> DataFrame:

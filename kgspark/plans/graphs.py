@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, ontology, validate
+from ..operators import graph, merging, ontology, validate
 from .entities import VALIDATED, canonical, resolved
 from .fixtures import frame, sql
 from ..operators.store import GraphStore
@@ -287,6 +287,42 @@ def h_merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("id like 'S%'").select("case_id", "id", "merged_into", F.array_join("aliases", ",").alias("aliases"))
 
 
+# Chains of twenty merges in rising time, others in falling time, and cycles of three.
+MEMBERS = "select case_id, id, k, floor(k / 24) as g, k % 24 as j from (select case_id, id, row_number() over (partition by case_id order by ord) - 1 as k from nodes where id like 'P%') x"
+CHAINED = f"""select a.case_id, b.id as primary_id, a.id as secondary_id, cast(a.g * 100 + case when a.j > 20 then 59 + a.j when a.g % 2 = 0 then a.j else 60 - a.j end as bigint) as seq_no
+  from ({MEMBERS}) a join ({MEMBERS}) b on b.case_id = a.case_id and b.k = case when a.j = 23 then a.k - 2 else a.k + 1 end where a.j < 20 or a.j > 20"""
+CHAIN_EDGES = f"""select a.case_id, 'F' || cast(b.k - a.k as string) || '_' || a.id as id, a.id as source_id, b.id as target_id from ({MEMBERS}) a join ({MEMBERS}) b on b.case_id = a.case_id and b.k in (a.k + 1, a.k + 5)
+  union all select case_id, id, source_id, target_id from edges where id like 'E1%'"""
+CHAIN_SQL = f"""with recursive ev as ({CHAINED}),
+  nx as (select *, (select min(f.seq_no) from ev f where f.case_id = e.case_id and f.secondary_id = e.primary_id and f.seq_no > e.seq_no) as onward, (select min(f.seq_no) from ev f where f.case_id = e.case_id and f.secondary_id = e.secondary_id and f.seq_no > e.seq_no) as again from ev e),
+  fst as (select case_id, secondary_id as s, min(seq_no) as n from ev group by 1, 2), g as ({CHAIN_EDGES})"""
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = with_aliases(nodes(spark, sf_dir)).where("id like 'P%'")
+    return own, merging.merge_events(own, sql(spark, sf_dir, CHAINED).withColumnRenamed("seq_no", "at"))
+
+
+@query(f"""{CHAIN_SQL}, st as (select g.case_id, g.id, g.source_id as u, g.target_id as v, a.n as x, b.n as y from g left join fst a on a.case_id = g.case_id and a.s = g.source_id left join fst b on b.case_id = g.case_id and b.s = g.target_id
+    union all
+    select st.case_id, st.id, case when coalesce(x, 1e18) < coalesce(y, 1e18) and a.primary_id <> v then a.primary_id else u end, case when coalesce(y, 1e18) < coalesce(x, 1e18) and b.primary_id <> u then b.primary_id else v end,
+      case when coalesce(x, 1e18) < coalesce(y, 1e18) then case when a.primary_id = v then a.again else a.onward end else x end, case when coalesce(y, 1e18) < coalesce(x, 1e18) then case when b.primary_id = u then b.again else b.onward end else y end
+    from st left join nx a on a.case_id = st.case_id and a.seq_no = st.x left join nx b on b.case_id = st.case_id and b.seq_no = st.y where x is not null or y is not null)
+  select case_id, id, u as source_id, v as target_id from st where x is null and y is null""")
+def h_merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where edges are after merges that build on each other."""
+    return merging.merged_edges(sql(spark, sf_dir, CHAIN_EDGES), _chained(spark, sf_dir)[1])
+
+
+@query(f"""{CHAIN_SQL}, r as (select case_id, secondary_id as o, primary_id as x, seq_no as n from ev union select r.case_id, r.o, e.primary_id, e.seq_no from r join ev e on e.case_id = r.case_id and e.secondary_id = r.x and e.seq_no > r.n),
+  own as (select case_id, id, alias as a from nodes where id like 'P%' union select r.case_id, r.x, n.name from r join nodes n on n.case_id = r.case_id and n.id = r.o union select r.case_id, r.x, n.alias from r join nodes n on n.case_id = r.case_id and n.id = r.o),
+  al as (select case_id, id, string_agg(distinct a, ',' order by a) as aliases from own group by 1, 2), li as (select case_id, secondary_id as id, arg_max(primary_id, seq_no) as merged_into from ev group by 1, 2)
+  select al.case_id, al.id, merged_into, aliases, exists (select 1 from r where r.case_id = al.case_id and r.x = al.id and r.o = al.id) as in_cycle from al left join li using (case_id, id)""")
+def h_merge_chain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose names a node has after merges that build on each other, and whether its own came back to it."""
+    return merging.merged_nodes(*_chained(spark, sf_dir)).select("case_id", "id", "merged_into", F.array_join("aliases", ",").alias("aliases"), "in_cycle")
+
+
 CONSISTENT = "select id, source_id, case when id like 'E1%5' then 'gone' else target_id end as target_id, id not like 'E2%3' as is_valid from edges"
 
 

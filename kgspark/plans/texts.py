@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import chunks
+from ..operators import chunks, intervals
 from ..sources import files
 from .fixtures import frame, sql
 from .registry import query
@@ -304,3 +304,22 @@ def x_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select mention_id, round(confidence, 4) as confidence from mentions where confidence >= 0.4")
 def x_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "mentions").where("confidence >= 0.4").select("mention_id", F.round("confidence", 4).alias("confidence"))
+
+
+# Spans of two tables in one document's places: mentions, and annotations of which every fiftieth is very long.
+MENTIONED = "select mention_id, document_id, page_number * 1000 + start_offset as s, page_number * 1000 + end_offset as e from mentions"
+NOTED = """select o_orderkey as note_id, 'd_' || cast(cast(floor(o_orderkey / 32) as bigint) as string) as document_id, (o_orderkey % 32 + 1) * 1000 + o_custkey % 200 as note_start,
+  (o_orderkey % 32 + 1) * 1000 + o_custkey % 200 + case when o_orderkey % 50 = 0 then 1000000000 else 20 + o_orderkey % 300 end as note_end from orders"""
+
+
+@query(f"with a as ({MENTIONED}), b as ({NOTED}) select a.mention_id, b.note_id from a join b on a.document_id = b.document_id and s < note_end and note_start < e")
+def x_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of mentions and of annotations that overlap, by bins."""
+    return intervals.overlap_join(sql(spark, sf_dir, MENTIONED), sql(spark, sf_dir, NOTED), ["document_id"], ("s", "e"), ("note_start", "note_end")).select("mention_id", "note_id")
+
+
+@query(f"with a as ({MENTIONED}), b as ({NOTED}) select a.mention_id, b.note_id, s - note_start as distance from a join b on a.document_id = b.document_id and abs(s - note_start) <= 5")
+def x_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions that begin within five characters of an annotation's beginning."""
+    rows = intervals.near_join(sql(spark, sf_dir, MENTIONED), sql(spark, sf_dir, NOTED), ["document_id"], "s", "note_start", 5)
+    return rows.select("mention_id", "note_id", (F.col("s") - F.col("note_start")).alias("distance"))
