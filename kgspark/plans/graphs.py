@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, merging, ontology, validate
+from ..operators import graph, merging, ontology, search, validate
 from .entities import VALIDATED, canonical, resolved
 from .fixtures import frame, sql
 from ..operators.store import GraphStore
@@ -168,6 +168,14 @@ def g_list_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.list_cases(first, cached, parsed.select("case_id", "title", zero.alias("entity_count"), zero.alias("relationship_count"), zero.alias("timeline_event_count")))
 
 
+@query("""select case_id, id, name from nodes where contains(lower(name), 'r 11') or contains(lower(entity_type), 'r 11') or contains(lower(alias), 'r 11') order by ord, id limit 12""")
+def g_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by way of trigram posting lists."""
+    own, at = with_aliases(nodes(spark, sf_dir)), shared_folder(spark, "postings")
+    search.build(own, at)
+    return search.find(own, at, "R 11").select("case_id", "id", "name")
+
+
 SEEDS = "select case_id, id from nodes where id in ('P1', 'S3', 'N5')"
 BOTH = "both_ways as (select case_id, source_id as id, target_id as other from edges union all select case_id, target_id, source_id from edges)"
 

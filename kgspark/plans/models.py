@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks, graph, review, temporal, validate
+from ..session import shared_folder
 from .entities import VALIDATED, canonical, resolved
 from .fixtures import frame, sql
 from .registry import query
@@ -77,6 +78,16 @@ def c_infer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.infer_distinct(docs, lambda once: once.select("text_sha", F.length("text").cast("long").alias("chars")))
 
 
+@query("""with d as (select doc_id, text from documents where text is not null) select doc_id, length(text) as chars, case when text in (select text from d where doc_id % 2 = 0) then 1 else 2 end as run from d""")
+def c_infer_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over a growing table: the second one asks the model, here the text's length, for what the first didn't see."""
+    docs = sql(spark, sf_dir, "select doc_id, text from documents where text is not null")
+    cache = chunks.inference_cache(spark, shared_folder(spark, "inference"), "chars long, run int")
+    ask = lambda run: lambda once: once.select("text_sha", F.length("text").cast("long").alias("chars"), F.lit(run).alias("run"))
+    chunks.infer_cached(docs.where("doc_id % 2 = 0"), "length-1", ask(1), cache)
+    return chunks.infer_cached(docs, "length-1", ask(2), cache).select("doc_id", "chars", "run")
+
+
 # --- Review --------------------------------------------------------------------------------------------------------
 
 ITEMS = f"""{VALIDATED}, items as (select 'ENTITY' as item_type, canonical_id as ref, document_id, 1 as source_page from entity_records where status in ('REVIEW_REQUIRED', 'WARNING')

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_folder
-from ..streaming import clock, reminders
+from ..streaming import channel, clock, reminders
 from .registry import query
 
 
@@ -99,3 +99,14 @@ def w_reminder_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = out.groupBy("reminder_id").agg(F.max_by("state", "batch").alias("state"), F.max("actions").alias("actions"))
     firings = out.where("occurrence_time is not null").groupBy("reminder_id", "occurrence_time").agg(F.max_by("status", "batch").alias("status")).where("status <> 'retracted'")
     return last.join(firings, "reminder_id", "left").select("reminder_id", F.date_format("occurrence_time", "yyyy-MM-dd HH:mm:ss").alias("occurrence_time"), "status", "state", "actions")
+
+
+@query("select cast(user_id as string) as user_id, count(*) as unread, min(cast(event_id as bigint)) as first_id from events where event_type <> 'error' group by 1")
+def w_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notifications sent through a channel over several batches, then what each user has unread."""
+    rows = _events(spark, sf_dir).where("event_type <> 'error'")
+    rows = rows.select(F.col("event_id").cast("string").alias("notification_id"), F.col("user_id").cast("string").alias("user_id"), F.concat(F.lit("Reminder: "), "event_type").alias("title"), F.col("ts").cast("timestamp").alias("created_at"))
+    at = shared_folder(spark, "stream")
+    inbox = channel.InApp(spark, f"{at}/inbox")
+    channel.deliver(rows, inbox, f"{at}/state", once=True).awaitTermination()
+    return inbox.sent().where("not is_read").groupBy("user_id").agg(F.count(F.lit(1)).alias("unread"), F.min(F.col("notification_id").cast("long")).alias("first_id"))

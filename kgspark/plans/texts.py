@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import extract, text
+from ..functions import extract, tables, text
 from ..operators import chunks, intervals
-from ..sources import files
+from ..session import shared_folder
+from ..sources import files, parsed
 from .fixtures import frame, sql
 from .registry import query
 
@@ -184,6 +185,27 @@ def _values(spark: SparkSession, sf_dir: str, category: str) -> DataFrame:
     return extract.extract(_legal(spark, sf_dir), [category]).select("document_id", "page_number", "normalized_value", "confidence")
 
 
+_JSON = "select doc_id, 'd' || cast(doc_id as string) as document_id, text, source, lang from documents"
+
+
+@query("""select 'document' as kind, 'd' || cast(doc_id as string) as document_id, case when doc_id % 7 = 0 then 'again.txt' else source || '.txt' end as filename, case when text is null then 1 else 2 end as page_count, sha256(coalesce(text, '')) as text_sha from documents
+  union all select 'bad', null, null, null, sha256('{"document_id": "d' || cast(doc_id as string) || '", "pages": [') from documents where doc_id % 10 = 3""")
+def s_parsed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through JSON and back, some saved twice, with lines among them that break off."""
+    at, own = shared_folder(spark, "parsed"), sql(spark, sf_dir, _JSON)
+    page = lambda n, text: F.struct(F.lit(n).alias("page_number"), text.alias("raw_text"), F.array(F.struct(F.lit("b1").alias("block_id"), F.lit("TEXT").alias("block_type"), text.alias("raw_text"))).alias("blocks"))
+    pages = F.when(F.col("text").isNull(), F.array(page(1, F.lit("").cast("string")))).otherwise(F.array(page(1, F.col("text")), page(2, F.lit("end"))))
+    meta = F.struct(F.lit("SUCCESS").alias("processing_status"), F.lit("2024-01-01").alias("started_at")).alias("processing_metadata")
+    rows = own.select("doc_id", "document_id", F.concat("source", F.lit(".txt")).alias("filename"), F.lit("txt").alias("file_type"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256_hash"), pages.alias("pages"), meta)
+    parsed.save(rows.drop("doc_id"), at)
+    parsed.save(rows.where("doc_id % 7 = 0").withColumn("filename", F.lit("again.txt")).drop("doc_id"), at)
+    broken = own.where("doc_id % 10 = 3").select(F.concat(F.lit('{"document_id": "'), "document_id", F.lit('", "pages": [')).alias("value"), F.lit(0).alias("shard"))
+    broken.write.mode("append").partitionBy("shard").text(at)
+    found = parsed.load(spark, at).select(F.lit("document").alias("kind"), "document_id", "filename", F.size("pages").alias("page_count"), F.sha2(F.col("pages")[0]["blocks"][0]["raw_text"], 256).alias("text_sha"))
+    none = F.lit(None)
+    return found.union(parsed.read(spark, at).where(F.col(parsed.BAD).isNotNull()).select(F.lit("bad"), none.cast("string"), none.cast("string"), none.cast("int"), F.sha2(parsed.BAD, 256)))
+
+
 def _simple(expr: str, confidence: float, where: str = "true") -> str:
     return f"{PAGE_KEY}, {expr} as normalized_value, cast({confidence} as double) as confidence from orders join date_texts on id = o_orderkey where {where}"
 
@@ -232,6 +254,14 @@ def x_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir, "date")
 
 
+@query(_simple(VALUE["date"], 0.96))
+def x_date_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of x_date by a table function of SQL, a partition a document."""
+    tables.register(spark)
+    pages = _legal(spark, sf_dir).select("document_id", "title", F.explode("pages").alias("p")).select("document_id", "title", "p.page_number", "p.raw_text", "p.normalized_text")
+    return spark.sql("select document_id, page_number, normalized_value, confidence from extract_entities(table(select * from {pages}) partition by (document_id) order by (page_number), 'date')", pages=pages)
+
+
 @query(_simple(VALUE["docket_number"], 0.97))
 def x_docket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir, "docket_number")
