@@ -50,6 +50,11 @@ REPORTERS = [
 ]
 CASE_CITATION = re.compile(r"\b(\d{1,4})\s+(" + "|".join(p for _, p in REPORTERS) + r")\s+(\d{1,5})\b")
 
+# References to a case cited before: volume, reporter and the place in it; the last one; one by its name.
+SHORT_CITATION = re.compile(r"\b(\d{1,4})\s+(" + "|".join(p for _, p in REPORTERS) + r")\s?,?\s+at\s+(\d{1,5})\b")
+ID_CITATION = re.compile(r"(?<!\S)(?:id\.,?|ibid\.)(?=\s|$)", re.IGNORECASE)
+SUPRA_CITATION = re.compile(r"(?<!\S)supra,?(?=\s|$)", re.IGNORECASE)
+
 # Federal and state statutes.
 FEDERAL = re.compile(r"\b(?P<title>\d+)\s+(?P<code>U\.?\s*S\.?\s*C\.?|C\.?\s*F\.?\s*R\.?)\s*(?:App\.?\s*)?(?:(?:§+|Sec(?:tion|\.)?)\s*)?(?P<section>\d+[a-zA-Z0-9\-\.\(\)]*)", re.IGNORECASE)
 STATE = re.compile(r"\b(?P<code>[A-Z][a-zA-Z\.\s]{1,25}(?:Stat|Code|Law|Act|Regs)\.?)\s*(?:§+|Sec(?:tion|\.)?)\s*(?P<section>\d+[a-zA-Z0-9\-\.\(\)]*)")
@@ -204,11 +209,16 @@ def _whole(name: Callable[[re.Match], str | None]) -> Reader:
 
 
 def case_citations(document: Document) -> Iterator[tuple[int, Found]]:
+    """Full citations and, for a case cited before, short ones (at a page of the reporter), id. and supra, which stand as they
+    are written."""
+
     def name(m: re.Match) -> str:
         reporter = next(w for w, p in REPORTERS if re.fullmatch(p, m[2]))
         return f"{m[1]} {reporter} {m[3]}"
 
-    return by_patterns(document, [(CASE_CITATION, _whole(name), "CASE", "case_citation_pattern", 0.95)], 40)
+    written = lambda m: m[0]
+    forms = [(CASE_CITATION, name, ""), (SHORT_CITATION, name, "_short"), (ID_CITATION, written, "_id"), (SUPRA_CITATION, written, "_supra")]
+    return by_patterns(document, [(p, _whole(read), "CASE", f"case_citation_pattern{form}", 0.95) for p, read, form in forms], 40)
 
 
 def _without_stop(match: re.Match, section: str) -> tuple[int, int, str]:

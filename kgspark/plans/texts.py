@@ -174,15 +174,20 @@ VALUE = {
 PAGE_KEY = "select 'd_' || cast(cast(floor(o_orderkey / 4) as bigint) as string) as document_id, cast(o_orderkey % 4 as int) + 1 as page_number"
 
 
-def _legal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _paged(rows: DataFrame) -> DataFrame:
+    """Documents with their pages nested. rows: document_id, page_number, raw_text and, if there are any, title and heading."""
     none = "array<struct<block_type:string,level:int,raw_text:string,normalized_text:string>>"
-    page = F.struct("page_number", "raw_text", F.lit(None).cast("string").alias("normalized_text"), F.array().cast(none).alias("blocks"))
-    pages = sql(spark, sf_dir, LEGAL).groupBy("document_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    return pages.select("document_id", F.lit("c").alias("case_id"), F.lit(None).cast("string").alias("title"), "pages")
+    blocks = F.array().cast(none)
+    if "heading" in rows.columns:
+        block = F.struct(F.lit("HEADING").alias("block_type"), F.lit(2).alias("level"), F.col("heading").alias("raw_text"), F.lit(None).cast("string").alias("normalized_text"))
+        blocks = F.when(F.col("heading").isNotNull(), F.array(block)).otherwise(blocks)
+    page = F.struct("page_number", "raw_text", F.lit(None).cast("string").alias("normalized_text"), blocks.alias("blocks"))
+    title = F.max("title") if "title" in rows.columns else F.lit(None).cast("string")
+    return rows.groupBy("document_id").agg(F.array_sort(F.collect_list(page)).alias("pages"), title.alias("title")).select("document_id", F.lit("c").alias("case_id"), "title", "pages")
 
 
-def _values(spark: SparkSession, sf_dir: str, category: str) -> DataFrame:
-    return extract.extract(_legal(spark, sf_dir), [category]).select("document_id", "page_number", "normalized_value", "confidence")
+def _legal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paged(sql(spark, sf_dir, LEGAL))
 
 
 _JSON = "select doc_id, 'd' || cast(doc_id as string) as document_id, text, source, lang from documents"
@@ -206,31 +211,31 @@ def s_parsed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.union(parsed.read(spark, at).where(F.col(parsed.BAD).isNotNull()).select(F.lit("bad"), none.cast("string"), none.cast("string"), none.cast("int"), F.sha2(parsed.BAD, 256)))
 
 
-def _simple(expr: str, confidence: float, where: str = "true") -> str:
-    return f"{PAGE_KEY}, {expr} as normalized_value, cast({confidence} as double) as confidence from orders join date_texts on id = o_orderkey where {where}"
-
+def _candidates(spark: SparkSession, sf_dir: str, category: str, legal: DataFrame | None = None) -> DataFrame:
+    """Values with their places, what stands there and around it, the type and the rule."""
+    found = extract.extract(_legal(spark, sf_dir) if legal is None else legal, [category])
+    return found.select("document_id", "page_number", "normalized_value", "confidence", "entity_type", "rule_name", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "original_value", "source_text")
 
-def _placed(spark: SparkSession, sf_dir: str, category: str) -> DataFrame:
-    """Values with their places, what stands there and the type."""
-    found = extract.extract(_legal(spark, sf_dir), [category])
-    return found.select("document_id", "page_number", "normalized_value", "confidence", "entity_type", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "original_value")
 
+def _twin(raw: str, value: str, confidence: str, kind: str, rule: str, margin: int = 30, blanks: int = 0, where: str = "true", legal: str = "", after: str = "''") -> str:
+    """The twin of _candidates. raw: what stands in the text; after: what it is found behind; blanks: before it, part of its
+    span; margin: of the snippet."""
+    rows = (legal or LEGAL).replace("\n  from orders join", f", {raw} as raw, {value} as v, {rule if ' ' in rule else repr(rule)} as rule_name, cast({confidence} as double) as confidence\n  from orders join", 1)
+    rows = rows.replace(" as raw,", f" as raw, {after} as lead,", 1)
+    a = f"strpos(raw_text, lead || raw) - 1 + length(lead) - {blanks}"
+    return f"""select document_id, page_number, v as normalized_value, confidence, '{kind}' as entity_type, rule_name, {a} as span_start, {a} + {blanks} + length(raw) as span_end, raw as original_value,
+      trim(substr(raw_text, greatest({a} - {margin}, 0) + 1, {a} + {blanks} + length(raw) + {margin} - greatest({a} - {margin}, 0))) as source_text from ({rows}) z where {where}"""
 
-def _found(expr: str, confidence: float, kind: str, blanks: int = 0) -> str:
-    """The twin of _placed, for values that stand in the text as they are. blanks: before a value, part of its span."""
-    legal = LEGAL.replace("\n  from orders join", f", {expr} as v\n  from orders join")
-    return f"select document_id, page_number, v as normalized_value, cast({confidence} as double) as confidence, '{kind}' as entity_type, strpos(raw_text, v) - 1 - {blanks} as span_start, strpos(raw_text, v) - 1 + length(v) as span_end, v as original_value from ({legal})"
 
-
-@query(_found(VALUE["case_citation"], 0.95, "CASE"))
+@query(_twin(VALUE["case_citation"], VALUE["case_citation"], "0.95", "CASE", "case_citation_pattern", 40))
 def x_case_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed(spark, sf_dir, "case_citation")
+    return _candidates(spark, sf_dir, "case_citation")
 
 
 # A state citation counts only if its span meets none found before in the document, whatever the page: the offsets decide.
-@query(_found(VALUE["statute"], 0.98, "STATUTE"))
+@query(_twin(VALUE["statute"], VALUE["statute"], "0.98", "STATUTE", "usc_cfr_statute_pattern", 40))
 def x_statute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed(spark, sf_dir, "statutory_citation").where("confidence = 0.98")
+    return _candidates(spark, sf_dir, "statutory_citation").where("confidence = 0.98")
 
 
 # A document's pages in order: a state citation counts if it meets no federal one so far and no state one that counted.
@@ -243,49 +248,102 @@ STATE_FOLD = f"""cited as ({CITED}), spans as (select document_id, page_number,
       from fold f join spans p on p.document_id = f.document_id and p.rn = f.rn + 1)"""
 
 
-@query(f"with recursive {STATE_FOLD} select document_id, page_number, st as normalized_value, cast(0.9 as double) as confidence from fold join spans using (document_id, rn) where counted")
+@query(f"with recursive {STATE_FOLD}, t as ({_twin(VALUE['state'], VALUE['state'], '0.9', 'STATUTE', 'state_statute_pattern', 40)}) select t.* from t join (select document_id, page_number from fold join spans using (document_id, rn) where counted) c using (document_id, page_number)")
 def x_statute_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State statutes: earlier pages' spans count in the overlap check."""
-    return _values(spark, sf_dir, "statutory_citation").where("confidence = 0.9")
+    return _candidates(spark, sf_dir, "statutory_citation").where("confidence = 0.9")
 
 
-@query(_simple(VALUE["date"], 0.96))
+@query(_twin(DAY, "iso", "0.96", "DATE", "legal_date_pattern"))
 def x_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir, "date")
+    return _candidates(spark, sf_dir, "date")
 
 
-@query(_simple(VALUE["date"], 0.96))
+@query(_twin(DAY, "iso", "0.96", "DATE", "legal_date_pattern"))
 def x_date_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dates of x_date by a table function of SQL, a partition a document."""
     tables.register(spark)
     pages = _legal(spark, sf_dir).select("document_id", "title", F.explode("pages").alias("p")).select("document_id", "title", "p.page_number", "p.raw_text", "p.normalized_text")
-    return spark.sql("select document_id, page_number, normalized_value, confidence from extract_entities(table(select * from {pages}) partition by (document_id) order by (page_number), 'date')", pages=pages)
+    columns = "document_id, page_number, normalized_value, confidence, entity_type, rule_name, cast(start as long) as span_start, cast(end as long) as span_end, original_value, source_text"
+    return spark.sql(f"select {columns} from extract_entities(table(select * from {{pages}}) partition by (document_id) order by (page_number), 'date')", pages=pages)
+
+
+DOCKET = _twin("'Case No. ' || cast(o_orderkey % 9 + 1 as string) || ':24-cv-' || cast(10000 + o_orderkey as string)", VALUE["docket_number"], "0.97", "CASE", "docket_pattern")
 
 
-@query(_simple(VALUE["docket_number"], 0.97))
+@query(DOCKET)
 def x_docket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir, "docket_number")
+    return _candidates(spark, sf_dir, "docket_number")
 
 
-@query(" union all ".join([_simple("'Section ' || cast(o_custkey + 10 as string)", 0.92), _simple("'Section ' || cast(o_orderkey % 90 + 1 as string)", 0.92), _simple("'Article ' || cast(o_orderkey % 7 + 1 as string)", 0.92)]))
+SECTION = lambda raw, value, after="''": _twin(raw, value, "0.92", "DOCUMENT", "section_article_clause_pattern", after=after)
+
+
+@query(" union all ".join([SECTION("'§ ' || cast(o_custkey + 10 as string)", "'Section ' || cast(o_custkey + 10 as string)"), SECTION("'§ ' || cast(o_orderkey % 90 + 1 as string)", "'Section ' || cast(o_orderkey % 90 + 1 as string)", "'Code '"), SECTION("'Article ' || cast(o_orderkey % 7 + 1 as string)", "'Article ' || cast(o_orderkey % 7 + 1 as string)")]))
 def x_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir, "section_reference")
+    return _candidates(spark, sf_dir, "section_reference")
 
 
 # A place for the party's name comes first in the pattern, and blanks after it, so that a span begins with the blank.
-@query(_found(VALUE["exhibit"], 0.96, "EXHIBIT", 1))
+@query(_twin(VALUE["exhibit"], VALUE["exhibit"], "0.96", "EXHIBIT", "exhibit_designation_pattern", blanks=1))
 def x_exhibit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed(spark, sf_dir, "exhibit")
+    return _candidates(spark, sf_dir, "exhibit")
 
 
-@query(_simple(VALUE["filing_type"], 0.90, "o_orderkey % 4 = 0"))
+@query(_twin(_of(4, FILING), VALUE["filing_type"], "0.90", "FILING", "page1_caption_filing_vocab", 20, where="page_number = 1"))
 def x_filing_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir, "filing_type")
+    return _candidates(spark, sf_dir, "filing_type")
 
 
-@query(f"{PAGE_KEY}, {VALUE['court_name']} as normalized_value, cast(case when o_orderkey % 5 in (2, 3) then 0.97 else 0.96 end as double) as confidence from orders")
+# A stop at the end isn't part of an abbreviation.
+@query(_twin(_of(5, [n.rstrip(".") for n in COURT_NAMES]), VALUE["court_name"], "case when o_orderkey % 5 in (2, 3) then 0.97 else 0.96 end", "COURT", "case when o_orderkey % 5 in (2, 3) then 'numbered_circuit_court_pattern' else 'controlled_court_pattern' end"))
 def x_court(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir, "court_name")
+    return _candidates(spark, sf_dir, "court_name")
+
+
+# Every reporter, written with and without its blanks, and each form that refers to a case cited before.
+REPORTER = _of(len(extract.REPORTERS), [w for w, _ in extract.REPORTERS]).replace("o_orderkey", "o_custkey")
+WRITTEN = f"case when o_orderkey % 2 = 0 then {REPORTER} else replace({REPORTER}, ' ', '') end"
+CITING = f"""select 'd_' || cast(o_orderkey as string) as document_id, 1 as page_number, 'In Roe v. Doe, ' || cast(o_orderkey % 500 + 1 as string) || ' ' || {WRITTEN} || ' ' || cast(o_orderkey % 900 + 1 as string) || ' (1954), it was held so. Id. at 5; Doe, supra, at 9. Then '
+  || cast(o_orderkey % 500 + 1 as string) || ' ' || {WRITTEN} || ', at ' || cast(o_orderkey % 900 + 7 as string) || ' follows. Ibid. That is all.' as raw_text
+  from orders join date_texts on id = o_orderkey"""
+
+
+def _cited(raw: str, value: str, rule: str) -> str:
+    return _twin(raw, value, "0.95", "CASE", f"case_citation_pattern{rule}", 40, legal=CITING)
+
+
+def _number(plus: int) -> str:
+    return f"cast(o_orderkey % 900 + {plus} as string)"
+
+
+VOLUME = "cast(o_orderkey % 500 + 1 as string) || ' ' || "
+
+
+@query(" union all ".join([
+    _cited(f"{VOLUME}{WRITTEN} || ' ' || {_number(1)}", f"{VOLUME}{REPORTER} || ' ' || {_number(1)}", ""),
+    _cited(f"{VOLUME}{WRITTEN} || ', at ' || {_number(7)}", f"{VOLUME}{REPORTER} || ' ' || {_number(7)}", "_short"),
+    _cited("'Id.'", "'Id.'", "_id"), _cited("'Ibid.'", "'Ibid.'", "_id"), _cited("'supra,'", "'supra,'", "_supra"),
+]))
+def x_citation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir, "case_citation", _paged(sql(spark, sf_dir, CITING)))
+
+
+# A title on every third document, a heading on page 2 and, on every other document, on page 1; else page 1's caption counts.
+FILED = f"""select 'd_' || cast(o_orderkey as string) as document_id, p.page_number, case when o_orderkey % 3 = 0 then 'Re: ' || {_of(4, FILING)} || ' of record' end as title,
+  case when p.page_number = 2 or o_orderkey % 2 = 0 then {_of(4, FILING[1:] + FILING[:1])} || ' (part)' end as heading, 'Some words first. ' || {_of(4, FILING)} || ' follows.' as raw_text
+  from orders join date_texts on id = o_orderkey cross join (select 1 as page_number union all select 2) p"""
+TITLED = _of(4, FILING_NAME), _of(4, FILING_NAME[1:] + FILING_NAME[:1])
+
+
+@query(f"""with f as ({FILED.replace("p.page_number,", f"p.page_number, {_of(4, FILING)} as own, {TITLED[0]} as own_name, {_of(4, FILING[1:] + FILING[:1])} as head, {TITLED[1]} as head_name,", 1)}),
+  w as (select *, own as own_raw, head as head_raw from f)
+  select document_id, 1 as page_number, own_name as normalized_value, cast(0.99 as double) as confidence, 'FILING' as entity_type, 'document_metadata_title_filing_vocab' as rule_name, strpos(title, own_raw) - 1 as span_start, strpos(title, own_raw) - 1 + length(own_raw) as span_end, own_raw as original_value, 'Document Metadata Title: ' || title as source_text from w where title is not null and page_number = 1
+  union all select document_id, page_number, head_name, 0.95, 'FILING', 'heading_filing_vocab', strpos(heading, head_raw) - 1, strpos(heading, head_raw) - 1 + length(head_raw), head_raw, heading from w where heading is not null
+  union all select document_id, page_number, own_name, 0.9, 'FILING', 'page1_caption_filing_vocab', strpos(raw_text, own_raw) - 1, strpos(raw_text, own_raw) - 1 + length(own_raw), own_raw, trim(substr(raw_text, greatest(strpos(raw_text, own_raw) - 20, 1), strpos(raw_text, own_raw) + length(own_raw) + 20 - greatest(strpos(raw_text, own_raw) - 20, 1))) from w where heading is null and page_number = 1""")
+def x_filing_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filing types by title, heading and caption."""
+    return _candidates(spark, sf_dir, "filing_type", _paged(sql(spark, sf_dir, FILED)))
 
 
 @query(f"""with recursive {STATE_FOLD}, pages as (select 'd_' || cast(cast(floor(o_orderkey / 4) as bigint) as string) as document_id, o_orderkey from orders)
@@ -296,11 +354,10 @@ def x_summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.summary_counts(extract.extract(_legal(spark, sf_dir)))
 
 
-@query(_simple(VALUE["docket_number"], 0.97))
+@query(DOCKET)
 def x_filter_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of one category and type; other families aren't run."""
-    found = extract.extract(_legal(spark, sf_dir), ["docket_number"]).where("category = 'docket_number' and entity_type = 'CASE'")
-    return found.select("document_id", "page_number", "normalized_value", "confidence")
+    return _candidates(spark, sf_dir, "docket_number").where("entity_type = 'CASE'")
 
 
 @query(f"select document_id, page_number, trim(substr(raw_text, position('U.S.C.' in raw_text) - 12, 30)) as snippet from ({LEGAL})")

@@ -88,3 +88,19 @@ def test_normalize_text(spark, raw, want):
 def test_every_document_is_normalised(spark):
     at = "/root/testdata/sf0.001"
     assert texts.t_normalize(spark, at).count() == spark.read.parquet(f"{at}/documents.parquet").count()
+
+
+def test_references_to_a_case_cited_before():
+    from kgspark.functions import extract
+
+    text = "Brown, 347 U. S. 483 (1954). Id. at 490; id., at 491. Brown, supra, at 5. 347 U.S., at 492 and 410 U.S. at 113. Ibid. Idaho, supranational and 12 at 5 aren't."
+    found = [(f.normalized, f.original, f.rule.removeprefix("case_citation_pattern")) for _, f in extract.case_citations(extract.Document(None, [extract.Page(1, text, None)]))]
+    assert found == [
+        ("347 U.S. 483", "347 U. S. 483", ""),
+        ("347 U.S. 492", "347 U.S., at 492", "_short"),
+        ("410 U.S. 113", "410 U.S. at 113", "_short"),
+        ("Id.", "Id.", "_id"),
+        ("id.,", "id.,", "_id"),
+        ("Ibid.", "Ibid.", "_id"),
+        ("supra,", "supra,", "_supra"),
+    ]
