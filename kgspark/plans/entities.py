@@ -260,14 +260,21 @@ def v_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.contradictions(rows.union(rows.where("source_canonical like 'P%7'").withColumn("relation_type", F.lit("DEFENDANT_IN"))))
 
 
-@query(f"""{VALIDATED}, ec as (select document_id, count(*) as total_entities_checked, count(*) filter (where rank < 3) as valid_entities, count(*) filter (where rank = 3) as invalid_entities from entity_worst group by 1),
+# Every fifth relation twice, under another id: a fact that is found twice is a warning.
+TWICE = VALIDATED.replace(" resolved as (", " once as (", 1).replace(", typed as (", ", resolved as (select * from once union all select * replace (relation_id || '_again' as relation_id) from once where first_pos % 5 = 0), typed as (", 1)
+
+
+@query(f"""{TWICE}, ec as (select document_id, count(*) as total_entities_checked, count(*) filter (where rank < 3) as valid_entities, count(*) filter (where rank = 3) as invalid_entities from entity_worst group by 1),
   rc as (select document_id, count(*) as total_relations_checked, count(*) filter (where rank < 3) as valid_relations, count(*) filter (where rank = 3) as invalid_relations from relation_worst group by 1),
   parties as (select document_id, source_canonical from resolved join relation_worst using (document_id, relation_id) where rank < 3 and relation_type in ('PLAINTIFF_IN', 'DEFENDANT_IN') group by 1, 2 having count(distinct relation_type) = 2),
-  reviews as (select document_id, count(*) as reviews_required from (select document_id from entity_records where status = 'REVIEW_REQUIRED' union all select document_id from relation_records where status = 'REVIEW_REQUIRED' union all select document_id from parties) group by 1)
+  reviews as (select document_id, count(*) as reviews_required from (select document_id from entity_records where status = 'REVIEW_REQUIRED' union all select document_id from relation_records where status = 'REVIEW_REQUIRED' union all select document_id from parties) group by 1),
+  again as (select document_id, count(*) as warnings from (select document_id from resolved group by document_id, source_canonical, relation_type, target_canonical having count(*) > 1) group by 1)
   select document_id, total_entities_checked, valid_entities, invalid_entities, coalesce(total_relations_checked, 0) as total_relations_checked, coalesce(valid_relations, 0) as valid_relations, coalesce(invalid_relations, 0) as invalid_relations,
-    cast(0 as bigint) as warnings_generated, coalesce(reviews_required, 0) as reviews_required from ec left join rc using (document_id) left join reviews using (document_id)""")
+    coalesce(warnings, 0) as warnings_generated, coalesce(reviews_required, 0) as reviews_required from ec left join rc using (document_id) left join reviews using (document_id) left join again using (document_id)""")
 def v_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.summary(canonical(spark, sf_dir), resolved(spark, sf_dir))
+    again = F.when(F.col("first_pos") % 5 == 0, F.array(F.lit(""), F.lit("_again"))).otherwise(F.array(F.lit("")))
+    found = resolved(spark, sf_dir).withColumn("again", F.explode(again)).withColumn("relation_id", F.concat("relation_id", "again")).drop("again")
+    return validate.summary(canonical(spark, sf_dir), found)
 
 
 # --- Flagship ------------------------------------------------------------------------------------------------------
