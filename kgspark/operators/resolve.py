@@ -61,20 +61,22 @@ def canonical(mentions: DataFrame) -> DataFrame:
 
 
 def mapping(mentions: DataFrame) -> DataFrame:
-    """mention_id -> canonical_id: the id is a function of the key, so no look-up table is built."""
-    return keyed(mentions).select("mention_id", entity_id(*KEY).alias("canonical_id"))
+    """mention_id -> canonical_id, entity_type: both follow from the key, so no look-up table is built."""
+    return keyed(mentions).select("mention_id", entity_id(*KEY).alias("canonical_id"), "entity_type")
 
 
 def redirect(relations: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Candidate relations between canonical ids; one whose ends aren't both resolved is dropped."""
+    """Candidate relations between canonical ids, with the types of these; one whose ends aren't both resolved is dropped."""
     to = mapping(mentions)
-    source = to.select(F.col("mention_id").alias("source_id"), F.col("canonical_id").alias("source_canonical"))
-    target = to.select(F.col("mention_id").alias("target_id"), F.col("canonical_id").alias("target_canonical"))
-    return relations.join(source, "source_id").join(target, "target_id")
+    side = lambda s: to.select(F.col("mention_id").alias(f"{s}_id"), F.col("canonical_id").alias(f"{s}_canonical"), F.col("entity_type").alias(f"{s}_type"))
+    return relations.join(side("source"), "source_id").join(side("target"), "target_id")
 
 
-def resolve_relations(relations: DataFrame, mentions: DataFrame) -> DataFrame:
-    """One row per (type, source, target): validity and error of the first mention, counts, average confidence."""
+def resolve_relations(relations: DataFrame, mentions: DataFrame, typed: bool = False) -> DataFrame:
+    """One row per (type, source, target): validity and error of the first mention, counts, average confidence.
+
+    typed: with the types of the ends, which spares whoever needs them a join with the entities.
+    """
     key = ["document_id", "relation_type", "source_canonical", "target_canonical"]
     found = redirect(relations, mentions).groupBy(*key).agg(
         F.min_by("is_valid", "pos").alias("is_valid"),
@@ -83,6 +85,7 @@ def resolve_relations(relations: DataFrame, mentions: DataFrame) -> DataFrame:
         F.avg("confidence").alias("avg_confidence"),
         F.max("confidence").alias("max_confidence"),
         F.min("pos").alias("first_pos"),
+        *([F.first("source_type").alias("source_type"), F.first("target_type").alias("target_type")] if typed else []),
     )
     return found.select(F.concat(F.lit("rel_"), F.substring(F.sha2(F.concat_ws("|", *key), 256), 1, 12)).alias("relation_id"), "*")
 

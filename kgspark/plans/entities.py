@@ -50,8 +50,8 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.canonical(mentions(spark, sf_dir))
 
 
-def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve_relations(frame(spark, sf_dir, "relations"), mentions(spark, sf_dir))
+def resolved(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
+    return resolve.resolve_relations(frame(spark, sf_dir, "relations"), mentions(spark, sf_dir), typed)
 
 
 def valid_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ def r_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {KEYED} select mention_id, {ENT} as canonical_id from keyed")
 def r_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.mapping(mentions(spark, sf_dir))
+    return resolve.mapping(mentions(spark, sf_dir)).select("mention_id", "canonical_id")
 
 
 @query(f"{BASE} select candidate_id, relation_type, source_canonical, target_canonical from redirected")
@@ -273,7 +273,7 @@ TWICE = VALIDATED.replace(" resolved as (", " once as (", 1).replace(", typed as
     coalesce(warnings, 0) as warnings_generated, coalesce(reviews_required, 0) as reviews_required from ec left join rc using (document_id) left join reviews using (document_id) left join again using (document_id)""")
 def v_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = F.when(F.col("first_pos") % 5 == 0, F.array(F.lit(""), F.lit("_again"))).otherwise(F.array(F.lit("")))
-    found = resolved(spark, sf_dir).withColumn("again", F.explode(again)).withColumn("relation_id", F.concat("relation_id", "again")).drop("again")
+    found = resolved(spark, sf_dir, typed=True).withColumn("again", F.explode(again)).withColumn("relation_id", F.concat("relation_id", "again")).drop("again")
     return validate.summary(canonical(spark, sf_dir), found)
 
 
@@ -285,7 +285,7 @@ def v_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
   select case_id, entities, invalid_entities, coalesce(relations, 0) as relations, coalesce(valid_relations, 0) as valid_relations from e left join r using (case_id)""")
 def flagship_case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions to canonical entities to validated relations to counts per case."""
-    own, entities, found = mentions(spark, sf_dir), canonical(spark, sf_dir), resolved(spark, sf_dir)
+    own, entities, found = mentions(spark, sf_dir), canonical(spark, sf_dir), resolved(spark, sf_dir, typed=True)
     cases = own.select("document_id", "case_id").distinct()
     totals = validate.summary(entities, found).join(cases, "document_id")
     return totals.groupBy("case_id").agg(
