@@ -320,12 +320,15 @@ def repeats_of(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     by_doc = unlike.groupBy("id", "th").agg(F.collect_list(F.struct("at", "n")).alias("own"))
     windows = written(texts.join(by_doc.hint("merge"), ["id", "th"]).select("id", "th", "text", "own").mapInArrow(_windows(window), WINDOWS), "windows")
     discard(own, alike)
-    shared = windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("one", "two")
-    twice = written(windows.join(shared.hint("merge"), ["one", "two"], "left_semi"), "shared-windows")
-    again = twice.join(twice.groupBy("one", "two").agg(first).hint("merge"), ["one", "two"]).where("id > of.id").select("id", "th", "at", F.lit(1).alias("n"), "of")
+    held = windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").select("one", "two")
+    held = written(held, "held-windows")
+    twice = written(windows.join(held.hint("merge"), ["one", "two"], "left_semi"), "shared-windows")
+    # Written, so that the join has a plain exchange on either side, and a window that many documents hold can be split.
+    least = written(twice.groupBy("one", "two").agg(first), "first-windows")
+    again = twice.join(least.hint("merge"), ["one", "two"]).where("id > of.id").select("id", "th", "at", F.lit(1).alias("n"), "of")
     found = copies.union(again).distinct().groupBy("id", "th").agg(F.collect_list(F.struct("at", "n", "of")).alias("own"))
     out = written(found.mapInArrow(_stretches, STRETCHES), "stretches")
-    discard(windows, twice, copies)
+    discard(windows, held, twice, least, copies)
     return out
 
 
