@@ -11,6 +11,9 @@ In a shared variant all members within one flip are at 2 or fewer bits from each
 these: links to one such centre keep every connection without pairs of all members. Links are verified by counting bits,
 made distinct, and joined to components by alternating stars, each round written to the shared folder.
 
+An owner whose fingerprints have more than CROWD variants (a family of texts whose low bits agree) is split by more of the
+variants' bits, so no task holds many more than that.
+
 Only distinct fingerprints are expanded, so copies, however many, cost nothing. Null and empty texts have fingerprint 0 and
 are linked as any other. Fewer words than a shingle has: the whole sequence is one. Repeated rows are in one component. A
 null id is never a component's smallest id, unless there is no other: then it is null. Of very long texts RUN shingles are
@@ -170,11 +173,52 @@ def _meet(owner_bits: int):
     return run
 
 
+#: Variants that one task sorts; bits by which an owner with more is split, and the most that an owner may have.
+CROWD, SPLIT, BITS = 6_000_000, 6, 31
+
+
+def _routes_on(bits: int):
+    """The fingerprints of owners of so many bits with the owners of SPLIT bits more that their variants have."""
+    schema = pa.schema([("owner", pa.int64()), ("fp", pa.int64())])
+    flips = np.arange(1 << SPLIT, dtype=np.uint64)
+    flips = flips[_ones(flips) <= 2]
+    low, part = np.uint64((1 << bits) - 1), np.uint64((1 << SPLIT) - 1)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            owner, fps = (c.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in b.columns)
+            left = np.where(_ones(fps) % 2 == 0, 2, 1) - _ones((fps ^ owner) & low)
+            for k in range(0, len(fps), 20_000):
+                own, fp, rest = owner[k : k + 20_000], fps[k : k + 20_000], left[k : k + 20_000]
+                use = _ones(flips)[None, :] <= rest[:, None]
+                to = own[:, None] | ((((fp >> np.uint64(bits)) & part)[:, None] ^ flips[None, :]) << np.uint64(bits))
+                yield pa.RecordBatch.from_arrays([pa.array(to[use].view(np.int64)), pa.array(np.repeat(fp, use.sum(axis=1)).view(np.int64))], schema=schema)
+
+    return run
+
+
+def _linked(routed: DataFrame, bits: int) -> DataFrame:
+    """Links of routed fingerprints (owner, fp). An owner with more than CROWD variants is split by more bits, as often as it takes."""
+    meet = lambda rows: rows.groupBy("owner").applyInArrow(_meet(bits), "a long, b long")
+    if bits + SPLIT > BITS:
+        return meet(routed)
+    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("owner")).bitwiseAND(F.lit((1 << bits) - 1)))
+    # So many variants has a fingerprint that lies in the owner's own part, a flip away, or two.
+    inside, half = 64 - bits, 32 - bits
+    weight = F.when(away == 0, 1 + inside + len(_masks(list(range(bits, 64))))).when(away == 1, 1 + half).otherwise(1)
+    crowded = written(routed.groupBy("owner").agg(F.sum(weight).alias("n")).where(F.col("n") > CROWD).select("owner"), "crowded-owners")
+    if crowded.isEmpty():
+        return meet(routed)
+    few = routed.join(crowded.hint("merge"), "owner", "left_anti")
+    many = written(routed.join(crowded.hint("merge"), "owner", "left_semi").mapInArrow(_routes_on(bits), "owner long, fp long"), "routed")
+    return meet(few).union(_linked(many, bits + SPLIT))
+
+
 def links(distinct: DataFrame, count: int) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp), enough for every connection at 3 or fewer bits."""
     owner_bits = max(6, int(count // OWNED).bit_length())  # below 32 for 2 ** 42 fingerprints
-    routed = distinct.select("fp").mapInArrow(_routes(owner_bits), "owner long, fp long")
-    return routed.groupBy("owner").applyInArrow(_meet(owner_bits), "a long, b long").distinct()
+    routed = written(distinct.select("fp").mapInArrow(_routes(owner_bits), "owner long, fp long"), "routed")
+    return _linked(routed, owner_bits).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -69,8 +69,9 @@ def test_links_keep_every_connection(spark, monkeypatch):
     fps += [x ^ (1 << i) ^ (1 << j) for i in range(8) for j in range(i)] + [0, 7, 2**64 - 1, (2**64 - 1) ^ (7 << 61)]
     fps = sorted(set(fps))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    for owned in (6000, 3):
+    for owned, crowd in ((6000, simhash.CROWD), (3, simhash.CROWD), (6000, 3000)):
         monkeypatch.setattr(simhash, "OWNED", owned)
+        monkeypatch.setattr(simhash, "CROWD", crowd)
         distinct = spark.createDataFrame([(f,) for f in signed], "fp long")
         found = simhash.links(distinct, len(fps)).collect()
         assert all(bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 3 for r in found)
@@ -83,6 +84,29 @@ def test_links_keep_every_connection(spark, monkeypatch):
         assert len(set().union(*mine.values())) == len(mine)
 
 
+def test_an_owner_of_many_is_split(spark, monkeypatch):
+    """Fingerprints that agree in their low bits: no task gets more variants than it may, and no link is lost."""
+    rng = random.Random(6)
+    fps = sorted({(rng.getrandbits(64) & ~0xFFFFF) | 0x5A5A5 for _ in range(900)})
+    fps = sorted({*fps, *(f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps[:300])})
+    monkeypatch.setattr(simhash, "CROWD", 60_000)
+    routed = spark.createDataFrame([(f,) for f in np.array(fps, np.uint64).view(np.int64).tolist()], "fp long")
+    found = simhash.links(routed, len(fps)).collect()
+    got = {frozenset((r.a & (2**64 - 1), r.b & (2**64 - 1))) for r in found}
+    near = {frozenset((a, b)) for k, a in enumerate(fps) for b in fps[:k] if bin(a ^ b).count("1") <= 3}
+    assert got <= near and len(near) >= 290
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in map(sorted, got):
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert [find(f) for f in fps] == [fps[k] for k in groups(fps)]
+
+
 def test_edges_and_copies(spark, docs, edges):
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_groups(edges).collect()))
     fps = [plain(t) for _, t in EDGES]
