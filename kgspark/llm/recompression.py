@@ -41,9 +41,9 @@ from .shared import BATCH_ROWS, byte_views, discard, prepare, sliced, texts_of,
 
 WINDOW = 50
 #: Rounds; rounds that name runs; symbols of a phrase; phrases of a window among which the least is taken.
-ROUNDS, RUNS_EVERY, PHRASE, TRIES = 6, 3, 3, 4
+ROUNDS, RUNS_EVERY, PHRASE, TRIES = 4, 3, 4, 8
 #: Words parsed at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 15
 #: Starts of a source after which a repeated stretch is cut.
 CELL = 512
 #: A null id stands as the largest one.
