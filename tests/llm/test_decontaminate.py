@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from kgspark.llm import decontaminate as d
 
 from .conftest import EDGES
@@ -78,6 +80,24 @@ def test_recall_by_length_and_substitutions():
             assert hits >= 0.97 * 200, (n, subs, hits)
 
 
+def test_recall_of_passages_inside_items():
+    """Sixteen matching tokens in a stretch, anywhere in an item, with substitutions between."""
+    rng = random.Random(5)
+    for n in (17, 24, 60, 200):
+        for size, subs in ((16, 0), (17, 1), (18, 2), (19, 3), (20, 4), (21, 5), (22, 5), (22, 6), (23, 6), (24, 6)):
+            hits = tried = 0
+            while tried < 150 and size <= n:
+                at = rng.randrange(n - size + 1)
+                match = np.zeros(n, bool)
+                match[at : at + size] = True
+                match[[at + k for k in rng.sample(range(size), subs)]] = False
+                if d.overlap(match, n, d.LEAST) is None:
+                    continue
+                tried += 1
+                hits += any(all(match[p + j] for j, bit in enumerate(m) if bit == "1") for m in d.masks_of(n) for p in range(n - len(m) + 1))
+            assert hits >= 0.99 * tried, (n, size, subs, hits, tried)
+
+
 def test_edges(spark, docs, edges):
     got = found(edges, [(1, "long " * 30), (2, "the very same words and more of them in a passage of the benchmark")], spark)
     assert sorted((i or 0, x) for i, x in got) == sorted((i or 0, [1] if i in (7, 8) else []) for i, _ in EDGES)
