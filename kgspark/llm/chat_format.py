@@ -8,8 +8,9 @@ window begins with the conversation's system turn (a first turn of that role) an
 fit a limited share of the budget; these repeats are masked. The loss covers texts of assistant turns where they are new:
 each is under it once. A turn that exceeds the budget alone has its own window, marked over_budget; turns are never cut.
 
-Token counts are made before the shuffle, evenly spread. A conversation is then read as a stream by one task, which holds
-the system turn, the limited history and one window: a conversation with a third of all rows needs no more memory.
+Token counts are made before the shuffle, evenly spread. A conversation is then read by one task, batch by batch: the ends of
+windows and the beginnings of histories are found in the batch's prefix sums by binary search. The task holds the system turn,
+the limited history, one window and a batch: a conversation with a third of all rows needs no more memory.
 
 Null role or text: empty. Null conv_id: one conversation of its own. Ties of a turn number, and repeated rows, are all
 kept, by (turn, role, text); a null turn comes first. An empty table gives no rows. Extra columns are ignored.
@@ -19,9 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,51 +80,61 @@ def _counted(ranks):
 
 
 class Windows:
-    """The windows of one conversation, from its turns in order."""
+    """The windows of one conversation, cut from prefix sums of its turns' tokens by binary search.
+
+    Turns come in blocks. What a block can't decide, the last window and the history that the next one may repeat, stays.
+    """
 
     def __init__(self, conv_id: int | None, budget: int, history: int) -> None:
-        self.conv_id, self.budget, self.history = conv_id, budget, history
-        self.system: tuple[str, str, int] | None = None
-        self.past: deque[tuple[str, str, int]] = deque()  # the nearest turns that fit the history
-        self.past_sum = 0
-        self.new: list[tuple[str, str, int]] = []
-        self.prefix = [0]  # prefix sums of the new turns' tokens
-        self.number, self.first = 0, True
-
-    def _head(self) -> int:
-        """Tokens of the system turn and the history of the window that is open."""
-        return (self.system[2] if self.system and self.number else 0) + self.past_sum
-
-    def add(self, role: str, text: str, n: int) -> Iterator[dict]:
-        if self.new and self._head() + self.prefix[-1] + n > self.budget:
-            yield self.close()
-        while self.past and not self.new and self._head() + n > self.budget:  # a long turn displaces history
-            self.past_sum -= self.past.popleft()[2]
-        self.new.append((role, text, n))
-        self.prefix.append(self.prefix[-1] + n)
-        if self.first and role == "system":
-            self.system = self.new[0]
-        self.first = False
-
-    def close(self) -> dict:
-        kept = [self.system] if self.system and self.number else []
-        repeated = [*kept, *self.past]
-        parts, spans, at = [], [], 0
-        for k, (role, text, _) in enumerate([*repeated, *self.new]):
+        self.conv_id, self.budget, self.history = conv_id, budget, min(history, budget)
+        self.system: tuple[str, str] | None = None
+        self.system_n, self.number = 0, 0
+        self.turns: list[tuple[str, str]] = []
+        self.sums = np.zeros(1, np.int64)  # of the tokens of turns, from the first that is held
+        self.at = 0  # where the next window's new turns begin
+
+    def feed(self, turns: list[tuple[str, str]], n: list[int], last: bool) -> Iterator[dict]:
+        """The windows that are sure with these turns; last: no more will come."""
+        if self.system is None and not self.number and not self.turns and turns and turns[0][0] == "system":
+            self.system, self.system_n = turns[0], n[0]
+        self.turns += turns
+        self.sums = np.concatenate((self.sums, self.sums[-1] + np.cumsum(np.array(n, np.int64))))
+        while self.at < len(self.turns):
+            from_, to, total = self._window()
+            if to == len(self.turns) and not last:
+                break
+            yield self._row(from_, to, total)
+            self.at = to
+            self.number += 1
+        keep = self._history(self.at)
+        self.turns, self.sums, self.at = self.turns[keep:], self.sums[keep:] - self.sums[keep], self.at - keep
+
+    def _history(self, at: int) -> int:
+        """The first of the nearest turns before a place that fit the history; the system turn is repeated apart."""
+        first = 1 if self.system and not self.number or self.turns and self.turns[0] is self.system else 0
+        return min(at, max(first, int(np.searchsorted(self.sums, self.sums[at] - self.history))))
+
+    def _window(self) -> tuple[int, int, int]:
+        """Where the repeated turns begin and the new ones end, and the window's tokens."""
+        sums, at = self.sums, self.at
+        head = self.system_n if self.number else 0
+        room = self.budget - head
+        # A turn that is long displaces history; all of it, if it doesn't fit alone.
+        own = sums[at + 1] - sums[at]
+        from_ = at if own > room else min(at, max(self._history(at), int(np.searchsorted(sums, sums[at + 1] - room))))
+        to = max(at + 1, int(np.searchsorted(sums, sums[from_] + room, side="right")) - 1)
+        return from_, to, int(head + sums[to] - sums[from_])
+
+    def _row(self, from_: int, to: int, total: int) -> dict:
+        repeated = [*([self.system] if self.system and self.number else []), *self.turns[from_ : self.at]]
+        parts, spans, place = [], [], 0
+        for k, (role, text) in enumerate([*repeated, *self.turns[self.at : to]]):
             turn, a, b = format_turn(role, text)
             if k >= len(repeated) and role == "assistant" and b > a:
-                spans.append({"start": at + a, "end": at + b})
+                spans.append({"start": place + a, "end": place + b})
             parts.append(turn)
-            at += len(turn)
-        n = self._head() + self.prefix[-1]
-        row = {"conv_id": self.conv_id, "window": self.number, "text": "".join(parts), "n_tokens": n, "over_budget": n > self.budget, "n_repeated": len(repeated), "n_new": len(self.new), "loss": spans}
-        for turn in self.new[1:] if self.new[0] is self.system else self.new:
-            self.past.append(turn)
-            self.past_sum += turn[2]
-        while self.past and self.past_sum > self.history:
-            self.past_sum -= self.past.popleft()[2]
-        self.new, self.prefix, self.number = [], [0], self.number + 1
-        return row
+            place += len(turn)
+        return {"conv_id": self.conv_id, "window": self.number, "text": "".join(parts), "n_tokens": total, "over_budget": total > self.budget, "n_repeated": len(repeated), "n_new": to - self.at, "loss": spans}
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -132,19 +143,23 @@ WINDOW_DDL = "conv_id long, window long, text string, n_tokens long, over_budget
 
 
 def _windows(budget: int, history: int):
-    def turns(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def windows(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         now: Windows | None = None
         for b in rows:
-            for conv, role, text, n in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "n_tokens")), strict=True):
-                if now is None or now.conv_id != conv:
+            convs, roles, texts, sizes = (b.column(c).to_pylist() for c in ("conv_id", "role", "text", "n_tokens"))
+            edge = [0, *(k for k in range(1, len(convs)) if convs[k] != convs[k - 1]), len(convs)]
+            for a, z in zip(edge[:-1], edge[1:], strict=True):
+                if a == z:
+                    continue
+                if now is None or now.conv_id != convs[a]:
                     if now is not None:
-                        yield now.close()
-                    now = Windows(conv, budget, history)
-                yield from now.add(role, text, n)
+                        yield from now.feed([], [], True)
+                    now = Windows(convs[a], budget, history)
+                yield from now.feed(list(zip(roles[a:z], texts[a:z], strict=True)), sizes[a:z], False)
         if now is not None:
-            yield now.close()
+            yield from now.feed([], [], True)
 
-    return lambda rows: batches(turns(rows), WINDOW, 200)
+    return lambda rows: batches(windows(rows), WINDOW, 200)
 
 
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str | None = None) -> DataFrame:

@@ -75,3 +75,46 @@ def test_one_hot_conversation(spark):
 
 def test_empty(spark):
     assert c.read_back(c.format_conversations(frame(spark, []))).count() == 0
+
+
+def greedy(sizes, system, budget, history):
+    """(repeated turns, new turns, tokens) of each window, turn by turn."""
+    out, past, new = [], [], []
+
+    def head():
+        return (sizes[0] if system and out else 0) + sum(sizes[k] for k in past)
+
+    def close():
+        out.append(([0] * bool(system and out) + past, list(new), head() + sum(sizes[k] for k in new)))
+        past.extend(k for k in new if k or not system)
+        while past and sum(sizes[k] for k in past) > history:
+            past.pop(0)
+        new.clear()
+
+    for k, n in enumerate(sizes):
+        if new and head() + sum(sizes[j] for j in new) + n > budget:
+            close()
+        while past and not new and head() + n > budget:
+            past.pop(0)
+        new.append(k)
+    if new:
+        close()
+    return out
+
+
+def test_windows_are_those_of_turn_by_turn():
+    rng = random.Random(9)
+    for trial in range(600):
+        sizes = [rng.choice([0, 1, 3, 7, 20, 60]) + rng.randrange(4) for _ in range(rng.randrange(30))]
+        system, budget = rng.random() < 0.5, rng.choice([10, 40, 100])
+        history = rng.randrange(budget + 1)
+        turns = [("system" if system and not k else "user", str(k)) for k in range(len(sizes))]
+        own, got, k = c.Windows(1, budget, history), [], 0
+        while k < len(sizes):
+            z = k + rng.randrange(1, 9)
+            got += own.feed(turns[k:z], sizes[k:z], False)
+            k = z
+        got += own.feed([], [], True)
+        want = greedy(sizes, system, budget, history)
+        seen = [([int(t) for _, t in c.read_turns(w["text"])], w["n_repeated"], w["n_new"], w["n_tokens"], w["over_budget"]) for w in got]
+        assert seen == [(a + b, len(a), len(b), n, n > budget) for a, b, n in want], (trial, sizes, system, budget, history)
