@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 
+from .plain import contaminated, quality_scores, tokens
 from .test_simhash import groups, plain
 
 DIR = "/root/testdata/sf0.001"
@@ -89,6 +90,14 @@ def test_op4_scores_every_document(table, result):
     assert not own or sum(a == b for a, b in own) >= 0.8 * len(own)
 
 
+def test_op4_scores_are_those_of_the_plain_version(table, result):
+    agreed = {}
+    for i, q, *_ in table["labels"]:
+        agreed.setdefault(i, set()).add(q)
+    want = quality_scores(table["documents"], {i: next(iter(q)) for i, q in agreed.items() if len(q) == 1 and q <= {0, 1} and i in table["documents"]})
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in result("op4"))
+
+
 def test_op5_equals_its_twin(result):
     db = duckdb.connect()
     db.execute(f"create view documents as select * from read_parquet('{DIR}/documents.parquet')")
@@ -113,6 +122,15 @@ def test_op8_has_a_row_for_each_document(table, result):
     rows = result("op8")
     assert sorted(r["doc_id"] for r in rows) == sorted(table["documents"])
     assert all(r["contaminated"] == bool(r["item_ids"]) and (r["most_matches"] > 0) == r["contaminated"] for r in rows)
+    items = [t for _, t in duckdb.sql(f"select item_id, text from read_parquet('{DIR}/benchmark.parquet')").fetchall() if t]
+    grams = {g for t in items for g in zip(*(tokens(t)[k:] for k in range(4)))}
+    # The plain version compares every diagonal; it is asked about all documents that share four tokens in a row with an item.
+    near = [i for i, t in table["documents"].items() if grams & set(zip(*(tokens(t)[k:] for k in range(4))))]
+    for r in rows:
+        assert not r["contaminated"] or r["doc_id"] in near
+    for i in near[:40]:
+        want = any(contaminated(table["documents"][i], t) for t in items)
+        assert next(r["contaminated"] for r in rows if r["doc_id"] == i) == want, i
 
 
 def test_op9_is_one_law_over_all(table, result):
