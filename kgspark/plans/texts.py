@@ -194,7 +194,7 @@ _JSON = "select doc_id, 'd' || cast(doc_id as string) as document_id, text, sour
 
 
 @query("""select 'document' as kind, 'd' || cast(doc_id as string) as document_id, case when doc_id % 7 = 0 then 'again.txt' else source || '.txt' end as filename, case when text is null then 1 else 2 end as page_count, sha256(coalesce(text, '')) as text_sha from documents
-  union all select 'bad', null, null, null, sha256('{"document_id": "d' || cast(doc_id as string) || '", "pages": [') from documents where doc_id % 10 = 3""")
+  union all select 'bad', null, null, 0, sha256('{"document_id": "d' || cast(doc_id as string) || '", "pages": [') from documents where doc_id % 10 = 3""")
 def s_parsed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through JSON and back, some saved twice, with lines among them that break off."""
     at, own = shared_folder(spark, "parsed"), sql(spark, sf_dir, _JSON)
@@ -208,7 +208,7 @@ def s_parsed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken.write.mode("append").partitionBy("shard").text(at)
     found = parsed.load(spark, at).select(F.lit("document").alias("kind"), "document_id", "filename", F.size("pages").alias("page_count"), F.sha2(F.col("pages")[0]["blocks"][0]["raw_text"], 256).alias("text_sha"))
     none = F.lit(None)
-    return found.union(parsed.read(spark, at).where(F.col(parsed.BAD).isNotNull()).select(F.lit("bad"), none.cast("string"), none.cast("string"), none.cast("int"), F.sha2(parsed.BAD, 256)))
+    return found.union(parsed.read(spark, at).where(F.col(parsed.BAD).isNotNull()).select(F.lit("bad"), none.cast("string"), none.cast("string"), F.lit(0), F.sha2(parsed.BAD, 256)))
 
 
 def _candidates(spark: SparkSession, sf_dir: str, category: str, legal: DataFrame | None = None) -> DataFrame:

@@ -99,10 +99,19 @@ def m_resolve_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", "page_number", "anchor_id", "resolved_date", "temporal_status")
 
 
-@query()
+# An event that is named is one of the timeline's; without a name, what the last page before came to counts, if any did.
+@query(f"""with recursive {PARSED}, j as (select e.*, t.event_id, t.event_date, row_number() over (partition by e.document_id, page_number order by case when reference is null then -pos else pos end) as rn
+  from expr e left join timeline t on t.document_id = e.document_id and t.event_date is not null and (reference is null or contains(t.event_type, reference) or contains(upper(t.description), reference))),
+  b as (select document_id, page_number, reference, event_id, case when direction = 'BEFORE' then -coalesce(delta_days, 0) else coalesce(delta_days, 0) end as step, try_strptime(event_date, '%Y-%m-%d') as day, row_number() over (partition by document_id order by page_number) as k from j where rn = 1),
+  f as (select document_id, page_number, k, case when day is not null then event_id end as anchor_id, day + to_days(cast(step as int)) as resolved, day + to_days(cast(step as int)) as held, case when day is not null then page_number end as held_page from b where k = 1
+    union all select b.document_id, b.page_number, b.k, case when b.reference is null and held is not null then 'derived_' || b.document_id || '_' || cast(held_page as string) when b.day is not null then b.event_id end,
+      case when b.reference is null and held is not null then held else b.day end + to_days(cast(b.step as int)), coalesce(case when b.reference is null and held is not null then held else b.day end + to_days(cast(b.step as int)), held),
+      case when b.reference is null and held is not null or b.day is not null then b.page_number else held_page end from f join b on b.document_id = f.document_id and b.k = f.k + 1)
+  select document_id, page_number, anchor_id, strftime(resolved, '%Y-%m-%d') as resolved_date, case when resolved is null then 'REVIEW_REQUIRED' else 'RESOLVED' end as temporal_status from f""")
 def m_derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages in order, resolved expressions serving as anchors of later ones."""
-    return temporal.derived_events(temporal.relative_expressions(sql(spark, sf_dir, PAGES)), frame(spark, sf_dir, "timeline"))
+    found = temporal.derived_events(temporal.relative_expressions(sql(spark, sf_dir, PAGES)), frame(spark, sf_dir, "timeline"))
+    return found.select("document_id", "page_number", "anchor_id", "resolved_date", "temporal_status")
 
 
 @query("select canonical_entity_id, string_agg(distinct event_date, ',' order by event_date) as dates from timeline where event_date is not null group by 1 having count(distinct event_date) > 1")
