@@ -1,4 +1,4 @@
-"""Training-data operators: token counts, deduplication, formatting, scoring, decontamination, sharding and secret scans.
+"""Training-data operators: token counts, deduplication, formatting, scoring, decontamination, sharding, secret scans, whitening, runs.
 
 Nothing else in the library imports this subpackage; ``queries`` lists what it registers.
 """
