@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 # Entity types as (type, category, parent).
 ENTITY_TYPES = [
     ("CASE", "CASE_MATTER", None),
@@ -100,17 +102,34 @@ def triplet_dim(spark: SparkSession, closed: bool = True) -> DataFrame:
 
 
 def hierarchy(types: DataFrame) -> DataFrame:
-    """Each type with itself (depth 0) and all its ancestors, however many levels there are. types: entity_type, parent.
+    """Each type with itself (depth 0) and all its ancestors, however many levels and types there are. types: entity_type, parent.
 
-    A cycle, or more levels than spark.sql.cteRecursionLevelLimit, fails the query instead of giving part of the answer.
+    Jumps to ancestors 1, 2, 4 and so on levels up are made from each other, and a depth is walked by its binary digits, so the
+    rounds grow with the logarithm of the depth. Jumps lie in shared storage. A cycle fails instead of giving part of the answer.
     """
-    return types.sparkSession.sql(
-        """with recursive up(entity_type, ancestor, depth) as (
-             select entity_type, entity_type, 0 from {types}
-             union all select up.entity_type, t.parent, up.depth + 1 from up join {types} t on t.entity_type = up.ancestor where t.parent is not null)
-           select * from up""",
-        types=types,
-    )
+    spark = types.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        at = shared_folder(spark, "hierarchy")
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    own = written(types.select("entity_type", "parent"))
+    jump, jumps = own.where("entity_type is not null and parent is not null").select(F.col("entity_type").alias("ancestor"), F.col("parent").alias("to")), []
+    while not jump.isEmpty():
+        # No way without a cycle is longer than there are types.
+        if 2 ** len(jumps) > 1 and 2 ** len(jumps) > own.select("entity_type").distinct().count():
+            raise ValueError("the hierarchy has a cycle")
+        jumps.append(jump)
+        again = jump.select(F.col("ancestor").alias("to"), F.col("to").alias("further"))
+        jump = written(jump.join(again, "to").select("ancestor", F.col("further").alias("to")))
+    up = own.select("entity_type", F.col("entity_type").alias("ancestor"), F.lit(0).alias("depth"))
+    stays = lambda: F.struct(F.col("ancestor"), F.lit(0).alias("by"))
+    for k, jump in enumerate(jumps):
+        on = jump.groupBy("ancestor").agg(F.collect_list(F.struct(F.col("to").alias("ancestor"), F.lit(2**k).alias("by"))).alias("on"))
+        ways = F.explode(F.concat(F.array(stays()), F.coalesce("on", F.array().cast("array<struct<ancestor:string,by:int>>"))))
+        up = up.join(on, "ancestor", "left").select("entity_type", "depth", ways.alias("x")).select("entity_type", F.col("x.ancestor").alias("ancestor"), (F.col("depth") + F.col("x.by")).alias("depth"))
+    return up
 
 
 def with_inherited_check(facts: DataFrame, types: DataFrame, named: DataFrame, to: str = "triplet_ok") -> DataFrame:
