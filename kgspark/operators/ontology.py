@@ -134,11 +134,17 @@ def hierarchy(types: DataFrame) -> DataFrame:
 
 def with_inherited_check(facts: DataFrame, types: DataFrame, named: DataFrame, to: str = "triplet_ok") -> DataFrame:
     """facts (source_type, relation_type, target_type) with a flag: whether the triplet, or one of supertypes of either end, is
-    named. The named triplets are handed down to subtypes once, and facts are looked up among those."""
+    named.
+
+    Types take up what is named for their ancestors, either end by itself, and a fact meets one row of each: what its source
+    may have as target by its relation, and what its target counts as. So no pair of types is ever made. Both lists hold
+    named types of the ancestors only.
+    """
     up = hierarchy(types).select("entity_type", "ancestor")
-    down = lambda c: up.select(F.col("entity_type").alias(f"_{c}"), F.col("ancestor").alias(c))
-    closed = named.join(down("source_type"), "source_type").join(down("target_type"), "target_type").select(F.col("_source_type").alias("source_type"), F.col("relationship_type").alias("relation_type"), F.col("_target_type").alias("target_type"))
-    return facts.join(closed.distinct().withColumn(to, F.lit(True)), ["source_type", "relation_type", "target_type"], "left").withColumn(to, F.coalesce(to, F.lit(False)))
+    allowed = up.join(named.withColumnRenamed("source_type", "ancestor"), "ancestor").groupBy(F.col("entity_type").alias("source_type"), F.col("relationship_type").alias("relation_type")).agg(F.collect_set("target_type").alias("_allowed"))
+    counts = up.join(named.select(F.col("target_type").alias("ancestor")).distinct(), "ancestor").groupBy(F.col("entity_type").alias("target_type")).agg(F.collect_set("ancestor").alias("_counts"))
+    found = facts.join(allowed, ["source_type", "relation_type"], "left").join(counts, "target_type", "left")
+    return found.withColumn(to, F.coalesce(F.arrays_overlap("_allowed", "_counts"), F.lit(False))).select(*facts.columns, to)
 
 
 def is_entity_type(c: Column) -> Column:

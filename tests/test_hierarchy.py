@@ -27,3 +27,17 @@ def test_a_cycle_fails(spark):
     types = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "a"), ("e", "d")], "entity_type string, parent string")
     with pytest.raises(ValueError, match="cycle"):
         ontology.hierarchy(types)
+
+
+def test_the_inherited_check_makes_no_pairs_of_types(spark):
+    n = 20_000
+    leaf = lambda k: f"'{k}' || cast(id as string)"
+    types = spark.range(n).selectExpr(f"{leaf('s')} as entity_type", "'S' as parent").union(spark.range(n).selectExpr(f"{leaf('t')} as entity_type", "'T' as parent"))
+    types = types.union(spark.createDataFrame([("S", None), ("T", None)], "entity_type string, parent string"))
+    named = spark.createDataFrame([("S", "r", "T"), ("s1", "q", "t2")], "source_type string, relationship_type string, target_type string")
+    facts = spark.range(100).selectExpr(f"{leaf('s')} as source_type", "case when id % 2 = 0 then 'r' else 'q' end as relation_type", "'t' || cast(id + 1 as string) as target_type")
+    facts = facts.union(spark.createDataFrame([("S", "r", "T"), ("T", "r", "S"), (None, "r", "T"), ("x", "r", "T")], "source_type string, relation_type string, target_type string"))
+    checked = ontology.with_inherited_check(facts, types, named)
+    # Pairs of types would be four hundred million.
+    assert {(r.source_type, r.target_type) for r in checked.where("triplet_ok").collect()} == {("S", "T"), ("s1", "t2"), *((f"s{k}", f"t{k + 1}") for k in range(0, 100, 2))}
+    assert checked.count() == 104
