@@ -183,7 +183,7 @@ def r_canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CANON} select c.canonical_id, coalesce(string_agg(n.text, '|' order by n.text), '') as aliases from canon c left join names n on n.document_id = c.document_id and n.entity_type = c.entity_type and n.norm_key = c.norm_key and n.text <> c.canonical_name group by 1")
 def r_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical(spark, sf_dir).select("canonical_id", F.array_join("aliases", "|").alias("aliases"))
+    return resolve.aliases(mentions(spark, sf_dir)).select("canonical_id", F.array_join("aliases", "|").alias("aliases"))
 
 
 @query(f"with {KEYED} select mention_id, {ENT} as canonical_id from keyed")
