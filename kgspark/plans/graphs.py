@@ -34,11 +34,10 @@ def with_aliases(df: DataFrame) -> DataFrame:
 def g_import_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a case import takes: entities that aren't invalid, with the page of their first mention; relations that are
     valid and need no review."""
-    entities, found = canonical(spark, sf_dir), resolved(spark, sf_dir)
-    es, rs = validate.entity_records(entities), validate.relation_records(found, entities)
-    bad = lambda records, key, *status: records.where(F.col("status").isin(*status)).select(key)
-    a = entities.join(bad(es, "canonical_id", "INVALID"), "canonical_id", "left_anti").select(F.lit("node").alias("kind"), F.col("canonical_id").alias("id"), F.col("first_page").alias("source_page"))
-    b = found.where("is_valid").join(bad(rs, "relation_id", "INVALID", "REVIEW_REQUIRED"), "relation_id", "left_anti").select(F.lit("edge").alias("kind"), F.col("relation_id").alias("id"), F.lit(0).alias("source_page"))
+    entities, found = canonical(spark, sf_dir), resolved(spark, sf_dir, typed=True)
+    es, rs = validate.check_entities(entities), validate.check_relations(found, entities)
+    a = es.where("worst_status <> 'INVALID'").select(F.lit("node").alias("kind"), F.col("canonical_id").alias("id"), F.col("first_page").alias("source_page"))
+    b = rs.where("is_valid and worst_status not in ('INVALID', 'REVIEW_REQUIRED')").select(F.lit("edge").alias("kind"), F.col("relation_id").alias("id"), F.lit(0).alias("source_page"))
     return a.union(b)
 
 
