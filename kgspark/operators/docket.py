@@ -170,10 +170,11 @@ def check_new_reminder(requests: DataFrame, events: DataFrame, documents: DataFr
     and `outcome`: OK or why a reminder is refused."""
     own = events.select("event_id", "matter_id", "starts_at", "timezone", F.lit(True).alias("has_event"))
     docs = documents.select("document_id", "event_id", "matter_id", F.lit(True).alias("has_document"))
-    rows = requests.join(own, ["event_id", "matter_id"], "left").join(docs, ["document_id", "event_id", "matter_id"], "left")
     offset = F.col("anchor") == "offset_before_event"
     at = F.when(offset, fire_time(F.col("starts_at"), F.col("timezone"), F.coalesce("days_before", F.lit(1)), F.col("time_of_day"))).otherwise(F.col("fire_at"))
-    rows = rows.withColumn("fires_at", at)
+    # The time is known before documents are looked up, so that what it is made of isn't shuffled again.
+    rows = requests.join(own, ["event_id", "matter_id"], "left").withColumn("fires_at", at)
+    rows = rows.join(docs, ["document_id", "event_id", "matter_id"], "left")
     outcome = (
         F.when(F.col("has_event").isNull(), "EVENT_NOT_FOUND")
         .when(F.col("document_id").isNotNull() & F.col("has_document").isNull(), "DOCUMENT_NOT_OF_EVENT")
