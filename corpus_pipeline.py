@@ -38,6 +38,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents alike in four fifths of their five-word shingles, linked to groups, the one with the smallest id.
 
+    SimHash fingerprints that meet at three or fewer bits, as in op6, suggest pairs, which are verified on the shingles; a search by
+    prefixes adds the pairs that lie farther apart.
+
     Texts without words, null ones too, are alike. A null id stays only if there is no other in its group; of tied rows one
     stays. A very long text's distinct shingles are held in memory, eight bytes each.
     """

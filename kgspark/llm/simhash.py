@@ -254,8 +254,9 @@ def near_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", tex
 
 # --- Similar documents ----------------------------------------------------------------------------------------------
 #
-# Texts that are alike to four fifths differ in more than three bits of a fingerprint of the whole, so these are found by
-# prefixes: with shingles in one order for all texts, two texts of that similarity share one of the first n - ceil(0.8 n) + 1 of
+# Near copies are found by fingerprints first, as above: texts of one fingerprint and of fingerprints that meet are suggested, and
+# verified on the shingles themselves. Texts that are alike to four fifths mostly differ in more than three bits, though, so what is
+# still apart is found by prefixes: with shingles in one order for all texts, two texts of that similarity share one of the first n - ceil(0.8 n) + 1 of
 # their n distinct shingles. That holds for any order; frequent shingles come last, so that few texts share a prefix's. Every
 # pair that shares one, and whose sizes and places leave room for the similarity, is verified on the shingles themselves, or is
 # connected already by others that were.
@@ -421,11 +422,23 @@ def _room(least: float) -> F.Column:
     return (F.least(x, y) >= F.greatest(x, y) * least - 1e-9) & (left >= (x + y) * (least / (1 + least)) - 1e-9)
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """a, b: pairs of rows (uid, text), enough for every connection that fingerprints of three-word shingles at 3 or fewer bits make:
+    each row with the first one of its fingerprint, and the first ones of fingerprints that are linked."""
+    own = written(fingerprints(rows, WIDTH, "uid", "text").select(F.col("doc_id").alias("uid"), "fp").distinct(), "fingerprints")
+    distinct = written(own.groupBy("fp").agg(F.min("uid").alias("first")), "distinct-fingerprints")
+    first = lambda k: distinct.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")).hint("merge")
+    same = own.join(distinct.hint("merge"), "fp").where("uid <> first").select(F.col("uid").alias("a"), F.col("first").alias("b"))
+    near = links(distinct, distinct.count()).join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """uid, kept for every row that is in a group of similar texts; rows in none are not listed.
 
-    Links are pairs of that similarity; a group is what they connect. Of a group the smallest id stays (no id: last). All pairs
-    of a shingle's rows are verified if these are few. Otherwise its rows are verified with four of them, and after that, in
+    Links are pairs of that similarity; a group is what they connect. Of a group the smallest id stays (no id: last). First come
+    pairs suggested by fingerprints; pairs that these have connected aren't verified again. All pairs of a shingle's rows are
+    verified if these are few. Otherwise its rows are verified with four of them, and after that, in
     blocks, all pairs of rows that are still in different groups: copies of one text, however many, are then in one.
     """
     prepare(docs.sparkSession)
@@ -463,8 +476,12 @@ def similar_groups(docs: DataFrame, width: int = WORDS, least: float = SIMILAR,
         held = met.join(sets.hint("merge"), "uid").select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "uid", "root", "block", "shingles")
         return written(held.groupBy("token", "x", "y").applyInArrow(_block_links(least), "a long, b long").distinct(), "crowded-links")
 
-    edges = verified(paired(few, few, "x.uid < y.uid").union(paired(many, centres, "x.uid <> y.uid")).distinct())
-    roots = written(components(edges), "similar-roots")
+    edges = verified(fingerprint_pairs(rows))
+    roots = written(components(edges), "fingerprint-roots")
+    suggested = paired(few, few, "x.uid < y.uid").union(paired(many, centres, "x.uid <> y.uid")).distinct()
+    own = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")).hint("merge")
+    open_ones = suggested.join(own("a"), "a", "left").join(own("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    roots = written(components(edges.union(verified(open_ones))), "similar-roots")
     # Where a crowded shingle's rows are in several groups, pairs across them are left to verify.
     placed = many.join(roots.select(F.col("node").alias("uid"), "root").hint("merge"), "uid", "left").select("token", "uid", "n", "pos", F.coalesce("root", "uid").alias("root"))
     split = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kgspark.llm import simhash
 
@@ -204,3 +205,20 @@ def test_short_texts_at_the_limit(docs):
         rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words, "more"])), (3 * k + 2, " ".join([words[0]] * rng.randrange(5, 9)))]
     rows += [(2000, "a a a a a a"), (2001, "a a a a a a a a a"), (2002, "a b"), (2003, "A  b")]
     assert stays(docs, rows)
+
+
+def test_near_copies_are_suggested_by_fingerprints(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(words).upper() + " ", " ".join(reversed(words)), None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(simhash.row_key("doc_id", "text").alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
+    uid = {r.doc_id: r.uid for r in docs.select("doc_id", simhash.row_key("doc_id", "text").alias("uid")).collect()}
+    at = {i: simhash.fingerprint((t or "").lower().encode()) for i, t in enumerate(texts)}
+    found = {frozenset((r.a, r.b)) for r in simhash.fingerprint_pairs(rows).collect()}
+    assert all(any((at[i] ^ at[j]).bit_count() <= 3 and {uid[i], uid[j]} == set(p) for i in at for j in at if i != j) for p in found)
+    assert {frozenset((uid[0], uid[2])), frozenset((uid[4], uid[5]))} <= found
+    # The pairs of the prefix search left out, fingerprints alone find these copies.
+    monkeypatch.setattr(simhash, "_room", lambda least: F.lit(False))
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect())[:1] == [0]
+    assert not {2, 5} & {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
