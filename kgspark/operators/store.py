@@ -36,8 +36,8 @@ class GraphStore:
     def upsert_edges(self, rows: DataFrame) -> int:
         """Edges without both ends among the stored nodes or events are dropped."""
         side = lambda c: rows.select("case_id", F.col(c).alias("id"))
-        ends = side("source_id").union(side("target_id")).distinct()
-        known = self.nodes.lookup(ends).select("case_id", "id").union(self.events.lookup(ends).select("case_id", "id"))
+        ends = side("source_id").union(side("target_id"))
+        known = self.nodes.beside(ends).select("case_id", "id").union(self.events.beside(ends).select("case_id", "id"))
         return self.edges.upsert(graph.complete(rows, known))
 
     def upsert_events(self, rows: DataFrame) -> int:

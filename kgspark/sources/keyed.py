@@ -66,9 +66,14 @@ class KeyedTable:
     def lookup(self, keys: DataFrame) -> DataFrame:
         """The rows of some keys; only the buckets that these lie in are read."""
         own = keys.select(*self.key).distinct()
+        return self.beside(own).join(own, self.key, "left_semi")
+
+    def beside(self, keys: DataFrame) -> DataFrame:
+        """All rows of the buckets that some keys lie in, for those who join them by key anyway. An empty table asks for no keys."""
+        held = self.manifest()["buckets"]
         # A row for each bucket at most.
-        wanted = {str(r[0]) for r in own.select(self._bucket()).distinct().collect()}
-        return self._rows({b: v for b, v in self.manifest()["buckets"].items() if b in wanted}).join(own, self.key, "left_semi")
+        wanted = {str(r[0]) for r in keys.select(self._bucket()).distinct().collect()} if held else set()
+        return self._rows({b: v for b, v in held.items() if b in wanted})
 
     def bytes_of(self, version: int) -> int:
         """Bytes of data that a version's change wrote."""
