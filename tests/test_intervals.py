@@ -35,3 +35,12 @@ def test_places_at_most_so_far_apart(spark):
 def test_a_long_span_takes_few_rows(spark):
     rows = spark.createDataFrame([(1, 0, 10**7), (2, 3, 4)], "i long, s long, e long")
     assert intervals._laid_out(rows, "s", "e").count() <= 2 * 2 * intervals.LEVELS
+
+
+def test_rows_are_laid_out_only_where_the_other_side_has_something_to_meet(spark):
+    rows = spark.createDataFrame([(k, 1_000 * k, 1_000 * k + 9) for k in range(50)], "i long, s long, e long")
+    short, long = (spark.createDataFrame([("k", 0, n)], "k string, s long, e long") for n in (20, 10**9))
+    places = lambda others: intervals._laid_out(rows, "s", "e", others).count()
+    levels = lambda *sides: intervals._levels(sides[0] if len(sides) == 1 else sides[0].union(sides[1]), ["k"], "s", "e")
+    assert places(levels(short)) <= 55 and places(levels(short, long)) <= 110
+    assert places(levels(short.where("false"))) == 0
