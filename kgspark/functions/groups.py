@@ -32,7 +32,9 @@ def fold_groups(rows: DataFrame, keys: list[str], order: list[str], fold: Callab
             return pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in made], schema=arrow)
 
         for batch in batches:
-            for row in batch.to_pylist():
+            names = batch.schema.names
+            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                row = dict(zip(names, values, strict=True))
                 key = tuple(row[k] for k in keys)
                 if key != now:
                     if held:

@@ -25,6 +25,8 @@ MATCHES: dict[str, Callable[[list[dict], list[dict]], list[int | None]]] = {
     "entity": lambda p, g: take_any(p, g, [("text", "text", False), ("text", "norm", True)]),
     "relation": lambda p, g: take_all(p, g, [("text", "text"), ("norm", "norm")]),
 }
+#: Which columns a match reads; others don't reach Python.
+READ = {"rule": ["page", "text", "norm"], "model": ["page", "text"], "entity": ["text", "norm"], "relation": ["text", "norm"]}
 COUNTS = "document_id string, category string, tp long, fp long, fn long"
 
 
@@ -41,7 +43,8 @@ def matched_pairs(predicted: DataFrame, gold: DataFrame, match: str) -> DataFram
         tp = sum(k is not None for k in take(own, known))
         return [(*group, tp, len(own) - tp, len(known) - tp)]
 
-    return fold_groups(_both(predicted, gold, "document_id", "category", "pos", "page", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "norm")]), ["document_id", "category"], ["is_gold", "pos"], fold, COUNTS)
+    read = [c if c == "page" else F.coalesce(c, F.lit("")).alias(c) for c in READ[match]]
+    return fold_groups(_both(predicted, gold, "document_id", "category", "pos", *read), ["document_id", "category"], ["is_gold", "pos"], fold, COUNTS)
 
 
 def _both(predicted: DataFrame, gold: DataFrame, *columns: str | Column) -> DataFrame:
@@ -71,7 +74,13 @@ def scores(counts: DataFrame, empty: str = "null") -> DataFrame:
 def by_category(pairs: DataFrame) -> DataFrame:
     """Sums per category and over all."""
     sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
-    return pairs.groupBy("category").agg(*sums).union(pairs.agg(F.lit("OVERALL").alias("category"), *sums))
+    counts = pairs.groupBy("category").agg(*sums)
+    # The sums are made once: each counts for its category and for all. All have a row even where there is nothing to count.
+    both = F.explode(F.array(F.struct(F.lit(False).alias("all"), "category"), F.struct(F.lit(True).alias("all"), F.lit("OVERALL").alias("category"))))
+    rows = counts.select(both.alias("of"), "tp", "fp", "fn").select("of.*", "tp", "fp", "fn")
+    none = [F.lit(None).cast("long").alias(c) for c in ("tp", "fp", "fn")]
+    rows = rows.union(pairs.sparkSession.range(1).select(F.lit(True), F.lit("OVERALL"), *none))
+    return rows.groupBy("all", "category").agg(*sums).drop("all")
 
 
 def resolution(entities: DataFrame, pairs: DataFrame) -> DataFrame:

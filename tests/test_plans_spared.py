@@ -1,4 +1,4 @@
-from kgspark.operators import chunks, docket, resolve
+from kgspark.operators import chunks, docket, evaluate, resolve
 from kgspark.plans import catalog
 
 AT = "/root/testdata/sf0.001"
@@ -49,3 +49,14 @@ def test_an_entity_of_many_mentions_in_many_tasks(spark):
     mentions = spark.createDataFrame(rows, "document_id string, entity_type string, normalized_value string, text string, confidence double, page_number int, pos long")
     got = resolve.canonical(mentions.repartition(6)).collect()
     assert [(r.canonical_name, r.aliases, r.n_mentions, r.avg_confidence, r.first_confidence, r.first_page, r.first_pos) for r in got] == [("Ann", ["ANN", "ann"], 3_000, 1.0, 1.0, 1, 1)]
+
+
+def test_scores_fold_the_pairs_once(spark):
+    for name in ("e_report", "e_rules_prf", "e_model_prf", "e_entity_prf", "e_relation_prf"):
+        assert plan(catalog.QUERIES[name](spark, AT)).count("MapInArrow") == 1, name
+
+
+def test_sums_over_all_stand_beside_a_category_of_that_name_and_without_any(spark):
+    pairs = spark.createDataFrame([("a", 1, 2, 3), ("OVERALL", 1, 0, 0), ("a", 1, 1, 1)], "category string, tp long, fp long, fn long")
+    assert sorted(map(tuple, evaluate.by_category(pairs).collect())) == [("OVERALL", 1, 0, 0), ("OVERALL", 3, 3, 4), ("a", 2, 3, 4)]
+    assert list(map(tuple, evaluate.by_category(pairs.where("false")).collect())) == [("OVERALL", None, None, None)]
