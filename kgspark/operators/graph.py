@@ -37,8 +37,10 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str] = NODE, version: st
 
 
 def upsert_edges(stored: DataFrame, new: DataFrame, nodes: DataFrame, version: str = "version") -> DataFrame:
-    """As upsert; edges without both ends are dropped."""
-    return upsert(stored, complete(new, nodes), EDGE, version)
+    """As upsert; edges without both ends are dropped. Versions of an edge are few, so rows are sorted once they are together only,
+    not also in the tasks that look the ends up and sort for that."""
+    rows = stored.unionByName(complete(new, nodes), allowMissingColumns=True)
+    return latest(rows.repartition(*EDGE), EDGE, [version])
 
 
 def upsert_counts(new: DataFrame, nodes: DataFrame) -> DataFrame:

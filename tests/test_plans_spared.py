@@ -60,3 +60,10 @@ def test_sums_over_all_stand_beside_a_category_of_that_name_and_without_any(spar
     pairs = spark.createDataFrame([("a", 1, 2, 3), ("OVERALL", 1, 0, 0), ("a", 1, 1, 1)], "category string, tp long, fp long, fn long")
     assert sorted(map(tuple, evaluate.by_category(pairs).collect())) == [("OVERALL", 1, 0, 0), ("OVERALL", 3, 3, 4), ("a", 2, 3, 4)]
     assert list(map(tuple, evaluate.by_category(pairs.where("false")).collect())) == [("OVERALL", None, None, None)]
+
+
+def test_edges_are_sorted_by_key_only_where_their_versions_are_together(spark):
+    lines = catalog.QUERIES["g_upsert_edges"](spark, AT)._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next(k for k, x in enumerate(lines) if "REPARTITION_BY_COL" in x)
+    assert not [x for x in lines[dealt:] if "Sort [case_id" in x and "version" in x]
+    assert [x for x in lines[:dealt] if "Sort [case_id" in x and "version" in x]
