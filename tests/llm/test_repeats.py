@@ -3,6 +3,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -180,3 +181,55 @@ def test_a_shard_ten_times_its_memory():
         assert held == {*range(0, 3500, 50), *range(3500, len(regions))}
     assert sum(map(len, regions)) > 10 * disk.memory
     assert peaks[1] < disk.memory + 40 * 8 * disk.chunk and peaks[1] * 10 < peaks[0], peaks  # its share and the chunks at work
+
+
+def texts_batch(rng, n):
+    texts = ["".join(rng.choice(["ab", "é", "c ", "line\n"]) for _ in range(rng.choice([0, 3, 30, 200]))) for _ in range(n)]
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array([i if i % 5 else None for i in range(n)], pa.int64()), "th": pa.array(range(n), pa.int64()), "text": texts})
+
+
+@pytest.mark.parametrize("starts,grouped", [(1 << 20, 1 << 15), (64, 1 << 15), (1 << 20, 500)])
+def test_texts_of_a_batch_are_handled_together(starts, grouped, monkeypatch):
+    monkeypatch.setattr(repeats, "STARTS", starts)
+    monkeypatch.setattr(repeats, "GROUPED", grouped)
+    rng = random.Random(11)
+    batch = texts_batch(rng, 60).slice(3)
+    texts = batch.column("text").to_pylist()
+    # The runs leave in one batch, not in one for each document, and are those of each document alone.
+    (got,) = repeats._runs(12, 4)(iter([batch]))
+    want = [(i, th, *x) for i, th, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))) for x in zip(*(y.tolist() for y in repeats.owned_runs(np.frombuffer(t.encode(), np.uint8), 12, 4)))]
+    assert [(r["doc_id"], r["th"], r["at"], r["n"], r["key"] % 2**64, r["places"]) for r in got.to_pylist()] == want
+    # So do regions, copies of a row's runs as one.
+    runs = [[{"at": a, "n": n, "key": (k + 2**63) % 2**64 - 2**63} for _, h, a, n, k, _ in want if h == th] * 2 for th in batch.column("th").to_pylist()]
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64()), ("key", pa.int64())]))
+    (regions,) = repeats._regions(12, 4)(iter([pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, kind)], names=["doc_id", "th", "text", "runs"])]))
+    own = {th: t.encode() for th, t in zip(batch.column("th").to_pylist(), texts)}
+    parts = [repeats.shortened(own[th][a : a + n + 11], k, 12, 4)[0] for _, th, a, n, k, _ in want]
+    assert regions.column("region").to_pylist() == parts and regions.column("th").to_pylist() == [x[1] for x in want]
+    # And what is left of the texts: spans that overlap or touch are one, but not across documents.
+    spans = [None if k % 3 == 0 else [{"start": 0, "end": len(t.encode())}, *[{"start": a, "end": a + 5} for a in range(0, len(t.encode()) - 5, 7)]][k % 2 :] if t else [] for k, t in enumerate(texts)]
+    (cut,) = repeats._cut(iter([pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, repeats.SPANS)], names=["doc_id", "text", "spans"])]))
+    for r, t, found in zip(cut.to_pylist(), texts, spans, strict=True):
+        data = t.encode()
+        gone = np.zeros(len(data) + 1, bool)
+        for x in found or []:
+            gone[x["start"] : x["end"]] = True
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(int))).tolist()
+        assert r["kept"] == bytes(b for b, g in zip(data, gone) if not g) and r["n_bytes"] == len(data)
+        assert [y for s in r["spans"] for y in (s["start"], s["end"])] == edge
+
+
+def test_shards_close_between_owners_inside_a_batch():
+    rng = random.Random(4)
+    made = [[(k, bytes(rng.choice(b"abcd") for _ in range(20))) for _ in range(rng.randrange(1, 4))] for k in range(40)]
+    made = [[*x, (k, x[0][1][3:] + b"xyz")] if k % 2 else x for k, x in enumerate(made)]
+    flat = [(k, hashlib.md5(b"%d %d" % (k, j)).digest(), r, 1 + (k % 9 == 0)) for k, x in enumerate(made) for j, (_, r) in enumerate(x)]
+    names, want = ["key", "digest", "region", "count"], {}
+    for x in made:
+        regions, counts = [r for _, r in x], [c for k, _, _, c in flat if k == x[0][0]]
+        for (_, d, _, _), at in zip([y for y in flat if y[0] == x[0][0]], repeats.repeated_starts(regions, counts, 12)):
+            if len(at):
+                want[d] = sorted({b for a in at.tolist() for b in range(a, a + 12)})
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat[a : a + 33]), (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=names) for a in range(0, len(flat), 33)]
+    got = [r for b in repeats._sorted(12, 25)(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == len(want) and {r["digest"]: [b for s in r["spans"] for b in range(s["start"], s["end"])] for r in got} == want
