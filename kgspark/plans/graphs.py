@@ -300,16 +300,27 @@ CHAINED = f"""select a.case_id, b.id as primary_id, a.id as secondary_id, cast(a
   from ({MEMBERS}) a join ({MEMBERS}) b on b.case_id = a.case_id and b.k = case when a.j = 23 then a.k - 2 else a.k + 1 end where a.j < 20 or a.j > 20"""
 CHAIN_EDGES = f"""select a.case_id, 'F' || cast(b.k - a.k as string) || '_' || a.id as id, a.id as source_id, b.id as target_id from ({MEMBERS}) a join ({MEMBERS}) b on b.case_id = a.case_id and b.k in (a.k + 1, a.k + 5)
   union all select case_id, id, source_id, target_id from edges where id like 'E1%'"""
-# The same with a place for each of the two steps: Spark joins by equal keys, not by a list, and would pair all members of a case.
-CHAIN_STEPS = CHAIN_EDGES.replace(f"join ({MEMBERS}) b", f"cross join (select 1 as d union all select 5) s join ({MEMBERS}) b").replace("b.k in (a.k + 1, a.k + 5)", "b.k = a.k + s.d")
+# The same with a row for each of the two steps: Spark joins by equal keys, not by a list, and would pair all members of a case. Steps
+# of a cross join it would put off until members had met by case alone, which pairs them too; what explode makes stays where it is.
+CHAIN_STEPS = CHAIN_EDGES.replace(f"from ({MEMBERS}) a join", f"from (select *, explode(array(k + 1, k + 5)) as step from ({MEMBERS}) x) a join").replace("b.k in (a.k + 1, a.k + 5)", "b.k = a.step")
+# Ids tell the kinds of edges and nodes apart only row by row; types are constants of a kind, so Spark leaves the other kinds out.
+OF_KIND = {"where id like 'E1%'": "where id like 'E1%' and relationship_type = 'PLAINTIFF_IN'", "where id like 'P%'": "where id like 'P%' and entity_type = 'PERSON'"}
+
+
+def _of_kind(text: str) -> str:
+    for a, b in OF_KIND.items():
+        text = text.replace(a, b)
+    return text
+
+
 CHAIN_SQL = f"""with recursive ev as ({CHAINED}),
   nx as (select *, (select min(f.seq_no) from ev f where f.case_id = e.case_id and f.secondary_id = e.primary_id and f.seq_no > e.seq_no) as onward, (select min(f.seq_no) from ev f where f.case_id = e.case_id and f.secondary_id = e.secondary_id and f.seq_no > e.seq_no) as again from ev e),
   fst as (select case_id, secondary_id as s, min(seq_no) as n from ev group by 1, 2), g as ({CHAIN_EDGES})"""
 
 
 def _chained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    own = with_aliases(nodes(spark, sf_dir)).where("id like 'P%'")
-    return own, merging.merge_events(own, sql(spark, sf_dir, CHAINED).withColumnRenamed("seq_no", "at"))
+    own = with_aliases(nodes(spark, sf_dir)).where("id like 'P%' and entity_type = 'PERSON'")
+    return own, merging.merge_events(own, sql(spark, sf_dir, _of_kind(CHAINED)).withColumnRenamed("seq_no", "at"))
 
 
 @query(f"""{CHAIN_SQL}, st as (select g.case_id, g.id, g.source_id as u, g.target_id as v, a.n as x, b.n as y from g left join fst a on a.case_id = g.case_id and a.s = g.source_id left join fst b on b.case_id = g.case_id and b.s = g.target_id
@@ -320,7 +331,7 @@ def _chained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
   select case_id, id, u as source_id, v as target_id from st where x is null and y is null""")
 def h_merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where edges are after merges that build on each other."""
-    return merging.merged_edges(sql(spark, sf_dir, CHAIN_STEPS), _chained(spark, sf_dir)[1])
+    return merging.merged_edges(sql(spark, sf_dir, _of_kind(CHAIN_STEPS)), _chained(spark, sf_dir)[1])
 
 
 @query(f"""{CHAIN_SQL}, r as (select case_id, secondary_id as o, primary_id as x, seq_no as n from ev union select r.case_id, r.o, e.primary_id, e.seq_no from r join ev e on e.case_id = r.case_id and e.secondary_id = r.x and e.seq_no > r.n),

@@ -44,3 +44,18 @@ def test_merges_are_those_of_one_after_another(spark, seed):
     assert {r.id: (r.aliases, r.merged_into, r.in_cycle) for r in a.collect()} == want
     assert {r.id: (r.source_id, r.target_id) for r in b.collect()} == moved
     assert seed or {n for n, v in want.items() if v[2]} == {"n36"}
+
+
+def test_edges_of_a_chain_longer_than_a_row_of_it(spark):
+    n = merging.AHEAD + 40
+    names = [f"n{k:03}" for k in range(n)]
+    nodes = {k: (k.upper(), []) for k in names}
+    # One chain, then a pair of nodes that are merged both ways and on.
+    merges = [(names[k + 1], names[k], k) for k in range(n - 4)] + [(names[n - 3], names[n - 2], 2 * n), (names[n - 2], names[n - 3], 2 * n + 1), (names[n - 1], names[n - 2], 2 * n + 2)]
+    edges = {"long": (names[0], names[n - 5]), "near": (names[0], names[1]), "end": (names[3], names[n - 1]), "loop": (names[5], names[5]), "pair": (names[n - 2], names[n - 3])}
+    rows = spark.createDataFrame([("c", *m) for m in merges], "case_id string, primary_id string, secondary_id string, at long")
+    own = spark.createDataFrame([("c", k, *v) for k, v in nodes.items()], "case_id string, id string, name string, aliases array<string>")
+    events = merging.merge_events(own, rows)
+    assert {"n", "road", "more", "root", "back"} <= set(merging.chains(events).columns)
+    moved = merging.merged_edges(spark.createDataFrame([("c", i, *e) for i, e in edges.items()], "case_id string, id string, source_id string, target_id string"), events)
+    assert {r.id: (r.source_id, r.target_id) for r in moved.collect()} == one_by_one(nodes, edges, merges)[1]
