@@ -25,3 +25,11 @@ def test_relations_meet_entities_once_and_nothing_else(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # Entities lie once, and relations aren't looked up again by their ids.
     assert plan.count("Generate ") == 2 and "rel_id" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_summary_counts_relations_without_looking_them_up_again(spark):
+    from kgspark.plans import models
+
+    plan = models.c_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert joins and not [x for x in joins if "rel_id" in x]
